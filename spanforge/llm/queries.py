@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from . import quality
+from .html import extract_text
 from .minhash import near_duplicates
+from .quality import quality_rules
 from .substring import substring_dedup
+from .urls import filter_urls
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +23,22 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_substring": op2_substring}
-SQL: dict[str, str] = {}
+#: The rules of the URL query.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("quality = 0 OR toxic = 1").alias("bad"))
+    return filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_substring": op2_substring, "op3_urls": op3_urls, "op4_html": op4_html, "op5_quality": op5_quality}
+SQL: dict[str, str] = {"op5_quality": quality.SQL}
