@@ -1,16 +1,65 @@
-"""The corpus pipeline: documents through quality rules, near-duplicate removal,
-decontamination, mixing and sharding."""
+"""The corpus pipeline: documents through quality rules, near-duplicate removal, benchmark
+decontamination, mixing and sharding.
+
+Every stage takes all documents its predecessor kept, decides by doc_id and returns the
+documents that stay, with all their columns; the last one returns the shard of each document.
+Documents without an id are decided together, as one id: they stay if any of them would.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanforge.llm.common import materialize, table
+from spanforge.llm.decontam import decontaminate
+from spanforge.llm.minhash import near_duplicates
+from spanforge.llm.mixing import mix_sources
+from spanforge.llm.quality import quality_rules
+from spanforge.llm.sharding import shard
+
+
+def _only(docs: DataFrame, verdict: DataFrame, condition: str) -> DataFrame:
+    """The rows of docs whose id has a verdict row that meets the condition."""
+    ids = verdict.where(condition).select(F.col("doc_id").alias("_chosen_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_chosen_id")), "left_semi")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, quality_rules(docs), "kept")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the least id."""
+    return _only(docs, near_duplicates(docs), "kept")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), "not contaminated")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, mix_sources(docs), "sampled")
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shard(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
-STAGES: list = []
+#: Alignment and graph components have no plain SQL form; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import quality
+from . import mixing, quality, sharding
+from .decontam import decontaminate
 from .html import extract_text
+from .lines import line_dedup
 from .minhash import near_duplicates
+from .mixing import mix_sources
 from .quality import quality_rules
+from .scoring import score_documents
+from .sharding import shard
 from .substring import substring_dedup
 from .urls import filter_urls
 
@@ -40,5 +45,39 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_substring": op2_substring, "op3_urls": op3_urls, "op4_html": op4_html, "op5_quality": op5_quality}
-SQL: dict[str, str] = {"op5_quality": quality.SQL}
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as good and not toxic."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return score_documents(table(spark, sf_dir, "documents"), good)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2(F.col("kept_text").cast("binary"), 256)).drop("kept_text")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_substring": op2_substring,
+    "op3_urls": op3_urls,
+    "op4_html": op4_html,
+    "op5_quality": op5_quality,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_mixing": op7_mixing,
+    "op8_decontamination": op8_decontamination,
+    "op9_lines": op9_lines,
+    "op10_sharding": op10_sharding,
+}
+SQL: dict[str, str] = {"op5_quality": quality.SQL, "op7_mixing": mixing.SQL, "op10_sharding": sharding.SQL}

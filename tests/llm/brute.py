@@ -74,3 +74,39 @@ def quality_base(text):
         if grams[tuple(w[k : k + 5])] > 1:
             covered.update(range(k, k + 5))
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def line_dedup(docs, m=2):
+    """-> {doc_id: (n_lines, n_removed, n_runs, longest_run, kept text)}."""
+    seq = {i: [x for x in (t or "").split("\n") if words(x)] for i, t in docs}
+    first = {}
+    for i in sorted(seq):
+        for p in range(len(seq[i])):
+            for n in range(1, len(seq[i]) - p + 1):
+                first.setdefault(tuple(seq[i][p : p + n]), (i, p))
+    out = {}
+    for i, t in docs:
+        s = seq[i]
+        gone = {q for p in range(len(s) - m + 1) if first[tuple(s[p : p + m])] != (i, p) for q in range(p, p + m)}
+        source = {}
+        for p in range(len(s)):
+            n = 1
+            while p + n <= len(s) and first[tuple(s[p : p + n])] != (i, p):
+                source[p] = first[tuple(s[p : p + n])]
+                n *= 2
+        runs = []
+        for p, (d, q) in source.items():
+            if p - 1 in source and source[p - 1] == (d, q - 1):
+                continue
+            n = 0
+            while p + n < len(s) and q + n < len(seq[d]) and s[p + n] == seq[d][q + n]:
+                n += 1
+            if n >= m:
+                runs.append(n)
+        keep, k = [], -1
+        for x in (t or "").split("\n"):
+            k += bool(words(x))
+            if not (words(x) and k in gone):
+                keep.append(x)
+        out[i] = (len(s), len(gone), len(runs), max(runs, default=0), "\n".join(keep))
+    return out
