@@ -87,7 +87,7 @@ def filter_urls(
     counted = materialize(counted.withColumn("segments", F.filter(F.split("shape", "/"), lambda s: s != "")))
     tree = templates(counted, depth, z, least)
 
-    total = counted.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("p0"), F.lit(1).alias("one"))
+    total = counted.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 10)).alias("p0"), F.lit(1).alias("one"))
     host = counted.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("labelled").alias("hl")).withColumn("one", F.lit(1)).join(total, "one")
     host = host.select("host", ((F.col("hb") + prior * F.col("p0")) / (F.col("hl") + prior)).alias("ph"))
     leaf = tree.groupBy("host", "template").agg(F.sum("bad").alias("tb"), F.sum("labelled").alias("tl")).join(host, "host")
