@@ -41,12 +41,21 @@ def work_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here,
-    and a lost executor costs no recomputation of what went before."""
+    and a lost executor costs no recomputation of what went before. The shuffle files of the
+    job, needed no more, are removed when it ends."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,7 +87,7 @@ def raw(column) -> list:
 class WordHash(dict):
     """64-bit hash of each word, cached; the cache is emptied when it reaches its bound."""
 
-    def __init__(self, bound: int = 250_000):
+    def __init__(self, bound: int = 500_000):
         super().__init__()
         self.bound = bound
 

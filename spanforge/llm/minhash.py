@@ -108,6 +108,28 @@ def shingle_arrays(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
+def long_signatures(sets: DataFrame, bits: int, slots: int) -> DataFrame:
+    """(id, long_sig): a longer packed signature from sets(id, shingles)."""
+
+    def run(batches):
+        rng = np.random.default_rng(20240301)
+        mul = rng.integers(0, 2**32, slots, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        add = rng.integers(0, 2**32, slots, dtype=np.uint64).astype(np.uint32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                minima = np.full((part.num_rows, slots), 0xFFFFFFFF, np.uint32)
+                for least, found in zip(minima, part.column("shingles")):
+                    x = (np.asarray(found.values).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+                    for k in range(0, len(x), 128):
+                        np.minimum(least, (x[k : k + 128, None] * mul + add).min(axis=0), out=least)
+                sig = pack_bits(minima, bits)
+                where = pa.array(np.arange(part.num_rows + 1) * sig.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(where, signed(sig.ravel()))], names=["id", "long_sig"])
+
+    return sets.mapInArrow(run, "id bigint, long_sig array<bigint>")
+
+
 def estimate(sig_a: Column, sig_b: Column, bits: int, slots: int) -> Column:
     """Collision-corrected similarity of two packed signatures, from bit counts."""
     lanes = 64 // bits
@@ -133,8 +155,10 @@ def near_duplicates(
     bands: int = 60,
     rows: int = 6,
     bits: int = 4,
-    slots: int = 128,
-    margin: float = 0.25,
+    slots: int = 256,
+    margin: float = 0.2,
+    long_slots: int = 1024,
+    long_margin: float = 0.06,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
@@ -151,20 +175,20 @@ def near_duplicates(
     reps = member.select(F.col("rep").alias("doc_id")).distinct()
     rep_rows = known.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    exploded = rep_rows.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    exploded = rep_rows.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     shared = exploded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     buckets = materialize(exploded.join(shared.select("key", "least"), "key"))
     ids = buckets.select("id").distinct()
-    facts = rep_rows.join(ids, rep_rows.doc_id == ids.id, "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig")
-    facts = materialize(facts)
+    facts = rep_rows.join(ids, rep_rows.doc_id == ids.id, "left_semi")
+    facts = materialize(facts.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"))
     sets = materialize(shingle_arrays(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), width))
 
     def side(name):
-        return facts.select(*(F.col(c).alias(f"{c}_{name}") for c in facts.columns))
+        return facts.select(*(F.col(c).alias(f"{c}_{name}") for c in ("id", "n_shingles", "sig")))
 
-    def plausible():
+    def plausible(count, slack):
         fits = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent
-        return fits & (estimate(F.col("sig_a"), F.col("sig_b"), bits, slots) >= percent / 100 - margin)
+        return fits & (estimate(F.col("sig_a"), F.col("sig_b"), bits, count) >= percent / 100 - slack)
 
     def confirmed(pairs):
         """The pairs (a, b) that are links by their full sets."""
@@ -175,22 +199,26 @@ def near_duplicates(
         return common.where(f"100 * i >= {percent} * (n - i)").select("a", "b")
 
     first = buckets.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    first = materialize(first.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b")).where(plausible()).select("a", "b"))
+    first = materialize(first.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b")).where(plausible(slots, margin)).select("a", "b"))
     links = materialize(confirmed(first))
     label = connected_components(links)
 
     # buckets that still hold several components: members outside the largest one meet the rest
-    at = buckets.select("key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    at = buckets.select("key", "band", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     per = at.groupBy("key", "component").agg(F.count("*").alias("n"))
     open_keys = per.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("top")).where("k > 1").drop("k")
-    open_rows = materialize(at.join(open_keys, "key").join(facts, "id"))
+    open_rows = materialize(at.join(open_keys, "key"))
+    open_ids = open_rows.select("id").distinct()
+    detail = long_signatures(sets.join(open_ids, "id", "left_semi"), bits, long_slots).withColumnRenamed("long_sig", "sig")
+    open_rows = materialize(open_rows.join(detail.join(facts.drop("sig"), "id"), "id"))
 
     def renamed(df, name):
         return df.select("key", *(F.col(c).alias(f"{c}_{name}") for c in df.columns if c != "key"))
 
     meet = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("top_b")) | (F.col("id_a") < F.col("id_b")))
     second = renamed(open_rows.where("component <> top"), "a").join(renamed(open_rows, "b"), "key")
-    second = second.where(meet & plausible()).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    first_shared = F.expr("forall(slice(arrays_zip(bands_a, bands_b), 1, band_a), x -> x.bands_a <> x.bands_b)")
+    second = second.where(meet & plausible(long_slots, long_margin) & first_shared).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     second = second.join(first.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")), (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
     more = materialize(confirmed(materialize(second)))
     # first-round labels stand for their members: link labels, then rename
