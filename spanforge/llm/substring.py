@@ -5,7 +5,7 @@ words) that start only at positions whose residue modulo ``period`` lies in a di
 cover, so for any two equal windows some shift brings both starts onto cover positions: they
 share an aligned anchor. Anchors that occur in one document only are thus out after a single
 shuffle of 3/7 of the positions. Around each shared anchor the match is extended: all windows
-that contain it are hashed (128 bits), and a window that also starts in a document with a
+that contain it are hashed (96 bits), and a window that also starts in a document with a
 smaller id marks its words.
 
 Both shuffles carry at most one row per hash and Arrow batch for a hash that many documents
@@ -19,14 +19,12 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunks, raw, signed, windows
+from .common import WordHash, chunks, materialize, raw, signed, windows
 
 #: A perfect difference cover: every residue modulo 7 is a difference of two members.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -47,6 +45,8 @@ def _settle(doc: np.ndarray, *keys: np.ndarray):
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
+    """(settled, key, doc_id, at): anchor hash and position; the position is inverted (~at)
+    where the anchor is already known to occur in two documents."""
     width = length - PERIOD + 1
 
     def run(batches):
@@ -72,11 +72,11 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
             known[order] = many
             key = np.where(settled, doc.view(np.uint64), key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(settled), signed(key), pa.array(doc), pa.array(at), pa.array(known)],
-                names=["settled", "key", "doc_id", "at", "known"],
+                [pa.array(settled), signed(key), pa.array(doc), pa.array(np.where(known, ~at, at))],
+                names=["settled", "key", "doc_id", "at"],
             )
 
-    return docs.mapInArrow(run, "settled boolean, key bigint, doc_id bigint, at int, known boolean")
+    return docs.mapInArrow(run, "settled boolean, key bigint, doc_id bigint, at int")
 
 
 def extended(docs: DataFrame, length: int) -> DataFrame:
@@ -105,11 +105,11 @@ def extended(docs: DataFrame, length: int) -> DataFrame:
             settled[order] = many & ~least
             one, two = np.where(settled, doc.view(np.uint64), one), np.where(settled, np.uint64(0), two)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(settled), signed(one), signed(two), pa.array(doc), pa.array(at)],
+                [pa.array(settled), signed(one), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(at)],
                 names=["settled", "one", "two", "doc_id", "at"],
             )
 
-    return docs.mapInArrow(run, "settled boolean, one bigint, two bigint, doc_id bigint, at int")
+    return docs.mapInArrow(run, "settled boolean, one bigint, two int, doc_id bigint, at int")
 
 
 def cut(docs: DataFrame, length: int) -> DataFrame:
@@ -147,16 +147,21 @@ def substring_dedup(docs: DataFrame, *, length: int = 13) -> DataFrame:
     if length <= PERIOD:
         raise ValueError(f"length must be above {PERIOD}")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = docs.where("doc_id is not null")
 
-    keyed = anchors(docs, length).repartition("settled", "key")
+    # both branches read the same columns, so one exchange serves the aggregate and the join
+    keyed = anchors(named, length).repartition("settled", "key")
     shared = keyed.groupBy("settled", "key").agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("known").alias("any")
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("at").alias("first")
     )
-    shared = shared.where("any or low < high").select("settled", "key")
-    hits = keyed.join(shared.hint("merge"), ["settled", "key"]).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-
-    wide = extended(docs.join(hits, "doc_id").select("doc_id", "text", "at"), length).repartition("settled", "one", "two")
-    first = wide.where("not settled").groupBy("settled", "one", "two").agg(F.min("doc_id").alias("low"))
-    later = wide.join(first.hint("merge"), ["settled", "one", "two"], "left").where("settled or low < doc_id")
-    marks = later.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    return cut(docs.join(marks, "doc_id", "left").select("doc_id", "text", "at"), length)
+    shared = shared.where("first < 0 or low < high").select("settled", "key")
+    hits = keyed.join(shared.hint("merge"), ["settled", "key"]).withColumn("at", F.expr("if(at < 0, ~at, at)"))
+    hits = hits.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    hits = materialize(hits)
+
+    wide = extended(named.join(hits, "doc_id").select("doc_id", "text", "at"), length).repartition("settled", "one", "two")
+    first = wide.groupBy("settled", "one", "two").agg(F.min("doc_id").alias("low"), F.max("at").alias("last"))
+    later = wide.join(first.hint("merge"), ["settled", "one", "two"]).where("(settled or low < doc_id) and last >= 0")
+    marks = materialize(later.groupBy("doc_id").agg(F.collect_set("at").alias("at")))
+    kept = cut(named.join(marks, "doc_id", "left").select("doc_id", "text", "at"), length)
+    return kept.unionByName(cut(docs.where("doc_id is null").withColumn("at", F.lit(None).cast("array<int>")), length))
