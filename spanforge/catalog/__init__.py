@@ -1,4 +1,4 @@
 """All registered queries of the trace library."""
 
-from . import intervals, tables  # noqa: F401
+from . import intervals, runtime, tables  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
