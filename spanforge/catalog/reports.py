@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import columns as c
 from spanforge.operators import intervals as iv
 from spanforge.operators import metrics as mt
+from spanforge.operators import roofline as rl
 from spanforge.plans import reports as rp
 from spanforge.sources import sinks as sk
 from spanforge.sources import traces as tr
@@ -93,6 +94,19 @@ def device_information(t):
     return rp.device_information(t.spans, peaks)
 
 
+@query(
+    "x10_device_peaks",
+    """SELECT plane_id, CAST(20 * (CASE WHEN plane_id >= 7 THEN 1024.0 WHEN plane_id = 6 THEN 256.0 WHEN plane_id = 5 THEN 256.0 WHEN plane_id >= 3 THEN 384.0 ELSE 64.0 END) * 1.5 AS DOUBLE) AS peak_gflops, 900.0::DOUBLE AS hbm_gbps,
+  CAST(20 * (CASE WHEN plane_id <= 2 THEN 64.0 ELSE 256.0 END) * 1.5 AS DOUBLE) AS shared_gbps FROM (SELECT DISTINCT plane_id FROM spans)""",
+)
+def device_peaks(t):
+    """Capabilities by plane: the plane number stands for the compute capability."""
+    pairs = {"clock_rate": "1500000", "core_count": "20", "memory_bandwidth": "900000000000", "compute_cap_minor": "0", "device_vendor": "Nvidia"}
+    props = F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv), F.lit("compute_cap_major"), F.col("plane_id").cast("string"))
+    out = rl.device_peaks(t.spans.select("plane_id").distinct().withColumn("props", props))
+    return out.select("plane_id", F.round("peak_gflops", 4).alias("peak_gflops"), "hbm_gbps", F.round("shared_gbps", 4).alias("shared_gbps"))
+
+
 @query("x11_human_bytes", "SELECT symbol_id, CASE WHEN bytes < 102400 THEN printf('%.1fK', round_even(bytes / 1024.0, 1)) ELSE printf('%.1fK', round_even(bytes / 1024.0, 1)) END AS text FROM ops WHERE bytes < 1048576")
 def human_bytes(t):
     return t.ops.where("bytes < 1048576").select("symbol_id", c.human_bytes(F.col("bytes")).alias("text"))
@@ -288,35 +302,59 @@ def kpi_metrics(t):
     return out.withColumn("duty_percent", F.round("duty_percent", 6)).withColumn("memory_percent", F.round("memory_percent", 6))
 
 
+PEAKS = {"gflops": 300.0, "hbm": 1000.0}
+_RATES = """rated AS (SELECT *, time / 1e6 AS us, flops / (time / 1000.0) AS fr, bytes / (time / 1000.0) * (1000000000.0 / 1073741824) AS bw FROM metrics)"""
+_BOUND = "CASE WHEN bw / (1000.0 * 1e9 / 1073741824) > fr / 300 THEN 'HBM' WHEN fr > 0 THEN 'Compute' ELSE 'Unknown' END"
+
+
 @query(
     "r4_hlo_stats",
-    """SELECT CAST(row_number() OVER (ORDER BY self_time DESC, symbol_id) AS INTEGER) AS rank, symbol_id, name, occurrences, self_time, round(time / occurrences, 4) AS avg_time, round(self_time / sum(self_time) OVER (), 8) AS fraction,
-  CASE WHEN bytes / (time / 1000.0) * (1000000000.0 / 1073741824) / 900 > flops / (time / 1000.0) / 300 THEN 'HBM' WHEN flops > 0 THEN 'Compute' ELSE 'Unknown' END AS bound_by, 'No' AS rematerialized FROM metrics""",
-    METRICS,
+    f"""SELECT CAST(row_number() OVER (ORDER BY self_time DESC, symbol_id) AS INTEGER) AS rank, CAST(program_id AS VARCHAR) AS program_id, category, name AS hlo_op_name, '' AS hlo_op_expression, provenance AS tf_op_name, occurrences,
+  round(us, 6) AS total_time, round(us / occurrences, 6) AS avg_time, round(us, 6) AS total_self_time, round(us / occurrences, 6) AS avg_self_time, round(self_time / sum(self_time) OVER (), 8) AS total_self_time_percent,
+  round(sum(self_time) OVER (ORDER BY self_time DESC, symbol_id ROWS UNBOUNDED PRECEDING) / sum(self_time) OVER (), 8) AS cumulative_total_self_time_percent, round(dma_stall / time, 8) AS dma_stall_percent,
+  round(fr, 4) AS model_flop_rate, round(fr, 4) AS normalized_flop_rate, round(bw, 4) AS measured_memory_bw, round(bw, 4) AS hbm_bw, 0.0::DOUBLE AS cmem_read_bw, 0.0::DOUBLE AS cmem_write_bw, round(flops / bytes, 6) AS operational_intensity, {_BOUND} AS bound_by,
+  'No' AS hlo_rematerialization, 'No' AS outside_compilation, 'No' AS autotuned, '' AS source_info, '' AS core_type, '' AS parent_op_name, 0.0::DOUBLE AS vdd_energy, symbol_id FROM rated""",
+    METRICS + ", " + _RATES,
 )
 def hlo_stats(t):
-    return rp.hlo_stats(metrics(t), 300.0, 900.0).select("rank", "symbol_id", "name", "occurrences", "self_time", F.round("avg_time", 4).alias("avg_time"), F.round("fraction", 8).alias("fraction"), "bound_by", "rematerialized")
+    return rounded(rp.hlo_stats(metrics(t), PEAKS), total_self_time_percent=8, cumulative_total_self_time_percent=8, dma_stall_percent=8, model_flop_rate=4, normalized_flop_rate=4, measured_memory_bw=4, hbm_bw=4)
+
+
+def rounded(df, **digits):
+    """Doubles rounded: to the digits named, else to 6."""
+    return df.select(*(F.round(n, digits.get(n, 6)).alias(n) if kind == "double" else F.col(n) for n, kind in df.dtypes))
+
+
+_FRAMEWORK = """framework AS (SELECT substr(p, 1, length(p) - 3) AS op_name, CAST(max(occurrences) AS BIGINT) AS occurrences, CAST(sum(self_time) AS BIGINT) AS self_time, CAST(sum(flops) AS BIGINT) AS flops, CAST(sum(bytes) AS BIGINT) AS bytes
+  FROM (SELECT *, replace(replace(provenance, ' ', '_'), '#', '_') AS p FROM metrics) GROUP BY 1),
+sides AS (SELECT 'Device' AS side, op_name, occurrences, self_time, flops, bytes FROM framework UNION ALL SELECT 'Host', name, count(*), CAST(sum(dur) AS BIGINT), 0, 0 FROM spans GROUP BY name),
+placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY self_time DESC, op_name) AS rank, self_time / sum(self_time) OVER (PARTITION BY side) AS f, sum(self_time) OVER (PARTITION BY side ORDER BY self_time DESC, op_name ROWS UNBOUNDED PRECEDING) / sum(self_time) OVER (PARTITION BY side) AS cf FROM sides)"""
 
 
 @query(
     "r5_framework_op_stats",
-    """SELECT op_name, CAST(rank AS INTEGER) AS rank, self_time, round(fraction, 8) AS fraction FROM (SELECT *, row_number() OVER (ORDER BY self_time DESC, op_name) AS rank, self_time / sum(self_time) OVER () AS fraction FROM (
-  SELECT substr(p, 1, length(p) - 3) AS op_name, CAST(sum(self_time) AS BIGINT) AS self_time FROM (SELECT *, replace(replace(provenance, ' ', '_'), '#', '_') AS p FROM metrics) GROUP BY 1)) WHERE rank <= 500""",
-    METRICS,
+    """SELECT CAST(rank AS INTEGER) AS rank, side AS host_or_device, op_name AS operation, occurrences, round(self_time / 1e6, 6) AS total_self_time, round(self_time / 1e6 / occurrences, 6) AS avg_self_time,
+  round(CASE WHEN side = 'Device' THEN f ELSE 0 END, 8) AS device_total_self_time_percent, round(CASE WHEN side = 'Host' THEN cf ELSE 0 END, 8) AS host_cumulative_total_self_time_percent, round(flops / (self_time / 1000.0), 4) AS measured_flop_rate, 'Function' AS eager FROM placed WHERE rank <= 500""",
+    METRICS + ", " + _FRAMEWORK,
 )
 def framework_op_stats(t):
-    m = metrics(t).withColumn("provenance", F.translate("provenance", " #", "__"))
-    return rp.framework_op_stats(m).select("op_name", "rank", "self_time", F.round("fraction", 8).alias("fraction"))
+    device = mt.framework_ops(metrics(t).withColumn("provenance", F.translate("provenance", " #", "__")))
+    host = t.spans.groupBy(F.col("name").alias("op_name")).agg(F.count("*").alias("occurrences"), F.sum("dur").alias("time")).withColumns({"self_time": F.col("time"), "op_type": F.lit("Host"), "flops": F.lit(0).cast("bigint"), "bytes": F.lit(0).cast("bigint")})
+    out = rounded(rp.framework_op_stats(device, host, PEAKS), device_total_self_time_percent=8, host_cumulative_total_self_time_percent=8, measured_flop_rate=4)
+    return out.select("rank", "host_or_device", "operation", "occurrences", "total_self_time", "avg_self_time", "device_total_self_time_percent", "host_cumulative_total_self_time_percent", "measured_flop_rate", "eager")
 
 
 @query(
     "r6_roofline_model",
-    """SELECT infeed, name, symbol_id, self_time, round(flops / (time / 1000.0), 4) AS flop_rate, round(flops / bytes, 6) AS intensity FROM (SELECT 'Program' AS name, 0 AS symbol_id, CAST(sum(self_time) AS BIGINT) AS self_time, CAST(sum(time) AS BIGINT) AS time, CAST(sum(flops) AS BIGINT) AS flops, CAST(sum(bytes) AS BIGINT) AS bytes FROM metrics
-  UNION ALL SELECT name, symbol_id, self_time, time, flops, bytes FROM metrics), (VALUES (true), (false)) v(infeed)""",
+    f"""SELECT infeed AS include_infeed_outfeed, CAST(rank AS INTEGER) AS rank, name AS operation, symbol_id, round(us, 6) AS total_time, round(fr, 4) AS measured_flop_rate, round(bw, 4) AS hbm_bw, round(flops / bytes, 6) AS operational_intensity, {_BOUND} AS bound_by,
+  round(fr / 300, 6) AS compute_efficiency, round(time / sum(CASE WHEN rank = 0 THEN time END) OVER (), 8) AS total_time_in_percentage FROM (SELECT *, time / 1e6 AS us, flops / (time / 1000.0) AS fr, bytes / (time / 1000.0) * (1000000000.0 / 1073741824) AS bw FROM (
+  SELECT 0 AS rank, 'Program' AS name, NULL AS symbol_id, CAST(sum(time) AS BIGINT) AS time, CAST(sum(flops) AS BIGINT) AS flops, CAST(sum(bytes) AS BIGINT) AS bytes FROM metrics
+  UNION ALL SELECT row_number() OVER (ORDER BY self_time DESC, symbol_id), name, symbol_id, time, flops, bytes FROM metrics)), (VALUES (true), (false)) v(infeed)""".replace("OVER ()", "OVER (PARTITION BY infeed)"),
     METRICS,
 )
 def roofline_model(t):
-    return rp.roofline_model(metrics(t), 300.0, 900.0).select("infeed", "name", "symbol_id", "self_time", F.round("flop_rate", 4).alias("flop_rate"), F.round("intensity", 6).alias("intensity"))
+    out = rounded(rp.roofline_model(metrics(t), PEAKS), measured_flop_rate=4, hbm_bw=4, total_time_in_percentage=8)
+    return out.select("include_infeed_outfeed", "rank", "operation", "symbol_id", "total_time", "measured_flop_rate", "hbm_bw", "operational_intensity", "bound_by", "compute_efficiency", "total_time_in_percentage")
 
 
 @query(
@@ -384,12 +422,15 @@ def utilization_viewer(t):
     return rp.utilization_viewer(t.counters, formulas(t)).withColumn("percent", F.round("percent", 4))
 
 
-@query("r18_kernel_utilization", "SELECT device_id, line_id AS kernel, CAST(sum(value) AS BIGINT) AS scalar FROM counters WHERE counter_id IN (1, 2) GROUP BY ALL")
+@query(
+    "r18_kernel_utilization",
+    """SELECT s.device_id, s.line_id AS kernel, f.metric, round(100.0 * sum(f.weight * s.value) / (any_value(p.value) * any_value(f.factor)), 4) AS percent
+  FROM (SELECT device_id, line_id, counter_id, sum(value) AS value FROM counters WHERE line_id = 3 GROUP BY ALL) s JOIN formulas f USING (counter_id)
+  JOIN (SELECT device_id, line_id, counter_id, sum(value) AS value FROM counters GROUP BY ALL) p ON p.device_id = s.device_id AND p.line_id = s.line_id AND p.counter_id = f.peak_counter GROUP BY s.device_id, s.line_id, f.metric""",
+    _FORMULAS,
+)
 def kernel_utilization(t):
-    from spanforge.operators import counters as ct
-
-    sums = ct.counter_values(t.counters, "sum").where("counter_id in (1, 2)")
-    return sums.groupBy("device_id", F.col("line_id").alias("kernel")).agg(F.sum("value").alias("scalar"))
+    return rp.kernel_utilization(t.counters, formulas(t), "vector", 3).drop("anomaly").withColumn("percent", F.round("percent", 4))
 
 
 @query("r19_suggestions", "SELECT rule FROM (SELECT 'low_duty' AS rule, 100.0 * busy / (busy + idle) < 50 AS f FROM duty UNION ALL SELECT 'memory_capacity', (SELECT 100.0 * sum(peak) / sum(capacity) FROM peak) > 90) WHERE f", METRICS + ", " + _DUTY + ", " + _PEAK)

@@ -39,14 +39,18 @@ def kernel_stats(spans: DataFrame, name: Column, limit: int) -> DataFrame:
 def op_metrics(events: DataFrame, ops: DataFrame, scale: float = 1.0) -> DataFrame:
     """A4: per (program, symbol): occurrences (at least one per event), time, self time (column
     self_dur, else time), normalized and least time, stall; flops and bytes are those of an
-    occurrence times the occurrences."""
+    occurrence times the occurrences, but for custom calls the sums of the events' own ones."""
     own = F.col("self_dur") if "self_dur" in events.columns else F.col("dur")
+    measured = [x for x in ("flops", "bytes") if x in events.columns]
     per = events.where("symbol_id <> 0").groupBy("program_id", "symbol_id").agg(
         F.sum(F.greatest("occurrences", F.lit(1))).alias("occurrences"), F.sum("dur").alias("time"), F.sum(own).alias("self_time"),
-        F.min("dur").alias("min_time"), F.sum("dma_stall").alias("dma_stall"),
+        F.min("dur").alias("min_time"), F.sum("dma_stall").alias("dma_stall"), *(F.sum(x).alias(f"_{x}") for x in measured),
     )
     out = per.join(ops, ["program_id", "symbol_id"]).withColumn("normalized_time", F.col("time") * scale)
-    return out.withColumn("flops", F.col("flops") * F.col("occurrences")).withColumn("bytes", F.col("bytes") * F.col("occurrences"))
+    for x in ("flops", "bytes"):
+        each = F.col(x) * F.col("occurrences")
+        out = out.withColumn(x, F.when(F.col("category") == "custom-call", F.coalesce(f"_{x}", each)).otherwise(each) if x in measured else each)
+    return out.drop("_flops", "_bytes")
 
 
 def merge_op_metrics(parts: DataFrame, by: Sequence[str] = ("program_id", "name")) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from spanforge.functions import columns as c
 from spanforge.operators import collectives as cl
@@ -13,6 +14,7 @@ from spanforge.operators import counters as ct
 from spanforge.operators import intervals as iv
 from spanforge.operators import memory as mm
 from spanforge.operators import metrics as mt
+from spanforge.operators import roofline as rl
 from spanforge.operators import serving as sv
 
 
@@ -49,30 +51,74 @@ def device_information(spans: DataFrame, peaks: DataFrame) -> DataFrame:
     )))
 
 
-def hlo_stats(metrics: DataFrame, peak_gflops: float, peak_gibps: float) -> DataFrame:
-    """Ranked op table with shares, rates and flags."""
-    out = mt.roofline(mt.rank_cumulative(metrics, "self_time", "symbol_id"), peak_gflops, peak_gibps)
-    return out.withColumn("avg_time", c.safe_divide(F.col("time"), F.col("occurrences"))).withColumn("rematerialized", c.is_rematerialized(F.col("name"), F.col("provenance"))).withColumn(
-        "outside_compilation", c.is_outside_compilation(F.col("name"), F.col("provenance"))
-    )
+def _times(df: DataFrame) -> DataFrame:
+    """Times in us and their averages per occurrence, from op metrics in ps."""
+    total, own = c.pico_to("us", F.col("time")), c.pico_to("us", F.col("self_time"))
+    n = F.col("occurrences")
+    return df.withColumns({"total_time": total, "avg_time": c.safe_divide(total, n), "total_self_time": own, "avg_self_time": c.safe_divide(own, n)})
+
+
+def _or_empty(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in df.columns else F.lit("" if kind == "string" else 0).cast(kind)
 
 
-def framework_op_stats(metrics: DataFrame, limit: int = 500) -> DataFrame:
-    """Framework ops ranked by self time."""
-    ops = mt.framework_ops(metrics)
-    return mt.rank_cumulative(ops, "self_time", "op_name").where(F.col("rank") <= limit)
+def hlo_stats(metrics: DataFrame, peaks: dict[str, float]) -> DataFrame:
+    """The 29 columns of the ranked op table."""
+    df = rl.roofline_columns(mt.rank_cumulative(_times(metrics), "self_time", "symbol_id"), peaks)
+    long_name = _or_empty(df, "long_name")
+    return df.select(
+        "rank", F.col("program_id").cast("string").alias("program_id"), "category", F.col("name").alias("hlo_op_name"), long_name.alias("hlo_op_expression"),
+        F.col("provenance").alias("tf_op_name"), "occurrences", "total_time", "avg_time", "total_self_time", "avg_self_time",
+        F.col("fraction").alias("total_self_time_percent"), F.col("cumulative").alias("cumulative_total_self_time_percent"),
+        c.safe_divide(F.col("dma_stall"), F.col("time")).alias("dma_stall_percent"), "model_flop_rate", F.col("measured_flop_rate").alias("normalized_flop_rate"),
+        "measured_memory_bw", "hbm_bw", "cmem_read_bw", "cmem_write_bw", "operational_intensity", "bound_by",
+        c.is_rematerialized(long_name, F.col("provenance")).alias("hlo_rematerialization"), c.is_outside_compilation(long_name, F.col("provenance")).alias("outside_compilation"),
+        c.yes_no(_or_empty(df, "autotuned", "boolean")).alias("autotuned"), _or_empty(df, "source_info").alias("source_info"), _or_empty(df, "core_type").alias("core_type"),
+        _or_empty(df, "parent_op_name").alias("parent_op_name"), _or_empty(df, "vdd_energy", "double").alias("vdd_energy"), "symbol_id",
+    )
 
 
-def roofline_model(metrics: DataFrame, peak_gflops: float, peak_gibps: float) -> DataFrame:
-    """The whole program and its ops, with and without infeed, on the roofline."""
+def framework_op_stats(device: DataFrame, host: DataFrame, peaks: dict[str, float], limit: int = 500, exclude_idle: bool = False) -> DataFrame:
+    """The 19 columns of framework ops, the largest of the device before those of the host.
+    device and host hold op_name, op_type, occurrences, time, self_time, flops, bytes."""
+    out = None
+    for side, ops in (("Device", device), ("Host", host)):
+        ops = ops.where("op_type <> 'IDLE'") if exclude_idle else ops
+        ranked = mt.rank_cumulative(ops, "self_time", "op_name").where(F.col("rank") <= limit).withColumn("host_or_device", F.lit(side))
+        out = ranked if out is None else out.unionByName(ranked, allowMissingColumns=True)
+    df = rl.roofline_columns(_times(out), peaks)
+    on = F.col("host_or_device") == "Device"
+    share = lambda column, mine: F.when(mine, F.col(column)).otherwise(F.lit(0.0))
+    return df.select(
+        "rank", "host_or_device", F.col("op_type").alias("type"), F.col("op_name").alias("operation"), "occurrences", "total_time", "avg_time", "total_self_time",
+        "avg_self_time", share("fraction", on).alias("device_total_self_time_percent"), share("cumulative", on).alias("device_cumulative_total_self_time_percent"),
+        share("fraction", ~on).alias("host_total_self_time_percent"), share("cumulative", ~on).alias("host_cumulative_total_self_time_percent"),
+        "measured_flop_rate", "model_flop_rate", "measured_memory_bw", "operational_intensity", "bound_by",
+        F.when(_or_empty(df, "is_eager", "boolean"), "Eager").otherwise("Function").alias("eager"),
+    )
+
+
+def roofline_model(metrics: DataFrame, peaks: dict[str, float], cores: int = 1) -> DataFrame:
+    """The columns of the roofline table: the whole program (rank 0) and its ranked ops, with
+    and without infeed and outfeed."""
     out = None
     for infeed in (True, False):
         ops = mt.drop_containers(metrics, infeed)
-        total = ops.agg(*(F.sum(x).alias(x) for x in ("time", "self_time", "flops", "bytes", "occurrences")))
-        rows = total.withColumn("name", F.lit("Program")).withColumn("symbol_id", F.lit(0).cast("bigint")).unionByName(ops.select("time", "self_time", "flops", "bytes", "occurrences", "name", "symbol_id"))
-        rows = mt.roofline(rows, peak_gflops, peak_gibps).withColumn("infeed", F.lit(infeed))
+        sums = {x: F.coalesce(F.sum(x), F.lit(0)).cast("bigint").alias(x) for x in ("time", "self_time", "flops", "bytes", "occurrences", "dma_stall")}
+        total = ops.agg(*sums.values()).withColumns({"rank": F.lit(0), "name": F.lit("Program"), "category": F.lit("Program"), "fraction": F.lit(0.0), "cumulative": F.lit(0.0)})
+        rows = total.unionByName(mt.rank_cumulative(ops, "self_time", "symbol_id"), allowMissingColumns=True).withColumn("include_infeed_outfeed", F.lit(infeed))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    df = rl.roofline_columns(_times(out), peaks)
+    whole = F.sum(F.when(F.col("rank") == 0, F.col("time"))).over(W.partitionBy("include_infeed_outfeed"))
+    return df.select(
+        F.lit("Total").alias("step"), "rank", "category", F.col("name").alias("operation"), "occurrences", "total_time", "avg_time", "total_self_time", "avg_self_time",
+        F.col("fraction").alias("total_self_time_percent"), F.col("cumulative").alias("cumulative_total_self_time_percent"),
+        c.safe_divide(F.col("dma_stall"), F.col("time")).alias("dma_stall_percent"), "measured_flop_rate", "model_flop_rate", "measured_memory_bw",
+        *(f"{m}_bw" for m in rl.MEMORIES), "operational_intensity", *(f"{m}_operational_intensity" for m in rl.MEMORIES), "bottleneck_operational_intensity", "bound_by",
+        (F.col("total_time") / cores).alias("total_time_per_core"), c.safe_divide(F.col("time"), whole).alias("total_time_in_percentage"), "optimal_flop_rate",
+        "roofline_efficiency", "compute_efficiency", "max_mem_bw_utilization", "include_infeed_outfeed", F.col("program_id").cast("string").alias("hlo_module_id"),
+        _or_empty(df, "source_info").alias("source_info"), "symbol_id", "self_time",
+    )
 
 
 def input_pipeline(breakdown: DataFrame, input_categories: list[str], other_categories: list[str]) -> DataFrame:
@@ -137,6 +183,12 @@ def inference_profile(requests: DataFrame, batches: DataFrame) -> DataFrame:
     return sv.serving_stats(requests, batches).join(p, "model").join(sv.throughput_latency(requests, ["model"]).select("model", "per_second"), "model")
 
 
+def kernel_utilization(counters: DataFrame, formulas: DataFrame, busy_metric: str, kernel: int | None = None) -> DataFrame:
+    """Each unit of a kernel (or of all) in percent of its peak, with the anomaly flag."""
+    out = ct.kernel_utilization(counters, formulas, busy_metric)
+    return out if kernel is None else out.where(F.col("kernel") == kernel)
+
+
 def utilization_viewer(counters: DataFrame, formulas: DataFrame) -> DataFrame:
     """Achieved against peak of each unit in percent."""
     out = ct.hw_utilization(ct.counter_values(counters, "sum"), formulas)
@@ -196,6 +248,6 @@ def reports() -> dict[str, Callable[..., DataFrame]]:
     """Every report by name."""
     found = (
         overview, kpi_metrics, device_information, hlo_stats, framework_op_stats, roofline_model, input_pipeline, step_trace, host_boundness, memory_profile,
-        memory_view, megascale_stats, megascale_timeline, inference_profile, utilization_viewer, module_info, find_instruction, event_details, suggestions,
+        memory_view, megascale_stats, megascale_timeline, inference_profile, utilization_viewer, kernel_utilization, module_info, find_instruction, event_details, suggestions,
     )
     return {f.__name__: f for f in found}
