@@ -110,3 +110,124 @@ def line_dedup(docs, m=2):
                 keep.append(x)
         out[i] = (len(s), len(gone), len(runs), max(runs, default=0), "\n".join(keep))
     return out
+
+
+def quality_kept(rows, fence=5, min_group=100):
+    """rows: (doc_id, text, lang, source) -> ids that pass the adaptive thresholds."""
+    names = {"len": (1, 0, 250, 9000), "sym": (2, 0, 20, 1000), "dup": (3, 5, 60, 600), "rep": (4, 0, 30, 1000)}
+
+    def bucket(v):
+        shift = max(v.bit_length() - 6, 0)
+        return v >> shift << shift
+
+    data = []
+    for i, text, lang, source in rows:
+        q = (*quality_base(text), len([x for x in (text or "").split("\n") if words(x)]))
+        failed = q[0] < 10 or 100 * q[4] > 20 * q[0]
+        values = {k: (1000 * q[num] // max(q[den], 1), max(q[den], 1)) for k, (num, den, *_) in names.items()}
+        data.append((i, lang or "", source or "", failed, values))
+
+    def quartiles(k, keep):
+        v = sorted(bucket(x[4][k][0]) for x in data if not x[3] and keep(x))
+        return (len(v), [next(b for j, b in enumerate(v) if (j + 1) * 4 >= len(v) * n) for n in (1, 2, 3)]) if v else (0, None)
+
+    cache, kept = {}, set()
+    for i, lang, source, failed, values in data:
+        odd = False
+        for k, (_, _, floor, slack) in names.items():
+            key = (k, lang, source)
+            if key not in cache:
+                tries = [lambda x: x[1:3] == (lang, source), lambda x: x[1] == lang, lambda x: True]
+                found = [quartiles(k, t) for t in tries]
+                cache[key] = next((q for n, q in found[:2] if n >= min_group), found[2][1])
+            q = cache[key]
+            if q is None:
+                continue
+            v, n = values[k]
+            sides = [v - (q[2] + fence * max(q[2] - q[1], floor))] + ([q[0] - fence * max(q[1] - q[0], floor) - v] if k == "len" else [])
+            odd = odd or any(s > 0 and s * s * n > slack * slack for s in sides)
+        if not failed and not odd:
+            kept.add(i)
+    return kept
+
+
+def contaminated(docs, items, threshold=0.5):
+    """Full Smith-Waterman of every item against every whole document."""
+    import string
+
+    drop = str.maketrans("", "", string.punctuation)
+
+    def normal(t):
+        return words((t or "").lower().translate(drop))
+
+    known = [w for w in (normal(t) for _, t in items) if w]
+    out = set()
+    for i, text in docs:
+        d = normal(text)
+        for item in known:
+            if not set(item) & set(d):
+                continue
+            best, row = 0, [0] * (len(d) + 1)
+            for w in item:
+                new = [0] * (len(d) + 1)
+                for j, x in enumerate(d, 1):
+                    new[j] = max(0, row[j - 1] + (2 if x == w else -1), row[j] - 1, new[j - 1] - 1)
+                best, row = max(best, *new), new
+            if best >= threshold * 2 * len(item):
+                out.add(i)
+                break
+    return out
+
+
+def mixed(rows, rounds=8, alpha=0.7, budget=0.8, seed=7):
+    """rows: (doc_id, text, lang, source) -> sampled ids."""
+    cells, place = {}, {}
+    for i, text, lang, source in rows:
+        n = len(words(text))
+        bars = (text or "").count("|")
+        topic = "table" if bars * 5 >= max(n, 5) else "brief" if n < 100 else "article" if n < 1000 else "book"
+        place[i] = (source or "", lang or "", topic)
+        cells[place[i]] = cells.get(place[i], 0) + n
+    total = sum(cells.values())
+    target = []
+    for d in range(3):
+        share = {}
+        for key, n in cells.items():
+            share[key[d]] = share.get(key[d], 0) + n
+        flat = {v: (n / total) ** alpha for v, n in share.items()}
+        target.append({v: f / sum(flat.values()) * total for v, f in flat.items()})
+    w = {key: float(n) for key, n in cells.items()}
+    for _ in range(rounds):
+        for d in range(3):
+            have = {}
+            for key, x in w.items():
+                have[key[d]] = have.get(key[d], 0) + x
+            w = {key: x * target[d][key[d]] / have[key[d]] for key, x in w.items()}
+    order = sorted((k for k in cells if cells[k]), key=lambda k: (-w[k] / cells[k], k))
+    n0, w0, scale = 0, 0.0, None
+    for key in order:
+        s = (budget * total - n0) / (sum(w.values()) - w0)
+        if s * w[key] / cells[key] <= 1:
+            scale = s
+            break
+        n0, w0 = n0 + cells[key], w0 + w[key]
+    p = {k: min(1.0, scale * w[k] / n) if n and scale is not None else 1.0 for k, n in cells.items()}
+    draw = {i: int(hashlib.md5(f"{i}:{seed}".encode()).hexdigest()[:13], 16) / 2**52 for i in place}
+    return {i for i in place if draw[i] < p[place[i]]}
+
+
+def shards(docs, limit=1 << 20):
+    """-> {doc_id: prefix} by splitting oversized buckets on the next bit."""
+    bits = {i: f"{int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16):060b}" for i, _ in docs}
+    size = {i: len((t or "").encode()) for i, t in docs}
+    out, work = {}, [("", list(bits))]
+    while work:
+        prefix, ids = work.pop()
+        if sum(size[i] for i in ids) <= limit or len(ids) == 1:
+            out.update(dict.fromkeys(ids, prefix))
+        else:
+            for b in "01":
+                part = [i for i in ids if bits[i][len(prefix)] == b]
+                if part:
+                    work.append((prefix + b, part))
+    return out
