@@ -142,6 +142,15 @@ def decode_files(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
     return rows.mapInArrow(run, SPANS)
 
 
+def convert(spark: SparkSession, root: str, out: str) -> None:
+    """S3: the bulk conversion: one pass over the files, written as Parquet in folders by
+    rejected, session and host and sorted by track and time within each file, so that
+    ``load_trace(...).where("not rejected and session = ...")`` reads little."""
+    spans = ingest_spaces(spark, root).withColumn("rejected", F.col("error").isNotNull())
+    spans = spans.repartition("rejected", "session", "host", "plane_id").sortWithinPartitions("rejected", "session", "host", "plane_id", "line_id", "begin", F.col("dur").desc(), "seq")
+    spans.write.mode("overwrite").partitionBy("rejected", "session", "host").parquet(out)
+
+
 def capabilities(spans: DataFrame) -> DataFrame:
     """(session, host, tool): which reports have data."""
     has = spans.groupBy("session", "host").agg(

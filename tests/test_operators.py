@@ -222,6 +222,9 @@ def test_ingest(spark, tmp_path):
     good = sorted((r.session, r.host, r.plane, r.line, r.name, r.begin, r.dur) for r in got if r.error is None)
     assert good == [("s1", h, "/device:TPU:0", "XLA Ops", n, b, d) for h in "ab" for n, b, d in (("add", 10, 5), ("mul", 20, 6))]
     assert {(r.session, r.host) for r in got if r.error} == {("s2", "a"), ("s2", "b")}
+    traces.convert(spark, str(tmp_path), str(tmp_path / "table"))
+    table = traces.load_trace(spark, str(tmp_path / "table"), traces.SPANS + ", rejected boolean")
+    assert table.where("not rejected").count() == 4 and table.where("rejected").count() == 2
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     for _ in range(2):  # a second run finds nothing new
         ingest.stream_ingest(spark, str(tmp_path / "x"), out, state).awaitTermination()
