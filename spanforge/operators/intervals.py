@@ -241,7 +241,8 @@ def intersect_steps(parts: DataFrame, device: str = "device", step: str = "step"
 def collective_overlap(spans: DataFrame, steps: DataFrame, by: Sequence[str], compute: Column, collective: Column, width: int) -> DataFrame:
     """Per step busy time, compute time, collective time, and how much of the collective
     time is hidden behind compute."""
-    inside = contained_in(spans, steps, by, width).withColumnRenamed("r_step", "step")
+    inside = contained_in(spans, steps, by, width).select(*by, F.col("r_step").alias("step"), *(c for c in spans.columns if c not in by))
+    inside = checkpointed(inside)  # five branches read it
     keys = [*by, "step"]
     c, k = inside.where(compute), inside.where(collective)
     out = busy_time(inside, keys).select(*keys, "busy")
