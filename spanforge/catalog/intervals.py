@@ -195,6 +195,20 @@ def align_hosts(t):
     return iv.align_hosts(s)
 
 
+@query(
+    "j13_step_intersection",
+    """SELECT host, f - "offset" AS first_step, greatest(t - f + 1, 0) AS n FROM (SELECT *, max(lo + "offset") OVER () AS f, min(hi + "offset") OVER () AS t FROM
+  (SELECT host, min(idx) AS lo, max(idx) AS hi FROM hs GROUP BY host) JOIN (SELECT host, "offset" FROM (SELECT host, "offset", row_number() OVER (PARTITION BY host ORDER BY overlap DESC, "offset" < 0, abs("offset")) AS r FROM (
+    SELECT s.host, c.idx - s.idx AS "offset", sum(least(s.begin + s.dur, c.begin + c.dur) - greatest(s.begin, c.begin)) AS overlap
+    FROM hs s, hs c WHERE c.host = (SELECT host FROM hs GROUP BY host ORDER BY max(begin + dur) - min(begin), host LIMIT 1)
+      AND s.begin < c.begin + c.dur AND c.begin < s.begin + s.dur GROUP BY ALL)) WHERE r = 1) USING (host))""",
+    _HOST,
+)
+def step_intersection(t):
+    w = F.row_number().over(iv.W.partitionBy("host").orderBy("begin", "seq"))
+    return iv.step_intersection(t.spans.where("name = 'purchase'").select("host", w.cast("bigint").alias("idx"), "begin", "dur"))
+
+
 @query(
     "j10_intersect_steps",
     "SELECT step FROM steps GROUP BY step HAVING count(DISTINCT plane_id) = (SELECT count(DISTINCT plane_id) FROM steps)",

@@ -11,7 +11,7 @@ from spanforge.operators import intervals as iv
 from spanforge.operators import joins as jn
 from spanforge.operators import metrics as mt
 
-from .intervals import PARENTS
+from .intervals import PARENTS, islands
 from .registry import query
 
 FULL = ["l_orderkey", "l_linenumber"]
@@ -349,6 +349,18 @@ def kernel_stats(t):
     return mt.kernel_stats(t.spans, c.canonical_kernel(F.col("name")), 3).withColumn("avg", F.round("avg", 2))
 
 
+@query(
+    "a2_kernel_summary",
+    """SELECT plane_id, b.busy, b.islands, round(m.avg, 2) AS avg, round(m.sd / 1000, 2) AS sd, m.min, m.max, m.steps FROM
+  (SELECT plane_id, CAST(sum(end_ts - begin) AS BIGINT) AS busy, count(*) AS islands FROM islands GROUP BY plane_id) b LEFT JOIN
+  (SELECT plane_id, avg(dur) AS avg, stddev_samp(dur) AS sd, min(dur) AS min, max(dur) AS max, count(*) AS steps FROM spans WHERE name = 'signup' GROUP BY plane_id) m USING (plane_id)""",
+    islands(src="(SELECT * FROM spans WHERE name <> 'signup')"),
+)
+def kernel_summary(t):
+    out = mt.kernel_summary(t.spans.where("name <> 'signup'"), t.spans.where("name = 'signup'"), ["plane_id"])
+    return out.withColumn("avg", F.round("avg", 2)).withColumn("sd", F.round(F.col("sd") / 1000, 2))
+
+
 @query("a3_avg_step_time", "SELECT count(*) AS count, round(avg(dur), 2) AS avg FROM spans WHERE name = 'view'")
 def avg_step_time(t):
     return mt.avg_step_time(t.spans, "^view$").withColumn("avg", F.round("avg", 2))

@@ -231,6 +231,19 @@ def align_hosts(steps: DataFrame) -> DataFrame:
     return sums.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
+def step_intersection(steps: DataFrame, hosts: int | None = None) -> DataFrame:
+    """steps(host, idx, begin, dur) -> (host, first_step, n): the range of steps that all
+    aligned hosts have in common; n is 0 if a host overlaps no step of the chief, or if fewer
+    than ``hosts`` hosts have steps."""
+    own = steps.groupBy("host").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+    own = own.join(align_hosts(steps).select("host", "offset"), "host", "left")
+    whole = own.agg(F.max(F.col("lo") + F.col("offset")).alias("from"), F.min(F.col("hi") + F.col("offset")).alias("to"), F.count_if(F.col("offset").isNull()).alias("lost"), F.count("*").alias("seen"))
+    out = own.join(F.broadcast(whole))  # one row
+    empty = (F.col("lost") > 0) | (F.col("to") < F.col("from"))
+    empty = empty | (F.col("seen") < hosts) if hosts else empty
+    return out.select("host", (F.col("from") - F.col("offset")).alias("first_step"), F.when(empty, F.lit(0)).otherwise(F.col("to") - F.col("from") + 1).alias("n"))
+
+
 def intersect_steps(parts: DataFrame, device: str = "device", step: str = "step") -> DataFrame:
     """The steps present on every device that has any."""
     devices = parts.select(F.count_distinct(device).alias("n"))

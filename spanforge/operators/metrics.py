@@ -36,6 +36,16 @@ def kernel_stats(spans: DataFrame, name: Column, limit: int) -> DataFrame:
     return out.withColumn("avg", c.safe_divide(F.col("total"), F.col("count"))).orderBy(F.col("total").desc(), "kernel").limit(limit)
 
 
+def kernel_summary(spans: DataFrame, modules: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A2, summary form: per device the union time of its kernels, and the count, mean and
+    deviation of its module events."""
+    from spanforge.operators.intervals import busy_time
+
+    steps = summary_stats(modules.withColumn("_one", F.lit(1)), "dur", by)
+    count = modules.groupBy(*by).agg(F.count("*").alias("steps"))
+    return busy_time(spans, by).join(steps, list(by), "left").join(count, list(by), "left")
+
+
 def op_metrics(events: DataFrame, ops: DataFrame, scale: float = 1.0) -> DataFrame:
     """A4: per (program, symbol): occurrences (at least one per event), time, self time (column
     self_dur, else time), normalized and least time, stall; flops and bytes are those of an

@@ -98,6 +98,20 @@ def test_align_hosts_shifted(spark):
     assert got == {"h0": 0, "h1": 1, "h2": 2, "h3": 3}
 
 
+def test_step_intersection(spark):
+    n, d, schema = 10, 2_000_000_000, "host string, idx bigint, begin bigint, dur bigint"
+
+    def run(rows, hosts=None):
+        return {r.host: (r.first_step, r.n) for r in iv.step_intersection(spark.createDataFrame(rows, schema), hosts).collect()}
+
+    shifted = run([(f"h{h}", i, (i + h) * d, d) for h in range(4) for i in range(n)])
+    assert shifted["h0"] == (3, n - 3) and {x[1] for x in shifted.values()} == {n - 3}
+    assert set(run([(f"h{h}", i, i * d + 100 * h, d) for h in range(4) for i in range(n)]).values()) == {(0, n)}
+    assert {x[1] for x in run([(f"h{h}", i, i * d, d) for h in range(2) for i in range(5 if h else n)]).values()} == {5}
+    assert {x[1] for x in run([(f"h{h}", i, (i + 100 * h) * d, d) for h in range(3) for i in range(n)]).values()} == {0}
+    assert {x[1] for x in run([("h0", i, i * d, d) for i in range(n)], hosts=2).values()} == {0}
+
+
 def test_slack(spark):
     us = 1_000_000
     rows = [(0, "rv", "send", 0, 1 * us, 2 * us), (0, "rv", "recv", 1, 4 * us, us), (0, "rv", "send-done", 2, 10 * us, us // 2), (0, "rv", "recv-done", 3, 20 * us, 3 * us)]
