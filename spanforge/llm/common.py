@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,6 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: White space of the word rule: words are maximal runs of other characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -101,6 +101,64 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+class ByteWords:
+    """Splits texts (bytes) into words and hashes them, all in array operations.
+
+    A word's hash is a polynomial of a random value per byte, taken from prefix sums and made
+    independent of its place with the inverse power (modulo 2^64), then mixed with its length.
+    Work goes in segments of about ``segment`` bytes that end at white space, so memory stays
+    bounded for texts of any length.
+    """
+
+    def __init__(self, segment: int = 1 << 19, seed: int = 20240401):
+        rng = np.random.default_rng(seed)
+        self.segment = segment
+        self.value = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(rng.integers(2**32, 2**63)) * 8 + 3  # odd
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.powers = self.inverse = np.empty(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            for name, factor in (("powers", self.base % 2**64), ("inverse", pow(self.base, -1, 2**64))):
+                steps = np.full(n, factor, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+
+    def _segment(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, hash) of each word of x."""
+        self._grow(len(x) + 1)
+        word = np.zeros(len(x) + 2, np.int8)
+        word[1:-1] = ~self.space[x]
+        edge = np.diff(word)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(self.value[x] * self.powers[: len(x)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.inverse[start]
+        return start, mix(h + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words of all texts in order, number of words of each text)."""
+        blob = b"\n".join(texts)
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+        starts, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+        while at < len(blob):
+            to = min(len(blob), at + self.segment)
+            if to < len(blob):  # on to the next white space
+                found = _BREAK.search(blob, to)
+                to = found.start() if found else len(blob)
+            start, h = self._segment(np.frombuffer(blob, np.uint8, to - at, at))
+            starts.append(start + at)
+            hashes.append(h)
+            at = to
+        starts = np.concatenate(starts)
+        return np.concatenate(hashes), np.diff(np.searchsorted(starts, begins))
+
+
+_BREAK = re.compile(rb"[\x20\x09-\x0d]")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser on 64-bit values."""
     x = x ^ (x >> np.uint64(33))
@@ -122,10 +180,5 @@ def windows(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def words_col(text):
-    """Column: array of the words of a text; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
-
-
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))

@@ -4,16 +4,16 @@ Words are compared in lower case, without ASCII punctuation. Every n-gram of a b
 is a possible seed; how rare it is follows from the corpus frequencies of its words (the sum
 of their surprisals), not from its own frequency, so a leaked passage cannot hide by being
 frequent. Seeds below ``bits`` are left out, except where an item would keep less than half of
-its n-grams: then its rarest half stays. Documents are joined to items on seeds; around the
-seeds of a pair the passage is cut out and aligned with the item (match +2, mismatch -1, gap
--1). The score is the best alignment over all passages, divided by the item's perfect score;
-from ``threshold`` on the document is contaminated. Edited and paraphrased copies lose only
-what was edited.
+its n-grams: then its rarest half stays. Around the seeds found in a document its passages are
+cut out (the longest item's length to either side), joined to items on the seeds, and aligned
+(match +2, mismatch -1, gap -1). The score is the best alignment over all passages, divided by
+the item's perfect score; from ``threshold`` on the document is contaminated. Edited and
+paraphrased copies lose only what was edited. Only passages are shuffled, never whole texts.
 
 The benchmark side is small: while its words and seeds stay below ``filter_bound`` entries
 they are also sent to the tasks as a filter, and beyond that all n-grams meet them in the
-same joins without it. A document's hits are grouped by document, so a passage that sits in a
-third of all documents is spread like the documents.
+same joins without it. Passages are joined by document and place, so one that sits in a third of
+all documents is spread like the documents.
 
 Odd rows: null or empty texts and items match nothing; items with fewer words than n seed with
 their whole sequence; ties go to the lowest item_id; repeated rows are judged alike; a null
@@ -29,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunks, materialize, raw, signed, windows
+from .common import ByteWords, chunks, materialize, raw, signed, windows
 
 _PUNCTUATION = string.punctuation.encode()
 
 
-def normal_words(text) -> list:
-    return (text or b"").decode("utf-8", "replace").lower().encode().translate(None, _PUNCTUATION).split()
+def normal(text) -> bytes:
+    """The text in lower case, without ASCII punctuation."""
+    text = text or b""
+    text = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    return text.translate(None, _PUNCTUATION)
 
 
 def align(item: np.ndarray, passage: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = 1) -> int:
@@ -54,19 +57,31 @@ def align(item: np.ndarray, passage: np.ndarray, match: int = 2, mismatch: int =
     return best
 
 
-def item_grams(items: DataFrame, n: int) -> DataFrame:
-    """(item_id, at, key, words): the n-grams of the items and the hashes of their words."""
+def item_words(items: DataFrame) -> DataFrame:
+    """(item_id, words): the word hashes of each item."""
 
     def run(batches):
-        hashes = WordHash()
+        split = ByteWords()
         for part in chunks(batches):
+            h, sizes = split([normal(t) for t in raw(part.column("text"))])
+            where = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.ListArray.from_arrays(where, signed(h))], names=["item_id", "words"])
+
+    found = items.where("item_id is not null").mapInArrow(run, "item_id bigint, words array<bigint>")
+    return found.where("size(words) > 0").dropDuplicates(["item_id"])
+
+
+def item_grams(items: DataFrame, n: int) -> DataFrame:
+    """(item_id, at, key, words): the n-grams of items(item_id, words)."""
+
+    def run(batches):
+        for batch in batches:
             out = []
-            for i, text in zip(part.column("item_id").to_pylist(), raw(part.column("text"))):
-                h = hashes.of(normal_words(text))
+            for i, found in zip(batch.column("item_id").to_pylist(), batch.column("words")):
+                h = np.asarray(found.values).view(np.uint64)
                 k = min(n, len(h))
-                if k and i is not None:
-                    for at, key in enumerate(windows(h, k)):
-                        out.append((i, at, int(key.view(np.int64)), h[at : at + k].view(np.int64).tolist()))
+                for at, key in enumerate(windows(h, k)):
+                    out.append((i, at, int(key.view(np.int64)), h[at : at + k].view(np.int64).tolist()))
             ids, at, key, words = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(key, pa.int64()), pa.array(words, pa.list_(pa.int64()))],
@@ -76,51 +91,100 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
     return items.mapInArrow(run, "item_id bigint, at int, key bigint, words array<bigint>")
 
 
-def _hashes(docs: DataFrame, wanted, n: int) -> DataFrame:
-    """n = 0: (key, total) counts of words; else (doc_id, at, key): n-grams. Only wanted keys,
-    if wanted is the broadcast of a sorted array."""
+class _Wanted:
+    """Tells which 64-bit keys are in a sorted array: a table over the top bits first, then a
+    binary search for what passes. Without an array all keys are wanted."""
+
+    def __init__(self, keys: np.ndarray | None):
+        self.keys = keys
+        if keys is not None:
+            self.table = np.zeros(1 << 20, bool)
+            self.table[(keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if self.keys is None:
+            return np.arange(len(keys))
+        if not len(self.keys):
+            return np.empty(0, np.int64)
+        maybe = np.flatnonzero(self.table[(keys >> np.uint64(44)).astype(np.int64)])
+        found = keys[maybe]
+        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        return maybe[self.keys[at] == found]
+
+
+def word_counts(docs: DataFrame, wanted) -> DataFrame:
+    """(total, key, n): counts of wanted words, and of all words where total holds."""
+
+    def run(batches):
+        split, chosen = ByteWords(), _Wanted(wanted.value if wanted is not None else None)
+        for part in chunks(batches):
+            h, _ = split([normal(t) for t in raw(part.column("text"))])
+            keys, counts = np.unique(h[chosen(h)], return_counts=True)
+            total = np.zeros(len(keys) + 1, bool)
+            total[-1] = True
+            keys, counts = np.append(keys, np.uint64(0)), np.append(counts, len(h)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(total), signed(keys), pa.array(counts)], names=["total", "key", "n"])
+
+    return docs.mapInArrow(run, "total boolean, key bigint, n bigint")
+
+
+def passages(docs: DataFrame, wanted, lengths: list[int], reach: int) -> DataFrame:
+    """(doc_id, start, words, keys): the passages of all documents around wanted n-grams of the
+    given lengths, as word hashes with the keys found in them; hits whose surroundings of
+    reach words meet share a passage."""
+
+    def run(batches):
+        split, chosen = ByteWords(), _Wanted(wanted.value if wanted is not None else None)
+        for part in chunks(batches):
+            named = part.filter(part.column("doc_id").is_valid())
+            h, sizes = split([normal(t) for t in raw(named.column("text"))])
+            ends = np.cumsum(sizes)
+            at, key, width = [], [], []
+            for k in lengths:
+                g = windows(h, k)
+                hit = chosen(g)
+                hit = hit[hit + k <= ends[np.searchsorted(ends, hit, side="right")]]
+                at.append(hit)
+                key.append(g[hit])
+                width.append(np.full(len(hit), k))
+            at, key, width = np.concatenate(at), np.concatenate(key), np.concatenate(width)
+            if not len(at):
+                continue
+            order = np.argsort(at, kind="stable")
+            at, key, width = at[order], key[order], width[order]
+            of = np.searchsorted(ends, at, side="right")
+            new = np.ones(len(at), bool)
+            new[1:] = (of[1:] != of[:-1]) | (np.diff(at) > 2 * reach)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at)) - 1
+            doc = of[first]
+            low = np.maximum(at[first] - reach, (ends - sizes)[doc])
+            high = np.minimum(at[last] + width[last] + reach, ends[doc])
+            words = np.concatenate([h[a:b] for a, b in zip(low, high)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    named.column("doc_id").take(pa.array(doc)), pa.array(low - (ends - sizes)[doc]),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(high - low)), pa.int32()), signed(words)),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), signed(key)),
+                ],
+                names=["doc_id", "start", "words", "keys"],
+            )
+
+    return docs.mapInArrow(run, "doc_id bigint, start bigint, words array<bigint>, keys array<bigint>")
+
+
+def aligned(pairs: DataFrame) -> DataFrame:
+    """pairs(doc_id, item_id, item, words) -> (doc_id, item_id, score)."""
 
     def run(batches):
-        hashes = WordHash()
-        keep = wanted.value if wanted is not None else None
-
-        def chosen(keys):
-            if keep is None:
-                return np.arange(len(keys))
-            if not len(keep):
-                return np.empty(0, np.int64)
-            at = np.minimum(np.searchsorted(keep, keys), len(keep) - 1)
-            return np.flatnonzero(keep[at] == keys)
-
-        for part in chunks(batches, limit=8 << 20):
-            doc, pos, key, total = [], [], [], 0
-            for i, text in zip(part.column("doc_id").to_pylist(), raw(part.column("text"))):
-                h = hashes.of(normal_words(text))
-                total += len(h)
-                if not len(h) or (n and i is None):
-                    continue
-                if n:
-                    for k in range(1, n + 1):  # shorter ones only seed items of that many words
-                        g = windows(h, k)
-                        at = chosen(g) if k == n or keep is not None else np.empty(0, np.int64)
-                        doc.append(np.full(len(at), i, np.int64))
-                        pos.append(at)
-                        key.append(g[at])
-                else:
-                    key.append(h[chosen(h)])
-            keys = np.concatenate(key) if key else np.empty(0, np.uint64)
-            if n:
-                doc = np.concatenate(doc) if doc else np.empty(0, np.int64)
-                pos = np.concatenate(pos) if pos else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos.astype(np.int32)), signed(keys)], names=["doc_id", "at", "key"])
-            else:
-                keys, counts = np.unique(keys, return_counts=True)
-                keys, counts = np.concatenate([keys, [np.uint64(0)]]), np.concatenate([counts, [total]])
-                total_row = np.zeros(len(keys), bool)
-                total_row[-1] = True
-                yield pa.RecordBatch.from_arrays([pa.array(total_row), signed(keys), pa.array(counts.astype(np.int64))], names=["total", "key", "n"])
-
-    return docs.mapInArrow(run, "doc_id bigint, at int, key bigint" if n else "total boolean, key bigint, n bigint")
+        for batch in batches:
+            score = []
+            for item, words in zip(batch.column("item"), batch.column("words")):
+                item, words = np.asarray(item.values), np.asarray(words.values)
+                score.append(round(align(item, words) / (2 * len(item)), 4))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(score, pa.float64())], names=["doc_id", "item_id", "score"])
+
+    return pairs.mapInArrow(run, "doc_id bigint, item_id bigint, score double")
 
 
 def _filter(df: DataFrame, bound: int):
@@ -142,11 +206,18 @@ def decontaminate(
     items(item_id, text) that aligns best, null if no seed is shared."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = materialize(item_words(items))
     grams = materialize(item_grams(items, n))
+    span = F.col("at") + F.size("words")
+    lengths = grams.groupBy(F.size("words").alias("k")).agg(F.max(span).alias("longest")).collect()  # n, and less for short items
+    if not lengths:
+        empty = F.lit(None)
+        return docs.select("doc_id", empty.cast("bigint").alias("item_id"), empty.cast("double").alias("score"), F.lit(False).alias("contaminated"))
+    longest = max(r.longest for r in lengths)
 
     words = grams.select(F.explode("words").alias("key")).distinct()
-    counts = _hashes(docs, _filter(words, filter_bound), 0).groupBy("total", "key").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.where("total").unionByName(counts.where("not total").join(words, "key", "left_semi")))
+    counts = word_counts(docs, _filter(words, filter_bound)).groupBy("total", "key").agg(F.sum("n").alias("n"))
+    counts = materialize(counts)
     corpus = counts.where("total").select(F.col("n").alias("corpus"))
     each = grams.select("item_id", "at", "key", F.explode("words").alias("word"))
     each = each.join(counts.where("not total").select(F.col("key").alias("word"), "n"), "word", "left").join(corpus)
@@ -156,36 +227,12 @@ def decontaminate(
     seeds = each.join(middle, "item_id").where((F.col("bits") >= bits) | (F.col("bits") >= F.col("middle")))
     seeds = materialize(seeds.select("item_id", F.col("at").alias("item_at"), "key"))
 
-    hits = _hashes(docs, _filter(seeds, filter_bound), n).join(seeds.select("key", "item_id").distinct(), "key")
-    found = hits.groupBy("doc_id", "item_id").agg(F.collect_set("at").alias("at"))
-    found = found.join(items.select("item_id", F.col("text").alias("item")).dropDuplicates(["item_id"]), "item_id")
-    found = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "at")).alias("found")))
-
-    def run(batches):
-        hashes = WordHash()
-        for part in chunks(batches):
-            best, scores = [], []
-            for text, found in zip(raw(part.column("text")), part.column("found").to_pylist()):
-                h = hashes.of(normal_words(text))
-                top = (-1.0, 0)
-                for x in sorted(found, key=lambda x: x["item_id"]):
-                    item = hashes.of(normal_words(x["item"].encode()))
-                    reach = len(item) + len(item) // 4 + 4
-                    score, start, end = 0, None, None
-                    for at in [*sorted(x["at"]), None]:
-                        if start is not None and (at is None or at - reach > end):
-                            score = max(score, align(item, h[start:end]))
-                            start = None
-                        if at is not None:
-                            start, end = max(0, at - reach) if start is None else start, at + n + reach
-                    ratio = score / (2 * len(item))
-                    if ratio > top[0]:
-                        top = (ratio, x["item_id"])
-                scores.append(round(top[0], 4))
-                best.append(top[1])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(best, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "score"])
-
-    scored = materialize(docs.join(found, "doc_id").mapInArrow(run, "doc_id bigint, item_id bigint, score double"))
-    top = scored.groupBy("doc_id").agg(F.max_by("item_id", "score").alias("item_id"), F.max("score").alias("score"))
+    found = passages(docs, _filter(seeds, filter_bound), sorted(r.k for r in lengths), longest + longest // 4 + 4)
+    found = materialize(found)
+    pairs = found.select("doc_id", "start", F.explode("keys").alias("key")).join(seeds.select("key", "item_id"), "key")
+    pairs = pairs.select("doc_id", "start", "item_id").distinct().join(items.withColumnRenamed("words", "item"), "item_id")
+    pairs = pairs.join(found.select("doc_id", "start", "words"), ["doc_id", "start"]).select("doc_id", "item_id", "item", "words")
+    top = aligned(pairs).groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("item"))).alias("best"))
+    top = top.select("doc_id", (-F.col("best.item")).alias("item_id"), F.col("best.score").alias("score"))
     out = docs.select("doc_id").join(top, "doc_id", "left")
     return out.withColumn("contaminated", F.coalesce(F.col("score") >= threshold, F.lit(False)))

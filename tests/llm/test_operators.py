@@ -300,3 +300,22 @@ def test_sharding_of_a_repeated_id(spark):
     rows = spark.range(300).select((F.col("id") * 0).alias("doc_id"), F.lit("x" * 100).alias("text"))
     out = shard(rows, limit=1_000).groupBy("shard").agg(F.sum("n_bytes").alias("b"))
     assert out.where("b > 1000").count() == 0 and out.agg(F.sum("b")).first()[0] == 30_000
+
+
+def test_byte_words():
+    """Word hashes do not depend on the place, the segment or the batch, and tell words apart."""
+    from spanforge.llm.common import ByteWords
+
+    rng = random.Random(9)
+    texts = ["", "  ", "a", *(" ".join(rng.choice("abé xyz") * rng.randrange(1, 9) + str(rng.randrange(500)) for _ in range(300)) for _ in range(20)), "x" * 5000]
+    blobs = [t.encode() for t in texts]
+    small, large = ByteWords(segment=64), ByteWords()
+    h, sizes = small(blobs)
+    assert sizes.tolist() == [len(b.split()) for b in blobs]
+    assert (h == large(blobs)[0]).all()
+    flat = [w for b in blobs for w in b.split()]
+    seen = {}
+    for word, value in zip(flat, h.tolist()):
+        assert seen.setdefault(word, value) == value
+    assert len(set(seen.values())) == len(seen)
+    assert small([])[0].size == 0
