@@ -91,7 +91,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, *, k: float = 5.0) -
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     background = trigram_counts(docs)
-    target = trigram_counts(docs.join(ids, "doc_id", "left_semi"))
+    target = trigram_counts(docs.join(ids.hint("merge"), "doc_id", "left_semi"))
     both = background.withColumnRenamed("n", "nb").join(target.withColumnRenamed("n", "nt"), "gram", "full")
     counts = both.na.fill(0).toPandas().sort_values("gram")  # at most 256^3 rows, by the vocabulary
     gram = counts["gram"].to_numpy(np.int64)
