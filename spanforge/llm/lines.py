@@ -43,7 +43,8 @@ def suffix_ranks(docs: DataFrame) -> list[DataFrame]:
     def ranked(rows, *keys):
         low = F.min(F.struct("doc_id", "at"))
         group = rows.groupBy(*keys).agg(low.alias("low"), F.max(F.struct("doc_id", "at")).alias("high")).where("low < high")
-        group = group.select(*keys, F.col("low.doc_id").alias("d"), F.col("low.at").alias("p"))
+        group = materialize(group.select(*keys, F.col("low.doc_id").alias("d"), F.col("low.at").alias("p")))
+        # a table of its own, so that Spark can split the rows of one hot run over tasks
         return materialize(rows.join(group, list(keys)).select("doc_id", "at", "d", "p"))
 
     levels = [ranked(materialize(keyed), "x", "y")]
@@ -134,5 +135,5 @@ def line_dedup(docs: DataFrame, *, min_lines: int = 2) -> DataFrame:
         marks = starts.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
         tally = runs.groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.max("length").cast("bigint").alias("longest_run"))
     marks = materialize(marks.join(tally, "doc_id", "full"))
-    rows = docs.join(marks, "doc_id", "left").na.fill(0, ["n_runs", "longest_run"])
+    rows = docs.join(marks.hint("merge"), "doc_id", "left").na.fill(0, ["n_runs", "longest_run"])
     return cut_lines(rows.select("doc_id", "text", "at", "n_runs", "longest_run"), min_lines)
