@@ -170,8 +170,9 @@ def near_duplicates(
 
     # exact copies of a set fold onto their least id
     known = base.where("n_shingles > 0 and doc_id is not null")
-    least = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    member = materialize(known.select("doc_id", "set_a", "set_b").join(least, ["set_a", "set_b"]).select("doc_id", "rep").distinct())
+    least = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep < most").drop("most")
+    member = known.select("doc_id", "set_a", "set_b").join(materialize(least), ["set_a", "set_b"], "left")
+    member = materialize(member.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct())
     reps = member.select(F.col("rep").alias("doc_id")).distinct()
     rep_rows = known.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
