@@ -13,7 +13,7 @@ from .lines import line_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import quality_rules
-from .scoring import score_documents
+from .scoring import score_words
 from .sharding import shard
 from .substring import substring_dedup
 from .urls import filter_urls
@@ -48,7 +48,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as good and not toxic."""
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
-    return score_documents(table(spark, sf_dir, "documents"), good)
+    return score_words(table(spark, sf_dir, "documents"), good)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,30 +1,36 @@
 """Cross-entropy difference of two matched n-gram models.
 
-Target and background model are byte trigram models: the same order, the same smoothing and
-one shared vocabulary, the 256 byte values (0 marks the edges of a document), so no token of
-any script is ever unknown. Trigram counts are gathered over all documents (background) and
-over all target documents, summed in Spark, and smoothed by interpolation with the shorter
-context: p(c|ab) = (n(abc) + k p(c|b)) / (n(ab.) + k), and so on down to the uniform.
-A model holds one row of 256 losses per observed two-byte context and one per single byte for
-the others: at most 65,792 rows whatever the corpus size, which is the proven bound of what
-is collected and broadcast (135 MB for both models at the very most, a few MB in practice).
+``score_words``, which the query uses, takes word bigram models over one shared vocabulary: all
+words of the corpus, with an edge mark around each document. Counts are gathered over all
+documents (background) and over all target documents and smoothed by interpolation with the
+shorter context: p(w|v) = (n(vw) + k p(w)) / (n(v.) + k), p(w) = (n(w) + k / V) / (N + k). Both
+models are one written table with the two losses of every bigram of the corpus, so it grows
+with the corpus; documents meet it in a join on the bigram and nothing is collected.
+Each slice of documents sends one row per distinct bigram, with the places of its documents, so
+a bigram that stands in every document costs one row per slice there.
+
+``score_documents`` is the same with byte trigrams over the closed vocabulary of the 256 byte
+values (0 marks the edges of a document): at most 65,792 rows of 256 losses however large the
+corpus is, built on the driver and broadcast. It knows letters only, no words.
 
 Each document gets the mean loss per token, in bits, under both models and their difference
 (negative: closer to the target). The documents of the target itself are scored like all
 others.
 
-Odd rows: null or empty text has no tokens and losses 0; repeated rows count each time; a
-target without documents gives the uniform model; further columns are ignored.
+Odd rows: null or empty text has no tokens and losses 0, and so have texts without words in
+``score_words``; repeated rows count each time; a target without documents gives the uniform
+model; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, raw
+from .common import ByteWords, chunks, materialize, raw
 
 COUNTS = "gram int, n bigint"
 
@@ -125,3 +131,82 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, *, k: float = 5.0) -
             )
 
     return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+
+
+#: Rows of bigrams (v, w): the documents base + docs they stand in, once per occurrence, of which
+#: nt are in the target. Rows of documents (v is null): base, doc_id and n tokens.
+BIGRAMS = "v bigint, w bigint, base bigint, docs array<int>, nt bigint, doc_id bigint, n bigint"
+_EDGE = np.uint64(1)
+
+
+def word_bigrams(docs: DataFrame) -> DataFrame:
+    """BIGRAMS of docs(doc_id, text, target)."""
+
+    def run(batches):
+        split, base = ByteWords(), TaskContext.get().partitionId() << 40
+        schema = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("base", pa.int64()), ("docs", pa.list_(pa.int32())), ("nt", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+
+        def rows(size, **columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name]) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+        for part in chunks(batches, limit=8 << 20):
+            h, sizes = split([t or b"" for t in raw(part.column("text"))])
+            n = np.where(sizes > 0, sizes + 1, 0)
+            yield rows(len(n), base=base + np.arange(len(n)), doc_id=part.column("doc_id"), n=n)
+            full = np.flatnonzero(sizes)
+            if len(full):
+                starts = np.cumsum(sizes[full]) - sizes[full]
+                names, code = np.unique(np.append(h, _EDGE), return_inverse=True)
+                edge, code = code[-1], code[:-1]
+                before = np.insert(code, starts, edge)
+                after = np.insert(code, starts + sizes[full], edge)
+                doc = np.repeat(full, n[full])
+                pair = before * len(names) + after
+                order = np.argsort(pair, kind="stable")
+                pair, doc = pair[order], doc[order]
+                first = np.flatnonzero(np.append(True, np.diff(pair) != 0))
+                near = np.asarray(part.column("target").to_numpy(zero_copy_only=False), np.int64)[doc]
+                yield rows(
+                    len(first), v=names[pair[first] // len(names)].view(np.int64), w=names[pair[first] % len(names)].view(np.int64),
+                    base=np.full(len(first), base), nt=np.add.reduceat(near, first),
+                    docs=pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.array(doc, pa.int32())),
+                )
+            base += len(n)
+
+    return docs.mapInArrow(run, BIGRAMS)
+
+
+def bigram_losses(grams: DataFrame, k: float) -> DataFrame:
+    """(v, w, near, far): losses in bits of all bigrams under target and background."""
+    counts = grams.groupBy("v", "w").agg(F.sum(F.size("docs")).alias("nb"), F.sum("nt").alias("nt"))
+    counts = materialize(counts)
+    single = materialize(counts.groupBy("w").agg(F.sum("nb").alias("wb"), F.sum("nt").alias("wt")))
+    # every word, and the edge once a document, is followed as often as it follows
+    context = single.select(F.col("w").alias("v"), F.col("wb").alias("vb"), F.col("wt").alias("vt"))
+    total = single.agg(F.count("*").alias("size"), F.sum("wb").alias("ab"), F.sum("wt").alias("at"))
+    rows = counts.join(single.crossJoin(F.broadcast(total)), "w").join(context, "v")
+
+    def loss(pair, before, word, every):
+        p = (F.col(word) + F.lit(k) / F.col("size")) / (F.col(every) + F.lit(k))
+        return -F.log2((F.col(pair) + F.lit(k) * p) / (F.col(before) + F.lit(k)))
+
+    return rows.select("v", "w", loss("nt", "vt", "wt", "at").alias("near"), loss("nb", "vb", "wb", "ab").alias("far"))
+
+
+def score_words(docs: DataFrame, target_ids: DataFrame, *, k: float = 5.0) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) for every row of docs(doc_id,
+    text); target_ids(doc_id) names the target documents."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(True).alias("target")).distinct()
+    docs = docs.join(ids.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    found = materialize(word_bigrams(docs))
+    grams = found.where("v is not null")
+    model = materialize(bigram_losses(grams, k))
+    each = grams.select("v", "w", "base", "docs").join(model.hint("merge"), ["v", "w"])
+    each = each.select("base", F.explode("docs").alias("doc"), "near", "far")
+    sums = materialize(each.groupBy((F.col("base") + F.col("doc")).alias("base")).agg(F.sum("near").alias("near"), F.sum("far").alias("far")))
+    rows = found.where("v is null").select("base", "doc_id", "n").join(sums, "base", "left")
+    near, far = (F.coalesce(F.col(c) / F.col("n"), F.lit(0.0)) for c in ("near", "far"))
+    return rows.select(
+        "doc_id", F.col("n").alias("n_tokens"), F.round(near, 6).alias("target_loss"), F.round(far, 6).alias("background_loss"), F.round(near - far, 6).alias("score")
+    )
