@@ -60,7 +60,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"))
+    """Every maximal repeated run counts, also one of a single line."""
+    out = line_dedup(table(spark, sf_dir, "documents"), min_lines=1)
     return out.withColumn("kept_sha256", F.sha2(F.col("kept_text").cast("binary"), 256)).drop("kept_text")
 
 

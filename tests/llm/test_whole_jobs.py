@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.llm import queries
+from spanforge.llm.lines import line_dedup
 from spanforge.llm.scoring import score_words
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,19 @@ def test_lm_scoring_query_uses_words(spark):
     docs = {r.doc_id: len(brute.words(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op6_lm_scoring(spark, SF).collect():
         assert r.n_tokens == (docs[r.doc_id] + 1 if docs[r.doc_id] else 0)
+
+
+def test_line_dedup_of_single_lines(spark):
+    """A repeated line between differing neighbours goes, in all but its first place."""
+    rows = [(1, "a b\nshared line\nc d"), (2, "e f\nshared line\ng h\n\nshared line"), (3, "shared line"), (4, "i\nc d\nshared line"), (None, "c d")]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), min_lines=1).collect()
+    want = brute.line_dedup(rows[:-1], 1)
+    assert {r.doc_id: tuple(r[1:]) for r in got if r.doc_id is not None} == want
+    assert want[2][-1] == "e f\ng h\n" and want[3][-1] == ""
+
+
+def test_line_dedup_query_leaves_no_later_copy(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute.line_dedup(docs, 1)
+    for r in queries.op9_lines(spark, SF).collect():
+        assert (r.n_lines, r.n_removed, r.n_runs, r.longest_run, r.kept_sha256) == (*want[r.doc_id][:4], brute.sha(want[r.doc_id][4]))
