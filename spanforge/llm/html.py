@@ -3,12 +3,13 @@
 The standard-library parser streams events over the whole page. Block elements cut the page
 into lines; each line knows its text, the number of tags seen since the line before, the
 region it lies in (the nearest article, main, section, div, td or body element) and whether an element around it is
-page furniture (by tag, role, or the words of class and id). The text-to-tag ratios are
-smoothed with a Gaussian kernel along the page, a two-means threshold splits them into
-content and the rest, and the region with the most content text is selected, together with
-all it contains; lines of other regions stay only if they are content and no article or main
-element was selected. Furniture never counts. Every line of a selected region is kept
-whole, however short.
+page furniture (by tag, role, or the names of class and id, whole ones only; an article is never
+furniture by its names). If there are article or main elements, all they contain is selected.
+Else the text-to-tag ratios are smoothed with a Gaussian kernel along the page, a two-means
+threshold splits them into content and the rest, and the smallest region that holds all content
+lines is selected, together with all it contains; a region of one line, such as a div or cell
+around a paragraph, counts as a line of the region around it. Furniture never counts. Every line
+of a selected region is kept whole, however short.
 
 Odd pages: null or empty html, or a page of furniture only, gives an empty text; unclosed
 elements end with their parent; declarations the parser knows nothing of are skipped as
@@ -54,7 +55,7 @@ class PageEvents(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack = []  # (tag, furniture, region id, in article)
         self.lines = []
-        self.parts, self.tags, self.regions = [], 0, 0
+        self.parts, self.tags, self.parents = [], 0, [0]
 
     def state(self):
         return self.stack[-1][1:] if self.stack else (False, 0, False)
@@ -92,16 +93,16 @@ class PageEvents(HTMLParser):
         furniture, region, article = self.state()
         if not furniture:
             furniture = tag in FURNITURE
-            if not furniture and tag not in ("html", "body", "main"):
+            if not furniture and tag not in ("html", "body", "main", "article"):
                 for name, value in attrs:
                     if name == "hidden" or (name == "aria-hidden" and value == "true"):
                         furniture = True
                     elif name in ("class", "id", "role") and value:
-                        furniture = furniture or not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value.lower()))
+                        furniture = furniture or not NAMES.isdisjoint(value.lower().split())
         if tag in REGION:
-            self.regions += 1
             if not (article and tag not in ("article", "main")):
-                region = self.regions
+                self.parents.append(region)
+                region = len(self.parents) - 1
         self.stack.append((tag, furniture, region, article or tag in ("article", "main")))
 
     def handle_endtag(self, tag):
@@ -157,21 +158,32 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     lines = parser.lines
     if not any(region is not None for _, _, region, _ in lines):
         return ""
+    if any(article for _, _, region, article in lines if region is not None):
+        return "\n\n".join(text for text, _, region, article in lines if region is not None and article)
     ratios = smooth([math.log1p(len(text) / max(1, tags)) if region is not None else 0.0 for text, tags, region, _ in lines], sigma)
     cut = two_means(ratios)
-    weight, inside = {}, set()
-    for (text, _, region, article), ratio in zip(lines, ratios):
+    parents = parser.parents
+    n = [0] * len(parents)
+    for _, _, region, _ in lines:
         if region is not None:
-            content = ratio >= cut
-            weight[region] = weight.get(region, 0) + (len(text) if content else 0)
-            if article:
-                inside.add(region)
-    if inside:
-        chosen = {r for r in inside if weight[r] > 0} or inside
-    else:
-        best = max(weight.values())
-        chosen = {r for r, w in weight.items() if w > 0 or best == 0}
-    return "\n\n".join(text for text, _, region, _ in lines if region in chosen)
+            n[region] += 1
+    for region in range(len(parents) - 1, 0, -1):  # children come after their parents
+        n[parents[region]] += n[region]
+    home = list(range(len(parents)))
+    for region in range(1, len(parents)):
+        if n[region] < 2:
+            home[region] = home[parents[region]]
+    content = [home[region] for (_, _, region, _), ratio in zip(lines, ratios) if region is not None and ratio >= cut]
+    weight = [0] * len(parents)
+    for region in content:
+        weight[region] += 1
+    for region in range(len(parents) - 1, 0, -1):
+        weight[parents[region]] += weight[region]
+    best = max((region for region, w in enumerate(weight) if w == len(content) and home[region] == region), default=0) if content else 0
+    inside = [region == best for region in range(len(parents))]
+    for region in range(1, len(parents)):
+        inside[region] = inside[region] or inside[parents[region]]
+    return "\n\n".join(text for text, _, region, _ in lines if region is not None and inside[region])
 
 
 def extract_text(pages: DataFrame, *, sigma: float = 1.0) -> DataFrame:

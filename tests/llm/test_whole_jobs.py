@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.llm import queries
+from spanforge.llm.html import main_text
 from spanforge.llm.lines import line_dedup
 from spanforge.llm.scoring import score_words
 
@@ -80,3 +81,23 @@ def test_line_dedup_query_leaves_no_later_copy(spark):
     want = brute.line_dedup(docs, 1)
     for r in queries.op9_lines(spark, SF).collect():
         assert (r.n_lines, r.n_removed, r.n_runs, r.longest_run, r.kept_sha256) == (*want[r.doc_id][:4], brute.sha(want[r.doc_id][4]))
+
+
+def test_html_without_article():
+    """All paragraphs of the main text stay, one in each div or cell, however short."""
+    parts = ["Head", "a " * 50, "b " * 60, "c " * 400, "d " * 450, "end"]
+    parts = [" ".join(x.split()) for x in parts]
+    divs = "".join(f"<div>{x}</div>" for x in parts)
+    cells = "<table>" + "".join(f"<tr><td><div>{x}</div></td></tr>" for x in parts) + "</table>"
+    deep = f"<div class=content><div><h1>{parts[0]}</h1><p>{parts[1]}</p></div>" + "".join(f"<section><p>{x}</p></section>" for x in parts[2:]) + "</div>"
+    for page in (divs, cells, deep):
+        assert main_text(f"<body><div id=menu>m</div>{page}<footer>f</footer></body>") == "\n\n".join(parts)
+    assert "links" not in main_text(f"<body>{deep}<div><p>links</p><p>more</p></div></body>")
+
+
+def test_html_names_and_articles():
+    """Parts of hyphenated names are no furniture, articles never are, and short ones stay."""
+    text = "Long text of the page. " * 20
+    assert main_text(f"<div class='post-with-share no-sidebar'><p>{text}</p><p>short</p></div>").endswith("short")
+    page = f"<body><article class='comment related'><p>{text}</p></article><article><p>tiny</p></article></body>"
+    assert main_text(page) == text.strip() + "\n\ntiny"
