@@ -8,7 +8,9 @@ its n-grams: then its rarest half stays. Around the seeds found in a document it
 cut out (the longest item's length to either side), joined to items on the seeds, and aligned
 (match +2, mismatch -1, gap -1). The score is the best alignment over all passages, divided by
 the item's perfect score; from ``threshold`` on the document is contaminated. Edited and
-paraphrased copies lose only what was edited. Only passages are shuffled, never whole texts.
+paraphrased copies lose only what was edited. A document is contaminated as well if a passage
+and an item align over ``quote`` words of it or more with one error in five at most, however long the
+item is; of several items those that contaminate come first. Only passages are shuffled, never whole texts.
 
 The benchmark side is small: while its words and seeds stay below ``filter_bound`` entries
 they are also sent to the tasks as a filter, and beyond that all n-grams meet them in the
@@ -57,6 +59,32 @@ def align(item: np.ndarray, passage: np.ndarray, match: int = 2, mismatch: int =
     return best
 
 
+def quotes(item: np.ndarray, passage: np.ndarray, length: int) -> bool:
+    """Whether an alignment of length words of the item or more, from a match to a match, has
+    at most one error in five of them. Of one twice as long as length / 0.8, a half without the
+    errors at its cut is enough, so the most words with up to e errors are followed for the e
+    below that."""
+    most = _errors(length)
+    rows = np.zeros((most, len(passage) + 1), np.int32)
+    need = np.maximum(length, 5 * np.arange(most))[:, None]
+    for w in item:
+        new = np.zeros_like(rows)
+        same = passage == w
+        new[:, 1:] = np.where(same, rows[:, :-1] + 1, 0)
+        if (new[:, 1:] >= need).any():
+            return True
+        for e in range(1, most):
+            before = np.maximum(rows[e - 1, :-1], rows[e - 1, 1:])
+            before = np.maximum(np.where(before > 0, before + 1, 0), new[e - 1, :-1])  # a further passage word adds none
+            np.maximum(new[e, 1:], before, out=new[e, 1:])
+        rows = new
+    return False
+
+
+def _errors(length: int) -> int:
+    return (2 * -(-5 * length // 4) - 1) // 5 + 1
+
+
 def item_words(items: DataFrame) -> DataFrame:
     """(item_id, words): the word hashes of each item."""
 
@@ -173,18 +201,25 @@ def passages(docs: DataFrame, wanted, lengths: list[int], reach: int) -> DataFra
     return docs.mapInArrow(run, "doc_id bigint, start bigint, words array<bigint>, keys array<bigint>")
 
 
-def aligned(pairs: DataFrame) -> DataFrame:
-    """pairs(doc_id, item_id, item, words) -> (doc_id, item_id, score)."""
+def aligned(pairs: DataFrame, threshold: float, quote: int) -> DataFrame:
+    """pairs(doc_id, item_id, item, words) -> (doc_id, item_id, score, hit)."""
+    errors = np.arange(_errors(quote))
+    floor = int((2 * np.maximum(quote, 5 * errors) - 3 * errors).min())  # no quote scores less
 
     def run(batches):
         for batch in batches:
-            score = []
+            score, hit = [], []
             for item, words in zip(batch.column("item"), batch.column("words")):
                 item, words = np.asarray(item.values), np.asarray(words.values)
-                score.append(round(align(item, words) / (2 * len(item)), 4))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(score, pa.float64())], names=["doc_id", "item_id", "score"])
+                best = align(item, words)
+                score.append(round(best / (2 * len(item)), 4))
+                hit.append(score[-1] >= threshold or (best >= floor and quotes(item, words, quote)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("item_id"), pa.array(score, pa.float64()), pa.array(hit, pa.bool_())],
+                names=["doc_id", "item_id", "score", "hit"],
+            )
 
-    return pairs.mapInArrow(run, "doc_id bigint, item_id bigint, score double")
+    return pairs.mapInArrow(run, "doc_id bigint, item_id bigint, score double, hit boolean")
 
 
 def _filter(df: DataFrame, bound: int):
@@ -200,10 +235,11 @@ def decontaminate(
     n: int = 3,
     bits: float = 20.0,
     threshold: float = 0.5,
+    quote: int = 13,
     filter_bound: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, score, contaminated) for every row of docs(doc_id, text): the item of
-    items(item_id, text) that aligns best, null if no seed is shared."""
+    items(item_id, text) that contaminates, else aligns best, null if no seed is shared."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = materialize(item_words(items))
@@ -232,7 +268,8 @@ def decontaminate(
     pairs = found.select("doc_id", "start", F.explode("keys").alias("key")).join(seeds.select("key", "item_id"), "key")
     pairs = pairs.select("doc_id", "start", "item_id").distinct().join(items.withColumnRenamed("words", "item"), "item_id")
     pairs = pairs.join(found.select("doc_id", "start", "words"), ["doc_id", "start"]).select("doc_id", "item_id", "item", "words")
-    top = aligned(pairs).groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("item"))).alias("best"))
-    top = top.select("doc_id", (-F.col("best.item")).alias("item_id"), F.col("best.score").alias("score"))
+    best = F.max(F.struct("hit", "score", (-F.col("item_id")).alias("item"))).alias("best")
+    top = aligned(pairs, threshold, quote).groupBy("doc_id").agg(best)
+    top = top.select("doc_id", (-F.col("best.item")).alias("item_id"), F.col("best.score").alias("score"), F.col("best.hit").alias("hit"))
     out = docs.select("doc_id").join(top, "doc_id", "left")
-    return out.withColumn("contaminated", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    return out.withColumn("contaminated", F.coalesce("hit", F.lit(False))).drop("hit")

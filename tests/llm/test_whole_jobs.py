@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.llm import queries
+from spanforge.llm.decontam import decontaminate
 from spanforge.llm.html import main_text
 from spanforge.llm.lines import line_dedup
 from spanforge.llm.scoring import score_words
@@ -83,6 +84,23 @@ def test_line_dedup_query_leaves_no_later_copy(spark):
         assert (r.n_lines, r.n_removed, r.n_runs, r.longest_run, r.kept_sha256) == (*want[r.doc_id][:4], brute.sha(want[r.doc_id][4]))
 
 
+def test_decontamination_of_partial_quotes(spark):
+    """Part of a long item is a leak, verbatim or slightly edited; a dozen words are not."""
+    rng = random.Random(8)
+    item = [f"q{k}" for k in range(500)]
+
+    def around(part):
+        return " ".join([*(f"f{rng.randrange(400)}" for _ in range(80)), *part, *(f"f{rng.randrange(400)}" for _ in range(80))])
+
+    edited = [f"e{k}" if k % 6 == 3 else w for k, w in enumerate(item[300:330])]
+    gaps = [w for k, w in enumerate(item[300:340]) if k % 7 != 3]
+    poor = [f"e{k}" if k % 3 == 1 else w for k, w in enumerate(item[300:330])]
+    parts = {1: item[100:300], 2: item[40:65], 3: item[7:20], 4: edited, 5: gaps, 6: item[7:19], 7: poor, 8: []}
+    docs = spark.createDataFrame([(i, around(p)) for i, p in parts.items()], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "some other short item")], "item_id bigint, text string")
+    assert {r.doc_id for r in decontaminate(docs, items).collect() if r.contaminated} == {1, 2, 3, 4, 5}
+
+
 def test_html_without_article():
     """All paragraphs of the main text stay, one in each div or cell, however short."""
     parts = ["Head", "a " * 50, "b " * 60, "c " * 400, "d " * 450, "end"]
