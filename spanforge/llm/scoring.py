@@ -1,25 +1,23 @@
 """Cross-entropy difference of two matched n-gram models.
 
-``score_words``, which the query uses, takes word bigram models over one shared vocabulary: all
-words of the corpus, with an edge mark around each document. Counts are gathered over all
-documents (background) and over all target documents and smoothed by interpolation with the
-shorter context: p(w|v) = (n(vw) + k p(w)) / (n(v.) + k), p(w) = (n(w) + k / V) / (N + k). Both
-models are one written table with the two losses of every bigram of the corpus, so it grows
-with the corpus; documents meet it in a join on the bigram and nothing is collected.
-Each slice of documents sends one row per distinct bigram, with the places of its documents, so
-a bigram that stands in every document costs one row per slice there.
-
-``score_documents`` is the same with byte trigrams over the closed vocabulary of the 256 byte
-values (0 marks the edges of a document): at most 65,792 rows of 256 losses however large the
-corpus is, built on the driver and broadcast. It knows letters only, no words.
+Word bigram models over one shared vocabulary: all words of the corpus, with an edge mark
+around each document. Counts are gathered over all documents (background) and over all target
+documents and smoothed by interpolation with the shorter context:
+p(w|v) = (n(vw) + k p(w)) / (n(v.) + k), p(w) = (n(w) + k / V) / (N + k).
+
+Documents are kept in slices (see ``slices``). A slice sends the counts of its distinct words
+and bigrams, as 64-bit keys, to the buckets of the whole corpus and gets back, key by key, how
+often each stands elsewhere; with that it scores its documents. So what is gathered grows with
+the corpus, a bigram that stands in every document costs one entry per slice, texts are read
+once and nothing is collected but three sums.
 
 Each document gets the mean loss per token, in bits, under both models and their difference
 (negative: closer to the target). The documents of the target itself are scored like all
 others.
 
-Odd rows: null or empty text has no tokens and losses 0, and so have texts without words in
-``score_words``; repeated rows count each time; a target without documents gives the uniform
-model; further columns are ignored.
+Odd rows: null or empty text, or one without words, has no tokens and losses 0; repeated rows
+count each time; a target without documents gives the uniform model; a null doc_id is scored
+and belongs to no target; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,183 +28,142 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteWords, chunks, materialize, raw
-
-COUNTS = "gram int, n bigint"
-
+from .common import ByteWords, chunks, materialize, mix, raw, signed
+from .slices import answered, flat, lists, sent, settled, sizes
 
-def _codes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each after two edge marks and before one, and where each starts."""
-    blob = b"".join(b"\0\0" + t + b"\0" for t in texts)
-    starts = np.cumsum([0] + [len(t) + 3 for t in texts])
-    return np.frombuffer(blob, np.uint8), starts
+SLICES = "slice bigint, doc_id array<bigint>, length array<int>, vocabulary array<bigint>, codes array<int>, n bigint"
+_EDGE, _LOW = np.uint64(2), np.uint64(1)
 
 
-def trigram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n): counts of byte trigrams over docs(text); gram is a << 16 | b << 8 | c."""
+def word_slices(docs: DataFrame, limit: int) -> DataFrame:
+    """Slices of docs(doc_id, text binary): ids, number of words of each document, sorted word
+    hashes and the place of each word among them."""
 
     def run(batches):
-        total = np.zeros(1 << 24, np.uint32)
-        used = 0
-
-        def rows():
-            found = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found].astype(np.int64))], names=["gram", "n"])
-
-        for part in chunks(batches, limit=2 << 20):
-            texts = [t for t in raw(part.column("text")) if t]
-            if not texts:
-                continue
-            code, starts = _codes(texts)
-            x = code.astype(np.int32)
-            gram = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
-            inside = np.ones(len(gram), bool)
-            for edge in (starts[1:-1] - 2, starts[1:-1] - 1):
-                inside[edge] = False
-            grams, n = np.unique(gram[inside], return_counts=True)
-            total[grams] += n.astype(np.uint32)
-            used += len(gram)
-            if used > 1 << 31:  # before a 32-bit count could overflow
-                yield rows()
-                total[:] = 0
-                used = 0
-        if used:
-            yield rows()
-
-    return docs.select("text").mapInArrow(run, COUNTS).groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def build_model(gram: np.ndarray, n: np.ndarray, contexts: np.ndarray, k: float) -> np.ndarray:
-    """Losses in bits, (256 + len(contexts)) x 256: first the rows of single-byte contexts."""
-    pair = np.zeros((256, 256))
-    np.add.at(pair, ((gram >> 8) & 255, gram & 255), n)
-    one = pair.sum(axis=0)
-    p1 = (one + k / 256) / (one.sum() + k)
-    p2 = (pair + k * p1) / (pair.sum(axis=1, keepdims=True) + k)
-    full = np.zeros((len(contexts), 256))
-    if len(gram):
-        np.add.at(full, (np.searchsorted(contexts, gram >> 8), gram & 255), n)
-    p3 = (full + k * p2[contexts & 255]) / (full.sum(axis=1, keepdims=True) + k)
-    return -np.log2(np.concatenate([p2, p3])).astype(np.float32)
-
-
-def score_documents(docs: DataFrame, target_ids: DataFrame, *, k: float = 5.0) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) for every row of docs(doc_id,
-    text); target_ids(doc_id) names the target documents."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    background = trigram_counts(docs)
-    target = trigram_counts(docs.join(ids.hint("merge"), "doc_id", "left_semi"))
-    both = background.withColumnRenamed("n", "nb").join(target.withColumnRenamed("n", "nt"), "gram", "full")
-    counts = both.na.fill(0).toPandas().sort_values("gram")  # at most 256^3 rows, by the vocabulary
-    gram = counts["gram"].to_numpy(np.int64)
-    contexts = np.unique(gram >> 8)
-    row_of = np.empty(65536, np.int32)
-    row_of[:] = np.arange(65536) & 255
-    row_of[contexts] = 256 + np.arange(len(contexts))
-    seen = counts["nt"].to_numpy() > 0
-    model = spark.sparkContext.broadcast((
-        row_of,
-        build_model(gram[seen], counts["nt"].to_numpy(np.float64)[seen], contexts, k),
-        build_model(gram, counts["nb"].to_numpy(np.float64), contexts, k),
-    ))
+        split, name = ByteWords(), TaskContext.get().partitionId() << 32
+        for part in chunks(batches, limit=limit):
+            h, length = split([t or b"" for t in raw(part.column("text"))])
+            vocabulary, codes = np.unique(np.append(h, _EDGE), return_inverse=True)
+            one = lambda values: lists(values, np.array([0, len(values)]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name]), one(part.column("doc_id")), one(pa.array(length, pa.int32())), one(signed(vocabulary)),
+                    one(pa.array(codes[:-1], pa.int32())), pa.array([len(h)]),
+                ],
+                names=["slice", "doc_id", "length", "vocabulary", "codes", "n"],
+            )
+            name += 1
+
+    return docs.mapInArrow(run, SLICES)
+
+
+class Grams:
+    """Words and bigrams of a slice: their keys, counts and where they stand."""
+
+    def __init__(self, row: dict):
+        vocabulary = row["vocabulary"].view(np.uint64)
+        codes, length = row["codes"].astype(np.int64), row["length"].astype(np.int64)
+        edge = int(np.searchsorted(vocabulary, _EDGE))
+        self.full = np.flatnonzero(length)  # documents with words
+        self.tokens = np.where(length > 0, length + 1, 0)
+        starts = np.cumsum(length[self.full]) - length[self.full]
+        before, self.word = np.insert(codes, starts, edge), np.insert(codes, starts + length[self.full], edge)
+        pair, self.place = np.unique(before * len(vocabulary) + self.word, return_inverse=True)
+        self.context, self.second = pair // len(vocabulary), pair % len(vocabulary)
+        word_key = mix(vocabulary) & ~_LOW
+        pair_key = mix(mix(vocabulary[self.context]) * np.uint64(0x9E3779B97F4A7C15) + vocabulary[self.second]) | _LOW
+        keys = np.concatenate([word_key, pair_key])
+        self.words = len(vocabulary)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        chosen = np.zeros(len(length), bool)
+        chosen[row["near"]] = True
+        near = np.repeat(chosen[self.full], self.tokens[self.full]).astype(np.float64)
+        self.n = self.count(None)
+        self.near = self.count(near)
+
+    def count(self, weights) -> np.ndarray:
+        """Counts of all words, then of all bigrams."""
+        pairs = np.bincount(self.place, weights, len(self.context))
+        return np.concatenate([np.bincount(self.second, pairs, self.words), pairs]).astype(np.int64)
+
+    def losses(self, n: np.ndarray, size: int, total: int, k: float) -> np.ndarray:
+        """Loss in bits of each bigram of the slice, by counts over the corpus."""
+        p = (n[self.second] + k / max(size, 1)) / (total + k)
+        return -np.log2((n[self.words :] + k * p) / (n[self.context] + k))
+
+
+def _row(table: pa.Table | pa.RecordBatch, i: int) -> dict:
+    return {name: np.asarray(table.column(name)[i].values) for name in ("vocabulary", "codes", "length", "near")}
+
+
+def gram_counts(slices: DataFrame, buckets: int) -> DataFrame:
+    """(slice, bucket, keys, n, near): the counts each slice sends."""
 
     def run(batches):
-        row_of, near, far = model.value
-        for part in chunks(batches, limit=2 << 20):
-            texts = [t or b"" for t in raw(part.column("text"))]
-            code, starts = _codes(texts)
-            x = code.astype(np.int64)
-            at = row_of[(x[:-2] << 8) | x[1:-1]].astype(np.int64) * 256 + x[2:]
-            n = np.diff(starts) - 2
-            sums = []
-            for losses in (near, far):
-                loss = np.concatenate([losses.ravel()[at].astype(np.float64), [0.0, 0.0]])
-                upto = np.array([loss[s : s + m].sum() for s, m in zip(starts[:-1], n)])
-                sums.append(np.where(n > 1, upto / n, 0.0))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.where(n > 1, n, 0)), *(pa.array(np.round(s, 6)) for s in (*sums, sums[0] - sums[1]))],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-            )
+        for batch in batches:
+            for i, name in enumerate(batch.column("slice").to_pylist()):
+                grams = Grams(_row(batch, i))
+                yield sent(name, grams.keys, buckets, n=grams.n[grams.order], near=grams.near[grams.order])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    return slices.mapInArrow(run, "slice bigint, bucket bigint, keys array<bigint>, n array<bigint>, near array<bigint>")
 
 
-#: Rows of bigrams (v, w): the documents base + docs they stand in, once per occurrence, of which
-#: nt are in the target. Rows of documents (v is null): base, doc_id and n tokens.
-BIGRAMS = "v bigint, w bigint, base bigint, docs array<int>, nt bigint, doc_id bigint, n bigint"
-_EDGE = np.uint64(1)
+ANSWERS = "slice bigint, bucket bigint, n array<bigint>, near array<bigint>, size bigint, words bigint, near_words bigint"
 
 
-def word_bigrams(docs: DataFrame) -> DataFrame:
-    """BIGRAMS of docs(doc_id, text, target)."""
+def _elsewhere(table: pa.Table) -> pa.Table:
+    """Counts of each key in other slices; on the first row the number of different words of
+    the bucket and how often they stand in corpus and target."""
+    keys = flat(table.column("keys"))
+    found, place = np.unique(keys, return_inverse=True)
+    limits = np.append(0, np.cumsum(sizes(table.column("keys"))))
+    word = (found & 1) == 0
+    columns = {"slice": table.column("slice"), "bucket": table.column("bucket")}
+    sums = {"size": int(word.sum())}
+    for name, what in (("n", "words"), ("near", "near_words")):
+        own = flat(table.column(name))
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, place, own)
+        columns[name] = lists(total[place] - own, limits)
+        sums[what] = int(total[word].sum())
+    for name, value in sums.items():
+        column = np.zeros(table.num_rows, np.int64)
+        column[0] = value
+        columns[name] = pa.array(column)
+    return pa.table(columns)
 
-    def run(batches):
-        split, base = ByteWords(), TaskContext.get().partitionId() << 40
-        schema = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("base", pa.int64()), ("docs", pa.list_(pa.int32())), ("nt", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
-
-        def rows(size, **columns):
-            return pa.RecordBatch.from_arrays([pa.array(columns[f.name]) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
-
-        for part in chunks(batches, limit=8 << 20):
-            h, sizes = split([t or b"" for t in raw(part.column("text"))])
-            n = np.where(sizes > 0, sizes + 1, 0)
-            yield rows(len(n), base=base + np.arange(len(n)), doc_id=part.column("doc_id"), n=n)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                starts = np.cumsum(sizes[full]) - sizes[full]
-                names, code = np.unique(np.append(h, _EDGE), return_inverse=True)
-                edge, code = code[-1], code[:-1]
-                before = np.insert(code, starts, edge)
-                after = np.insert(code, starts + sizes[full], edge)
-                doc = np.repeat(full, n[full])
-                pair = before * len(names) + after
-                order = np.argsort(pair, kind="stable")
-                pair, doc = pair[order], doc[order]
-                first = np.flatnonzero(np.append(True, np.diff(pair) != 0))
-                near = np.asarray(part.column("target").to_numpy(zero_copy_only=False), np.int64)[doc]
-                yield rows(
-                    len(first), v=names[pair[first] // len(names)].view(np.int64), w=names[pair[first] % len(names)].view(np.int64),
-                    base=np.full(len(first), base), nt=np.add.reduceat(near, first),
-                    docs=pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.array(doc, pa.int32())),
-                )
-            base += len(n)
-
-    return docs.mapInArrow(run, BIGRAMS)
-
-
-def bigram_losses(grams: DataFrame, k: float) -> DataFrame:
-    """(v, w, near, far): losses in bits of all bigrams under target and background."""
-    counts = grams.groupBy("v", "w").agg(F.sum(F.size("docs")).alias("nb"), F.sum("nt").alias("nt"))
-    counts = materialize(counts)
-    single = materialize(counts.groupBy("w").agg(F.sum("nb").alias("wb"), F.sum("nt").alias("wt")))
-    # every word, and the edge once a document, is followed as often as it follows
-    context = single.select(F.col("w").alias("v"), F.col("wb").alias("vb"), F.col("wt").alias("vt"))
-    total = single.agg(F.count("*").alias("size"), F.sum("wb").alias("ab"), F.sum("wt").alias("at"))
-    rows = counts.join(single.crossJoin(F.broadcast(total)), "w").join(context, "v")
-
-    def loss(pair, before, word, every):
-        p = (F.col(word) + F.lit(k) / F.col("size")) / (F.col(every) + F.lit(k))
-        return -F.log2((F.col(pair) + F.lit(k) * p) / (F.col(before) + F.lit(k)))
-
-    return rows.select("v", "w", loss("nt", "vt", "wt", "at").alias("near"), loss("nb", "vb", "wb", "ab").alias("far"))
-
-
-def score_words(docs: DataFrame, target_ids: DataFrame, *, k: float = 5.0) -> DataFrame:
+
+SCORES = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
+
+
+def score_words(docs: DataFrame, target_ids: DataFrame, *, k: float = 5.0, slice_bytes: int = 16 << 20, bucket_words: int = 1 << 18) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for every row of docs(doc_id,
     text); target_ids(doc_id) names the target documents."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(True).alias("target")).distinct()
-    docs = docs.join(ids.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    found = materialize(word_bigrams(docs))
-    grams = found.where("v is not null")
-    model = materialize(bigram_losses(grams, k))
-    each = grams.select("v", "w", "base", "docs").join(model.hint("merge"), ["v", "w"])
-    each = each.select("base", F.explode("docs").alias("doc"), "near", "far")
-    sums = materialize(each.groupBy((F.col("base") + F.col("doc")).alias("base")).agg(F.sum("near").alias("near"), F.sum("far").alias("far")))
-    rows = found.where("v is null").select("base", "doc_id", "n").join(sums, "base", "left")
-    near, far = (F.coalesce(F.col(c) / F.col("n"), F.lit(0.0)) for c in ("near", "far"))
-    return rows.select(
-        "doc_id", F.col("n").alias("n_tokens"), F.round(near, 6).alias("target_loss"), F.round(far, 6).alias("background_loss"), F.round(near - far, 6).alias("score")
-    )
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    slices = materialize(word_slices(docs, slice_bytes))
+    ids = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+    near = slices.select("slice", F.posexplode("doc_id").alias("near", "doc_id")).join(ids, "doc_id", "left_semi")
+    near = materialize(near.groupBy("slice").agg(F.collect_list("near").alias("near")))
+    marked = slices.join(near, "slice", "left").withColumn("near", F.coalesce("near", F.array().cast("array<int>")))
+    buckets = (slices.agg(F.sum("n")).first()[0] or 0) // bucket_words + 1
+    answers = materialize(answered(gram_counts(marked, buckets), _elsewhere, ANSWERS))
+    size, every, target = (int(x or 0) for x in answers.agg(F.sum("size"), F.sum("words"), F.sum("near_words")).first())
+
+    def finish(slice_rows: pa.Table, found: pa.Table) -> pa.Table:
+        grams = Grams(_row(slice_rows.combine_chunks(), 0))
+        means = []
+        for own, name, total in ((grams.near, "near", target), (grams.n, "n", every)):
+            counts = own.copy()
+            counts[grams.order] += flat(found.column(name))
+            loss = grams.losses(counts, size, total, k)[grams.place]
+            mean = np.zeros(len(grams.tokens))
+            if len(grams.full):
+                n = grams.tokens[grams.full]
+                mean[grams.full] = np.add.reduceat(loss, np.cumsum(n) - n) / n
+            means.append(mean)
+        columns = [pa.array(np.round(x, 6)) for x in (*means, means[0] - means[1])]
+        ids = slice_rows.column("doc_id").combine_chunks().flatten()
+        return pa.table([ids, pa.array(grams.tokens, pa.int64()), *columns], names=[c.split()[0] for c in SCORES.split(", ")])
+
+    return settled(marked, answers.select("slice", "bucket", "n", "near"), finish, SCORES)

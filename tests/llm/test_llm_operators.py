@@ -15,7 +15,6 @@ from spanforge.llm.lines import line_dedup
 from spanforge.llm.minhash import near_duplicates
 from spanforge.llm.mixing import mix_sources
 from spanforge.llm.quality import quality_rules
-from spanforge.llm.scoring import score_documents
 from spanforge.llm.sharding import shard
 from spanforge.llm.substring import substring_dedup
 from spanforge.llm.urls import filter_urls
@@ -181,44 +180,6 @@ def test_quality_thresholds_adapt(spark):
     assert kept.pop(301) is False and all(kept.values())
 
 
-def test_lm_scoring(spark, docs, odd):
-    """Losses by a plain dictionary model; the target's own kind of text scores lower."""
-    ids = spark.createDataFrame([(1,), (2,), (None,), (1,)], "doc_id bigint")
-    rows = pairs(odd.where("doc_id <> 5 and doc_id <> 6 or doc_id is null"))
-    got = score_documents(odd.where("doc_id <> 5 and doc_id <> 6 or doc_id is null"), ids, k=5.0).collect()
-
-    def model(texts):
-        c3, c2, c1 = {}, {}, {}
-        for t in texts:
-            b = b"\0\0" + t.encode() + b"\0"
-            for x, y, z in zip(b, b[1:], b[2:]):
-                for c, key in ((c3, (x, y, z)), (c3, (x, y)), (c2, (y, z)), (c2, (y,)), (c1, z), (c1, None)):
-                    c[key] = c.get(key, 0) + 1
-
-        def loss(x, y, z):
-            p = (c1.get(z, 0) + 5 / 256) / (c1.get(None, 0) + 5)
-            p = (c2.get((y, z), 0) + 5 * p) / (c2.get((y,), 0) + 5)
-            return -math.log2((c3.get((x, y, z), 0) + 5 * p) / (c3.get((x, y), 0) + 5))
-
-        return loss
-
-    near, far = model([t for i, t in rows if i in (1, 2) and t]), model([t for _, t in rows if t])
-    want = {}
-    for i, t in rows:
-        b = b"\0\0" + (t or "").encode() + b"\0"
-        grams = list(zip(b, b[1:], b[2:])) if t else []
-        want[i, bool(t)] = [sum(f(*g) for g in grams) / max(1, len(grams)) for f in (near, far)]
-    assert len(got) == len(rows)
-    for r in got:
-        assert [r.target_loss, r.background_loss] == pytest.approx(want[r.doc_id, r.n_tokens > 0], abs=1e-4)
-        assert r.score == pytest.approx(r.target_loss - r.background_loss, abs=1e-5)
-    french = docs.where("lang = 'fr' and doc_id % 2 = 0").select("doc_id")
-    held = score_documents(docs, french).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id % 2 = 1")
-    mean = {r[0]: r[1] for r in held.groupBy("lang").agg(F.avg("score")).collect()}
-    assert all(mean["fr"] < v for k, v in mean.items() if k != "fr")
-    assert score_documents(empty(docs), ids).count() == 0
-
-
 def test_mixing(spark, docs, odd):
     for df in (docs, odd):
         out = mix_sources(df).collect()

@@ -51,7 +51,9 @@ def test_lm_scoring_by_words(spark):
     rows += [(None, "stone tones"), (3, "notes onset notes"), (70, None), (71, " \n\t"), (72, rows[5][1]), (72, rows[5][1])]
     ids = {*range(0, 60, 3), 72}
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    out = score_words(df, spark.createDataFrame([(i,) for i in ids] + [(0,), (None,)], "doc_id bigint")).collect()
+    target = spark.createDataFrame([(i,) for i in ids] + [(0,), (None,)], "doc_id bigint")
+    out = score_words(df, target).collect()
+    assert sorted(score_words(df, target, slice_bytes=200, bucket_words=20).collect(), key=str) == sorted(out, key=str)
     want = word_losses([t for _, t in rows], [i in ids for i, _ in rows])
     key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
     got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in out), key=key)
