@@ -6,8 +6,9 @@ documents and smoothed by interpolation with the shorter context:
 p(w|v) = (n(vw) + k p(w)) / (n(v.) + k), p(w) = (n(w) + k / V) / (N + k).
 
 Documents are kept in slices (see ``slices``). A slice sends the counts of its distinct words
-and bigrams, as 64-bit keys, to the buckets of the whole corpus and gets back, key by key, how
-often each stands elsewhere; with that it scores its documents. So what is gathered grows with
+and bigrams, as 64-bit keys, to the buckets of the whole corpus (those that stand once go
+without a count) and gets back how often each stands elsewhere, where it does; with that it
+scores its documents. So what is gathered grows with
 the corpus, a bigram that stands in every document costs one entry per slice, texts are read
 once and nothing is collected but three sums.
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ByteWords, chunks, materialize, mix, raw, signed
-from .slices import answered, flat, lists, sent, settled, sizes
+from .slices import answered, flat, lists, narrow, sent, settled, sizes, widened
 
 SLICES = "slice bigint, doc_id array<bigint>, length array<int>, vocabulary array<bigint>, codes array<int>, n bigint"
 _EDGE, _LOW = np.uint64(2), np.uint64(1)
@@ -74,13 +75,15 @@ class Grams:
         pair_key = mix(mix(vocabulary[self.context]) * np.uint64(0x9E3779B97F4A7C15) + vocabulary[self.second]) | _LOW
         keys = np.concatenate([word_key, pair_key])
         self.words = len(vocabulary)
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
         chosen = np.zeros(len(length), bool)
         chosen[row["near"]] = True
         near = np.repeat(chosen[self.full], self.tokens[self.full]).astype(np.float64)
         self.n = self.count(None)
         self.near = self.count(near)
+        # 0 and 1: stands once, outside or in the target; 2: all others
+        self.kind = np.where(self.n == 1, self.near, 2)
+        self.order = np.lexsort((keys, self.kind))
+        self.keys = keys[self.order]
 
     def count(self, weights) -> np.ndarray:
         """Counts of all words, then of all bigrams."""
@@ -98,46 +101,72 @@ def _row(table: pa.Table | pa.RecordBatch, i: int) -> dict:
 
 
 def gram_counts(slices: DataFrame, buckets: int) -> DataFrame:
-    """(slice, bucket, keys, n, near): the counts each slice sends."""
+    """(slice, bucket, kind, keys, n, near): the counts each slice sends, null where the kind tells them."""
 
     def run(batches):
         for batch in batches:
             for i, name in enumerate(batch.column("slice").to_pylist()):
                 grams = Grams(_row(batch, i))
-                yield sent(name, grams.keys, buckets, n=grams.n[grams.order], near=grams.near[grams.order])
+                bounds = np.searchsorted(grams.kind[grams.order], np.arange(4))
+                for kind in range(3):
+                    here = slice(*bounds[kind : kind + 2])
+                    order = grams.order[here]
+                    counts = {"n": grams.n[order], "near": grams.near[order]} if kind == 2 else {}
+                    out = sent(name, grams.keys[here], buckets, **counts)
+                    columns = {c: out.column(c) if c in out.schema.names else pa.nulls(out.num_rows, pa.list_(pa.int64())) for c in ("slice", "bucket", "keys", "n", "near")}
+                    yield pa.RecordBatch.from_pydict(columns | {"kind": pa.array(np.full(out.num_rows, kind))})
 
-    return slices.mapInArrow(run, "slice bigint, bucket bigint, keys array<bigint>, n array<bigint>, near array<bigint>")
+    return slices.mapInArrow(run, "slice bigint, bucket bigint, keys array<bigint>, n array<bigint>, near array<bigint>, kind bigint")
 
 
-ANSWERS = "slice bigint, bucket bigint, n array<bigint>, near array<bigint>, size bigint, words bigint, near_words bigint"
+ANSWERS = "slice bigint, bucket bigint, kind bigint, sent bigint, gap array<int>, n array<int>, n_high array<int>, near array<int>, near_high array<int>, size bigint, words bigint, near_words bigint"
 
 
 def _elsewhere(table: pa.Table) -> pa.Table:
-    """Counts of each key in other slices; on the first row the number of different words of
-    the bucket and how often they stand in corpus and target."""
-    keys = flat(table.column("keys"))
-    found, place = np.unique(keys, return_inverse=True)
-    limits = np.append(0, np.cumsum(sizes(table.column("keys"))))
+    """Counts in other slices of the keys that have some, by their distance from the one before; on the first
+    row the number of different words of the bucket and how often they stand in corpus and target."""
+    found, place = np.unique(flat(table.column("keys")), return_inverse=True)
+    length = sizes(table.column("keys"))
+    kind = np.repeat(table.column("kind").to_numpy(), length)
     word = (found & 1) == 0
-    columns = {"slice": table.column("slice"), "bucket": table.column("bucket")}
-    sums = {"size": int(word.sum())}
+    columns = {c: table.column(c) for c in ("slice", "bucket", "kind")} | {"sent": pa.array(length)}
+    sums, other = {"size": int(word.sum())}, {}
     for name, what in (("n", "words"), ("near", "near_words")):
-        own = flat(table.column(name))
+        own = np.minimum(kind, 1) if name == "near" else np.ones(len(kind), np.int64)
+        own[kind == 2] = flat(table.column(name))
         total = np.zeros(len(found), np.int64)
         np.add.at(total, place, own)
-        columns[name] = lists(total[place] - own, limits)
+        other[name] = total[place] - own
         sums[what] = int(total[word].sum())
+    hit = np.flatnonzero(other["n"])
+    starts = np.append(0, np.cumsum(length))
+    limits = np.searchsorted(hit, starts)
+    gap = np.diff(hit, prepend=0)
+    begin = np.flatnonzero(np.diff(limits))
+    gap[limits[begin]] = hit[limits[begin]] - starts[begin]
+    columns["gap"] = lists(pa.array(gap, pa.int32()), limits)
+    for name, v in other.items():
+        columns[name], columns[f"{name}_high"] = narrow(v[hit], limits)
     for name, value in sums.items():
         column = np.zeros(table.num_rows, np.int64)
         column[0] = value
         columns[name] = pa.array(column)
-    return pa.table(columns)
+    return pa.table(columns).select([c.split()[0] for c in ANSWERS.split(", ")])
+
+
+def _places(found: pa.Table) -> np.ndarray:
+    """Where in the order of sending the keys stand that answers(sent, gap) are about."""
+    gap, length = flat(found.column("gap")).astype(np.int64), sizes(found.column("gap"))
+    before = np.cumsum(np.append(0, found.column("sent").to_numpy()))[:-1]
+    first = (np.cumsum(length) - length)[length > 0]
+    upto = np.cumsum(gap)
+    return upto + np.repeat(before[length > 0] - (upto[first] - gap[first]), length[length > 0])
 
 
 SCORES = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
 
 
-def score_words(docs: DataFrame, target_ids: DataFrame, *, k: float = 5.0, slice_bytes: int = 16 << 20, bucket_words: int = 1 << 18) -> DataFrame:
+def score_words(docs: DataFrame, target_ids: DataFrame, *, k: float = 5.0, slice_bytes: int = 4 << 20, bucket_words: int = 1 << 18) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for every row of docs(doc_id,
     text); target_ids(doc_id) names the target documents."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -152,10 +181,10 @@ def score_words(docs: DataFrame, target_ids: DataFrame, *, k: float = 5.0, slice
 
     def finish(slice_rows: pa.Table, found: pa.Table) -> pa.Table:
         grams = Grams(_row(slice_rows.combine_chunks(), 0))
-        means = []
+        at, means = grams.order[_places(found)], []
         for own, name, total in ((grams.near, "near", target), (grams.n, "n", every)):
             counts = own.copy()
-            counts[grams.order] += flat(found.column(name))
+            counts[at] += widened(found.column(name), found.column(f"{name}_high"))
             loss = grams.losses(counts, size, total, k)[grams.place]
             mean = np.zeros(len(grams.tokens))
             if len(grams.full):
@@ -166,4 +195,4 @@ def score_words(docs: DataFrame, target_ids: DataFrame, *, k: float = 5.0, slice
         ids = slice_rows.column("doc_id").combine_chunks().flatten()
         return pa.table([ids, pa.array(grams.tokens, pa.int64()), *columns], names=[c.split()[0] for c in SCORES.split(", ")])
 
-    return settled(marked, answers.select("slice", "bucket", "n", "near"), finish, SCORES)
+    return settled(marked, answers.drop("size", "words", "near_words"), finish, SCORES, ("kind", "bucket"))

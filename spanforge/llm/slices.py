@@ -57,10 +57,27 @@ def answered(rows: DataFrame, answer: Callable[[pa.Table], pa.Table], schema: st
     return rows.groupBy("bucket").applyInArrow(answer, schema)
 
 
-def settled(slices: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """finish(slice row, its answers in the order of their buckets) of every slice."""
+def settled(slices: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, by: tuple = ("bucket",)) -> DataFrame:
+    """finish(slice row, its answers in the order they were sent in) of every slice."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return finish(left, right.sort_by("bucket"))
+        return finish(left, right.sort_by([(c, "ascending") for c in by]))
 
     return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
+
+
+def narrow(values: np.ndarray, limits: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Non-negative counts as lists of 31 bits, and of what is above them (null if nothing is)."""
+    high = values >> 31
+    low = lists(pa.array(values & 0x7FFFFFFF, pa.int32()), limits)
+    return low, lists(pa.array(high, pa.int32()), limits) if high.any() else pa.nulls(len(limits) - 1, pa.list_(pa.int32()))
+
+
+def widened(low, high) -> np.ndarray:
+    """The counts that narrow() made two list columns of."""
+    out = flat(low).astype(np.int64)
+    if high.null_count < len(high):
+        at = np.append(0, np.cumsum(sizes(low)))
+        for i in np.flatnonzero(np.asarray(high.is_valid())):
+            out[at[i] : at[i + 1]] += np.asarray(high[int(i)].values).astype(np.int64) << 31
+    return out

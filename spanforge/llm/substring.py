@@ -3,165 +3,205 @@
 A window is ``length`` consecutive words. Anchors are shorter windows (``length - period + 1``
 words) that start only at positions whose residue modulo ``period`` lies in a difference
 cover, so for any two equal windows some shift brings both starts onto cover positions: they
-share an aligned anchor. Anchors that occur in one document only are thus out after a single
-shuffle of 3/7 of the positions. Around each shared anchor the match is extended: all windows
+share an aligned anchor. Anchors that occur in one place only are thus out after a single
+exchange of 3/7 of the positions. Around each shared anchor the match is extended: all windows
 that contain it are hashed (96 bits), and a window that also starts in a document with a
 smaller id marks its words.
 
-Both shuffles carry at most one row per hash and Arrow batch for a hash that many documents
-share: within a batch the copies beyond the least document are settled at once and travel
-under a key of their own, so a passage in a third of all documents loads no single task.
+Both exchanges run between slices of documents and buckets of keys (see ``slices``): a slice
+sends every key once, however many of its documents hold it, so a passage in a third of all
+documents loads no single task, and what a bucket holds depends on the number of buckets only.
 
-Odd rows: null or empty text has no words; texts shorter than a window lose nothing; repeated
-rows with one doc_id count as one document; a null doc_id is left as it is. Further columns
-are ignored.
+Odd rows: null or empty text has no words; texts shorter than a window lose nothing; text that
+is not valid UTF-8 is cut at its bytes like any other; repeated rows with one doc_id, also with different texts, count
+as one document; a null doc_id is left as it is. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunks, materialize, raw, signed, windows
+from .common import ByteWords, chunks, materialize, raw, windows
+from .slices import answered, flat, lists, sent, settled, sizes
 
 #: A perfect difference cover: every residue modulo 7 is a difference of two members.
 PERIOD, COVER = 7, (0, 1, 3)
 
 
-def _settle(doc: np.ndarray, *keys: np.ndarray):
-    """Splits rows that share keys: (order, least, known) where, in the given order, least
-    marks the rows of each group's smallest document and known the groups of two or more."""
-    order = np.lexsort((doc, *keys[::-1]))
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    start = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    d = doc[order]
-    ends = np.concatenate([start[1:], [len(order)]])
-    many = d[start] != d[ends - 1]
-    return order, d == d[start][group], many[group]
-
-
-def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(settled, key, doc_id, at): anchor hash and position; the position is inverted (~at)
-    where the anchor is already known to occur in two documents."""
-    width = length - PERIOD + 1
+def text_slices(docs: DataFrame, limit: int) -> DataFrame:
+    """(slice, doc_id array, text array, n_bytes) of docs(doc_id, text binary)."""
 
     def run(batches):
-        hashes = WordHash()
-        for part in chunks(batches, limit=8 << 20):
-            doc, at, key = [], [], []
-            for i, text in zip(part.column("doc_id").to_pylist(), raw(part.column("text"))):
-                words = (text or b"").split()
-                if i is None or len(words) < length:
-                    continue
-                p = np.arange(len(words) - width + 1)
-                p = p[np.isin(p % PERIOD, COVER)]
-                doc.append(np.full(len(p), i, np.int64))
-                at.append(p.astype(np.int32))
-                key.append(windows(hashes.of(words), width)[p])
-            if not doc:
-                continue
-            doc, at, key = np.concatenate(doc), np.concatenate(at), np.concatenate(key)
-            order, least, many = _settle(doc, key)
-            settled = np.empty(len(order), bool)
-            settled[order] = many & ~least
-            known = np.empty(len(order), bool)
-            known[order] = many
-            key = np.where(settled, doc.view(np.uint64), key)
+        name = TaskContext.get().partitionId() << 32
+        for part in chunks(batches, limit=limit):
+            texts = [t or b"" for t in raw(part.column("text"))]
+            one = np.array([0, len(texts)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(settled), signed(key), pa.array(doc), pa.array(np.where(known, ~at, at))],
-                names=["settled", "key", "doc_id", "at"],
+                [pa.array([name]), lists(part.column("doc_id"), one), lists(pa.array(texts, pa.binary()), one), pa.array([sum(map(len, texts))])],
+                names=["slice", "doc_id", "text", "n_bytes"],
             )
+            name += 1
 
-    return docs.mapInArrow(run, "settled boolean, key bigint, doc_id bigint, at int")
+    return docs.mapInArrow(run, "slice bigint, doc_id array<bigint>, text array<binary>, n_bytes bigint")
 
 
-def extended(docs: DataFrame, length: int) -> DataFrame:
-    """docs(doc_id, text, at array): the windows that contain one of the anchors."""
+def _anchors(split: ByteWords, named: np.ndarray, texts: list, length: int):
+    """(word hashes, documents' first words and ends, places of anchors, their keys) of the
+    documents that have an id and a window."""
+    h, n = split(texts)
+    ends = np.cumsum(n)
+    starts = ends - n
     width = length - PERIOD + 1
+    key = windows(h, width)
+    of = np.repeat(np.arange(len(n)), n)[: len(key)]
+    at = np.arange(len(key))
+    inside = np.isin((at - starts[of]) % PERIOD, COVER) & (at + width <= ends[of]) & ((n >= length) & named)[of]
+    at = np.flatnonzero(inside)
+    return h, starts, ends, of[at], at, key[at]
 
-    def run(batches):
-        hashes = WordHash()
-        for part in chunks(batches, limit=8 << 20):
-            doc, at, one, two = [], [], [], []
-            for i, text, found in zip(part.column("doc_id").to_pylist(), raw(part.column("text")), part.column("at")):
-                words = text.split()
-                starts = np.zeros(len(words) + 1, np.int32)
-                p = np.asarray(found.values)
-                np.add.at(starts, np.maximum(p - (length - width), 0), 1)
-                np.add.at(starts, p + 1, -1)
-                s = np.flatnonzero(np.cumsum(starts)[: len(words) - length + 1] > 0)
-                h = hashes.of(words)
-                doc.append(np.full(len(s), i, np.int64))
-                at.append(s.astype(np.int32))
-                one.append(windows(h, length)[s])
-                two.append(windows(h, length, 3)[s])
-            doc, at, one, two = (np.concatenate(x) for x in (doc, at, one, two))
-            order, least, many = _settle(doc, one, two)
-            settled = np.empty(len(order), bool)
-            settled[order] = many & ~least
-            one, two = np.where(settled, doc.view(np.uint64), one), np.where(settled, np.uint64(0), two)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(settled), signed(one), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(at)],
-                names=["settled", "one", "two", "doc_id", "at"],
-            )
 
-    return docs.mapInArrow(run, "settled boolean, one bigint, two int, doc_id bigint, at int")
+def _parts(batch):
+    """(slice, ids with 0 for null, which have one, texts) per row of a batch of slices."""
+    for i, name in enumerate(batch.column("slice").to_pylist()):
+        ids = batch.column("doc_id")[i].values
+        named = ids.is_valid().to_numpy(zero_copy_only=False)
+        yield name, ids.fill_null(0).to_numpy(), named, raw(batch.column("text")[i].values)
 
 
-def cut(docs: DataFrame, length: int) -> DataFrame:
-    """docs(doc_id, text, at array or null): the text without the words of those windows."""
+def anchor_keys(slices: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(slice, bucket, keys): the different anchors of each slice."""
 
     def run(batches):
-        for part in chunks(batches, limit=8 << 20):
-            n, removed, kept = [], [], []
-            for text, found in zip(raw(part.column("text")), part.column("at")):
-                words = (text or b"").split()
-                n.append(len(words))
-                if found.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    p = np.asarray(found.values)
-                    np.add.at(edge, p, 1)
-                    np.add.at(edge, p + length, -1)
-                    gone = np.cumsum(edge)[:-1] > 0
-                    removed.append(int(gone.sum()))
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
-                else:
-                    removed.append(0)
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_text"],
-            )
+        split = ByteWords()
+        for batch in batches:
+            for name, _, named, texts in _parts(batch):
+                yield sent(name, np.unique(_anchors(split, named, texts, length)[-1]), buckets)
+
+    return slices.mapInArrow(run, "slice bigint, bucket bigint, keys array<bigint>")
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
+def _elsewhere(table: pa.Table) -> pa.Table:
+    """Per key, whether another slice sends it too."""
+    _, place, n = np.unique(flat(table.column("keys")), return_inverse=True, return_counts=True)
+    limits = np.append(0, np.cumsum(sizes(table.column("keys"))))
+    return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "shared": lists(n[place] > 1, limits)})
 
-def substring_dedup(docs: DataFrame, *, length: int = 13) -> DataFrame:
+
+WINDOWS = "slice bigint, bucket bigint, keys array<bigint>, two array<int>, low array<bigint>, of array<int>, at array<int>"
+
+
+def candidate_windows(slices: DataFrame, answers: DataFrame, length: int, buckets: int) -> DataFrame:
+    """WINDOWS: the different windows around shared anchors of each slice, by 64 and 32 bits
+    of hash, with the least document of the slice; and in a row without a bucket where all of
+    them start, as place of the document in the slice and word."""
+    width = length - PERIOD + 1
+
+    def finish(slice_rows: pa.Table, found: pa.Table) -> pa.Table:
+        (batch,) = slice_rows.combine_chunks().to_batches()
+        ((name, ids, named, texts),) = _parts(batch)
+        h, starts, ends, of, at, key = _anchors(ByteWords(), named, texts, length)
+        keys, place = np.unique(key, return_inverse=True)
+        low, high = (np.full(len(keys), edge) for edge in (np.iinfo(np.int64).max, np.iinfo(np.int64).min))
+        np.minimum.at(low, place, ids[of])
+        np.maximum.at(high, place, ids[of])
+        hit = ((low < high) | flat(found.column("shared")).astype(bool))[place] if len(keys) else np.zeros(0, bool)
+        of, at = of[hit], at[hit]
+        edge = np.zeros(len(h) + 1, np.int32)
+        np.add.at(edge, np.maximum(at - (length - width), starts[of]), 1)
+        np.add.at(edge, np.minimum(at, ends[of] - length) + 1, -1)
+        at = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+        of = np.searchsorted(ends, at, side="right")
+        one, two = _window_keys(h, at, length)
+        order, first, place = _distinct(one, two)
+        least = np.minimum.reduceat(ids[of][order], first) if len(order) else np.empty(0, np.int64)
+        out = sent(name, one[order][first], buckets, two=two[order][first], low=least)
+        none = pa.nulls(out.num_rows, pa.list_(pa.int32()))
+        out = pa.Table.from_batches([out.append_column("of", none).append_column("at", none)])
+        whole = np.array([0, len(at)])
+        own = {"slice": [name], "bucket": pa.nulls(1, pa.int64()), "of": lists(pa.array(of, pa.int32()), whole), "at": lists(pa.array(at - starts[of], pa.int32()), whole)}
+        own = pa.table([own[f.name] if f.name in own else pa.nulls(1, f.type) for f in out.schema], schema=out.schema)
+        return pa.concat_tables([out, own]).select([c.split()[0] for c in WINDOWS.split(", ")])
+
+    return settled(slices, answers, finish, WINDOWS)
+
+
+def _window_keys(h: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    return windows(h, length)[at], (windows(h, length, 3)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _distinct(one: np.ndarray, two: np.ndarray):
+    """(order, first, place): an order of the pairs, where in it each different pair begins, and
+    the number of each pair among the different ones."""
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), place
+
+
+def _least(table: pa.Table) -> pa.Table:
+    """Per window, the least document of all slices."""
+    order, first, place = _distinct(flat(table.column("keys")).view(np.uint64), flat(table.column("two")))
+    low = np.minimum.reduceat(flat(table.column("low"))[order], first) if len(order) else np.empty(0, np.int64)
+    limits = np.append(0, np.cumsum(sizes(table.column("keys"))))
+    return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "low": lists(low[place], limits)})
+
+
+KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text binary"
+
+
+def cut(slices: DataFrame, answers: DataFrame, length: int) -> DataFrame:
+    """KEPT of slices(slice, doc_id, text, of, at) and the least document of each window."""
+
+    def finish(slice_rows: pa.Table, found: pa.Table) -> pa.Table:
+        (batch,) = slice_rows.combine_chunks().to_batches()
+        ((_, ids, _, texts),) = _parts(batch)
+        of, at = (np.asarray(batch.column(c)[0].values) for c in ("of", "at"))
+        chosen = np.unique(of)
+        h, n = ByteWords()([texts[i] for i in chosen])
+        begin = np.zeros(len(texts), np.int64)
+        begin[chosen] = np.cumsum(n) - n
+        one, two = _window_keys(h, begin[of] + at, length)
+        order, _, place = _distinct(one, two)
+        gone = flat(found.column("low"))[place] < ids[of] if len(of) else np.zeros(0, bool)
+        bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+        n_words, removed, kept = [], [], []
+        for i, text in enumerate(texts):
+            words = text.split()
+            n_words.append(len(words))
+            starts = at[bounds[i] : bounds[i + 1]][gone[bounds[i] : bounds[i + 1]]]
+            if len(starts):
+                edge = np.zeros(len(words) + 1, np.int32)
+                np.add.at(edge, starts, 1)
+                np.add.at(edge, starts + length, -1)
+                out = np.cumsum(edge)[:-1] > 0
+                removed.append(int(out.sum()))
+                words = [words[k] for k in np.flatnonzero(~out)]
+            else:
+                removed.append(0)
+            kept.append(b" ".join(words))
+        return pa.table([batch.column("doc_id")[0].values, pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+
+    return settled(slices, answers, finish, KEPT)
+
+
+def substring_dedup(docs: DataFrame, *, length: int = 13, slice_bytes: int = 4 << 20, bucket_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for every row of docs(doc_id, text): the text
     without each word covered by a window of length words that also starts in a document
     with a smaller doc_id. Windows are judged on the input; length must be above 7."""
     if length <= PERIOD:
         raise ValueError(f"length must be above {PERIOD}")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = docs.where("doc_id is not null")
-
-    # both branches read the same columns, so one exchange serves the aggregate and the join
-    keyed = anchors(named, length).repartition("settled", "key")
-    shared = keyed.groupBy("settled", "key").agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("at").alias("first")
-    )
-    shared = shared.where("first < 0 or low < high").select("settled", "key")
-    hits = keyed.join(shared.hint("merge"), ["settled", "key"]).withColumn("at", F.expr("if(at < 0, ~at, at)"))
-    hits = hits.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    hits = materialize(hits)
-
-    wide = extended(named.join(hits, "doc_id").select("doc_id", "text", "at"), length).repartition("settled", "one", "two")
-    first = wide.groupBy("settled", "one", "two").agg(F.min("doc_id").alias("low"), F.max("at").alias("last"))
-    later = wide.join(first.hint("merge"), ["settled", "one", "two"]).where("(settled or low < doc_id) and last >= 0")
-    marks = materialize(later.groupBy("doc_id").agg(F.collect_set("at").alias("at")))
-    kept = cut(named.join(marks, "doc_id", "left").select("doc_id", "text", "at"), length)
-    return kept.unionByName(cut(docs.where("doc_id is null").withColumn("at", F.lit(None).cast("array<int>")), length))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    slices = materialize(text_slices(docs, slice_bytes))
+    buckets = (slices.agg(F.sum("n_bytes")).first()[0] or 0) // bucket_bytes + 1
+    shared = materialize(answered(anchor_keys(slices, length, buckets), _elsewhere, "slice bigint, bucket bigint, shared array<boolean>"))
+    found = materialize(candidate_windows(slices, shared, length, buckets))
+    least = answered(found.where("bucket is not null").select("slice", "bucket", "keys", "two", "low"), _least, "slice bigint, bucket bigint, low array<bigint>")
+    least = materialize(least)
+    out = cut(slices.join(found.where("bucket is null").select("slice", "of", "at"), "slice"), least, length)
+    return out.withColumn("kept_text", F.col("kept_text").cast("string"))

@@ -98,6 +98,18 @@ def test_substring_dedup(docs, odd):
             else:
                 assert r.n_removed == 0
     assert substring_dedup(empty(docs)).count() == 0
+    small = substring_dedup(docs.repartition(3), slice_bytes=20_000, bucket_bytes=3_000).collect()
+    assert sorted(small) == sorted(substring_dedup(docs).collect())
+
+
+def test_substring_dedup_of_odd_texts(spark):
+    """Ids beyond 53 bits, one id with two texts, and text that is not valid UTF-8."""
+    run = " ".join(f"v{k}" for k in range(20))
+    big = 2**53
+    rows = [(big, f"{run} a"), (big + 1, f"b {run}"), (big + 1, f"{run} c"), (big + 2, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("text", F.when(F.col("doc_id") == big + 1, F.concat(F.expr("cast(x'ff20' as string)"), "text")).otherwise(F.col("text")))
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(df).select("doc_id", "n_words", "n_removed").collect())
+    assert got == [(big, 21, 0), (big + 1, 22, 20), (big + 1, 22, 20), (big + 2, 0, 0)]
 
 
 def test_url_rules(spark):

@@ -7,6 +7,8 @@ import random
 from collections import Counter
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from spanforge.llm.decontam import decontaminate
 from spanforge.llm.html import main_text
 from spanforge.llm.lines import line_dedup
 from spanforge.llm.scoring import score_words
+from spanforge.llm.slices import narrow, widened
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,6 +66,14 @@ def test_lm_scoring_by_words(spark):
     assert score_words(df.where("false"), df.select("doc_id")).count() == 0
 
 
+def test_counts_of_any_size():
+    """Counts keep their value on the way back to a slice, also above 31 bits."""
+    limits = np.array([0, 2, 2, 5])
+    for values in ([1, 2, 3, 4, 5], [1, 2**40 + 7, 0, 2**31, 2**31 - 1]):
+        low, high = narrow(np.array(values), limits)
+        assert widened(pa.chunked_array([low]), pa.chunked_array([high])).tolist() == values
+
+
 def test_lm_scoring_query_uses_words(spark):
     """Tokens of the query are words and an end mark, not bytes."""
     docs = {r.doc_id: len(brute.words(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
