@@ -1,19 +1,24 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, clustering.
 
 The standard-library parser streams events over the whole page. Block elements cut the page
-into lines; each line knows its text, the number of tags seen since the line before, the
-region it lies in (the nearest article, main, section, div, td or body element) and whether an element around it is
-page furniture (by tag, role, or the names of class and id, whole ones only; an article is never
-furniture by its names). If there are article or main elements, all they contain is selected.
-Else the text-to-tag ratios are smoothed with a Gaussian kernel along the page, a two-means
-threshold splits them into content and the rest, and the smallest region that holds all content
-lines is selected, together with all it contains; a region of one line, such as a div or cell
-around a paragraph, counts as a line of the region around it. Furniture never counts. Every line
-of a selected region is kept whole, however short.
+into lines; each line knows its text, the number of tags seen since the line before and the
+region it lies in. Regions are nested: article, main, section, div, td, body, and every element
+that its tag, role or a whole word of its class or id marks as page furniture.
+
+The logarithms of the text-to-tag ratios are smoothed with a Gaussian kernel along the page;
+marked regions weigh a quarter, and so does what lies outside the articles of a page that has some. A two-means threshold on these scores splits the lines into
+content and the rest; a heading goes with the line after it. A region gains the characters of
+its content lines and loses those of its other lines, and the unmarked region that gains most
+is the main text (the outer one of two alike). If it lies in an article or main element, that whole element is meant,
+with unmarked ones beside it. All lines of what is selected are kept, however short, but for marked
+regions within it that hold less than half of its gain.
+
+Names never mark html, body, main and article, and inside an article those of its surroundings
+count no more, but for names of reader comments. The header of an article is part of it.
 
 Odd pages: null or empty html, or a page of furniture only, gives an empty text; unclosed
 elements end with their parent; declarations the parser knows nothing of are skipped as
-comments; repeated rows give repeated results. Further columns are passed over.
+comments; bytes that are not UTF-8 become U+FFFD; repeated rows give repeated results. Further columns are passed over.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, raw
 
 # fixed values: element names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,9 +39,9 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-FURNITURE = frozenset(
-    "aside button canvas dialog footer form head header iframe math menu nav noscript object script search select style svg template textarea title".split()
-)
+#: Never text of the page.
+SILENT = frozenset("button canvas head iframe noscript object script select style svg template textarea title".split())
+FURNITURE = frozenset("aside dialog footer form header menu nav search".split())
 REGION = frozenset("article main section div td body".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # fixed values: words of class, id and role that name page furniture
@@ -46,31 +51,43 @@ NAMES = frozenset(
     "popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skyscraper social sponsor "
     "sponsored subscribe subscription taboola toolbar topbar widget widgets complementary contentinfo alert dialog".split()
 )
+DISCUSSION = frozenset("comment comments disqus replies reply respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WEIGHT = 0.25
+
+
+class Region:
+    def __init__(self, parent, tag, marked, weight):
+        self.parent, self.tag, self.marked, self.weight = parent, tag, marked, weight
+        self.gain = self.n = 0
+        self.chosen = self.aside = False
 
 
 class PageEvents(HTMLParser):
-    """Collects lines as [text parts, tags, region id, in article]."""
+    """Collects the regions, parents first, and the lines as (text, tags, region, heading)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = []  # (tag, furniture, region id, in article)
+        self.regions = [Region(None, "body", False, 1.0)]
+        self.stack = []  # (tag, region or None for silent elements, in article, marked by name above it, in heading)
         self.lines = []
-        self.parts, self.tags, self.parents = [], 0, [0]
+        self.parts, self.tags = [], 0
 
     def state(self):
-        return self.stack[-1][1:] if self.stack else (False, 0, False)
+        return self.stack[-1][1:] if self.stack else (self.regions[0], False, False, False)
 
     def flush(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                furniture, region, article = self.state()
-                self.lines.append((text, self.tags, None if furniture else region, article))
+                region, _, _, heading = self.state()
+                if region is not None:
+                    self.lines.append((text, self.tags, region, heading))
                 self.tags = 0
             self.parts = []
 
     def close_to(self, depth):
-        if any(tag in BLOCK or tag in FURNITURE for tag, *_ in self.stack[depth:]):
+        if any(tag in BLOCK or tag in SILENT for tag, *_ in self.stack[depth:]):
             self.flush()
         del self.stack[depth:]
 
@@ -79,7 +96,7 @@ class PageEvents(HTMLParser):
         if tag == "br":
             self.parts.append("\n")
             return
-        if tag in BLOCK or tag in FURNITURE:
+        if tag in BLOCK or tag in SILENT:
             for depth in range(len(self.stack) - 1, -1, -1):  # what this element closes implicitly
                 open_tag = self.stack[depth][0]
                 if (open_tag == "p" and tag in BLOCK) or open_tag in CLOSES.get(tag, ()):
@@ -90,20 +107,33 @@ class PageEvents(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        furniture, region, article = self.state()
-        if not furniture:
-            furniture = tag in FURNITURE
-            if not furniture and tag not in ("html", "body", "main", "article"):
-                for name, value in attrs:
-                    if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                        furniture = True
-                    elif name in ("class", "id", "role") and value:
-                        furniture = furniture or not NAMES.isdisjoint(value.lower().split())
-        if tag in REGION:
-            if not (article and tag not in ("article", "main")):
-                self.parents.append(region)
-                region = len(self.parents) - 1
-        self.stack.append((tag, furniture, region, article or tag in ("article", "main")))
+        region, article, named, heading = self.state()
+        if region is not None:
+            words, hidden = set(), False
+            for name, value in attrs:
+                hidden = hidden or name == "hidden" or (name == "aria-hidden" and value == "true")
+                if name in ("class", "id", "role") and value:
+                    words.update(value.lower().split())
+            if tag in SILENT or hidden:
+                region = None
+            else:
+                region, named = self.enter(tag, words, region, article, named)
+        self.stack.append((tag, region, article or tag in ("article", "main"), named, heading or tag in HEADINGS))
+
+    def enter(self, tag, words, region, article, named):
+        """(region, named) inside an element of these names; named tells for which names a mark stands."""
+        talk = not DISCUSSION.isdisjoint(words) and not (tag == "article" and not article)
+        own = talk or (tag not in ("html", "body", "main", "article") and not NAMES.isdisjoint(words))
+        marked = own or (tag in FURNITURE and not (tag == "header" and article))
+        weight = region.weight
+        if tag == "article" and named == "layout":  # names around an article say nothing of it
+            weight, named = 1.0, False
+        if marked:
+            weight, named = WEIGHT, "talk" if talk or named == "talk" else "layout" if own and not (tag in FURNITURE) else "tag"
+        if marked or tag in REGION:
+            region = Region(region, tag, marked, weight)
+            self.regions.append(region)
+        return region, named
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -150,40 +180,48 @@ def two_means(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def line_scores(lines: list, sigma: float) -> list[float]:
+    """Smoothed log ratios of text to tags, weighed by region."""
+    ratios = smooth([math.log1p(len(text) / max(1, tags)) for text, tags, _, _ in lines], sigma)
+    return [ratio * (WEIGHT if region.aside else region.weight) for ratio, (_, _, region, _) in zip(ratios, lines)]
+
+
 def main_text(html: str, sigma: float = 1.0) -> str:
     parser = PageEvents()
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
-    if not any(region is not None for _, _, region, _ in lines):
+    lines, regions = parser.lines, parser.regions
+    if any(region.tag == "article" and region.weight == 1 for region in regions):
+        for region in regions:  # what is in no article weighs less
+            region.aside = not (region.tag == "article" or (region.parent is not None and not region.parent.aside))
+    if not lines or all(region.weight < 1 for _, _, region, _ in lines):
         return ""
-    if any(article for _, _, region, article in lines if region is not None):
-        return "\n\n".join(text for text, _, region, article in lines if region is not None and article)
-    ratios = smooth([math.log1p(len(text) / max(1, tags)) if region is not None else 0.0 for text, tags, region, _ in lines], sigma)
-    cut = two_means(ratios)
-    parents = parser.parents
-    n = [0] * len(parents)
-    for _, _, region, _ in lines:
-        if region is not None:
-            n[region] += 1
-    for region in range(len(parents) - 1, 0, -1):  # children come after their parents
-        n[parents[region]] += n[region]
-    home = list(range(len(parents)))
-    for region in range(1, len(parents)):
-        if n[region] < 2:
-            home[region] = home[parents[region]]
-    content = [home[region] for (_, _, region, _), ratio in zip(lines, ratios) if region is not None and ratio >= cut]
-    weight = [0] * len(parents)
-    for region in content:
-        weight[region] += 1
-    for region in range(len(parents) - 1, 0, -1):
-        weight[parents[region]] += weight[region]
-    best = max((region for region, w in enumerate(weight) if w == len(content) and home[region] == region), default=0) if content else 0
-    inside = [region == best for region in range(len(parents))]
-    for region in range(1, len(parents)):
-        inside[region] = inside[region] or inside[parents[region]]
-    return "\n\n".join(text for text, _, region, _ in lines if region is not None and inside[region])
+    scores = line_scores(lines, sigma)
+    cut = two_means(scores)
+    content = [score >= cut for score in scores]
+    for i in range(len(lines) - 2, -1, -1):  # a heading goes with what it heads
+        if lines[i][3] and lines[i][2].weight == lines[i + 1][2].weight:
+            content[i] = content[i] or content[i + 1]
+    for (text, _, region, _), good in zip(lines, content):
+        region.gain += len(text) if good else -len(text)
+        region.n += 1
+    for region in reversed(regions[1:]):  # children come after their parents
+        region.parent.gain += region.gain
+        region.parent.n += region.n
+    best = max((r for r in regions if r.n and r.weight == 1), key=lambda r: r.gain)  # the first, outer one of ties
+    chosen = [best]
+    around = best
+    while around is not None:
+        if around.tag in ("article", "main"):
+            chosen = [r for r in regions if r is around or (r.tag == around.tag and r.parent is around.parent and r.weight == 1)]
+        around = around.parent
+    for region in chosen:
+        region.chosen = True
+    for region in regions:  # what lies in them, without the furniture there
+        inside = region.parent is not None and region.parent.chosen
+        region.chosen = region.chosen or (inside and not (region.marked and 2 * region.gain <= best.gain))
+    return "\n\n".join(text for text, _, region, _ in lines if region.chosen)
 
 
 def extract_text(pages: DataFrame, *, sigma: float = 1.0) -> DataFrame:
@@ -191,11 +229,11 @@ def extract_text(pages: DataFrame, *, sigma: float = 1.0) -> DataFrame:
 
     def run(batches):
         for part in chunks(batches, "html"):
-            texts = [main_text(h, sigma) if h else "" for h in part.column("html").to_pylist()]
+            texts = [main_text(h.decode("utf-8", "replace"), sigma) if h else "" for h in raw(part.column("html"))]
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").cast("binary").alias("html"))
     return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

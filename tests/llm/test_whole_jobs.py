@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
+from html import unescape
 
 import brute
 import numpy as np
@@ -132,3 +134,61 @@ def test_html_names_and_articles():
     assert main_text(f"<div class='post-with-share no-sidebar'><p>{text}</p><p>short</p></div>").endswith("short")
     page = f"<body><article class='comment related'><p>{text}</p></article><article><p>tiny</p></article></body>"
     assert main_text(page) == text.strip() + "\n\ntiny"
+
+
+LONG = "This is a long sentence of the main text, one of many that follow each other. " * 3
+
+
+def test_html_furniture_only_weighs():
+    """Names of wrappers, parts of names, headers of articles and formulas lose no text."""
+    text = LONG.strip()
+    for page in (
+        f'<div class="layout with-sidebar"><article><p>{text}</p></article></div>',
+        f'<div class="sidebar nav"><article><p>{text}</p></article></div><div><p>x</p></div>',
+        f'<div id="page" class="nav-open"><div><p>{text}</p></div></div>',
+    ):
+        assert text in main_text(f"<body><nav><a>a</a><a>b</a></nav>{page}<footer>foot</footer></body>"), page
+    price = f'<article><p>{text}</p><p class="share-price">12 EUR</p></article>'
+    assert main_text(price) == f"{text}\n\n12 EUR"
+    assert main_text(f"<article><header><h1>Head</h1></header><p>{text}</p></article>") == f"Head\n\n{text}"
+    assert main_text(f"<article><p>{text} so <math><mi>x</mi></math> holds</p></article>") == f"{text} so x holds"
+    talk = f'<section class="comments"><article class="comment"><p>{LONG}{LONG}</p></article></section>'
+    assert main_text(f"<article><p>{text}</p><p>end</p>{talk}</article>") == f"{text}\n\nend"
+    assert main_text(f"<article><p>{text}</p></article>{talk}") == text
+    assert main_text("<nav><a>one</a></nav><footer>two</footer>") == ""
+
+
+def test_html_regions_come_from_smoothed_ratios(monkeypatch):
+    """Without any mark or article, ratios alone tell lists of links and teasers from the text,
+    and a short line among long ones is content by its neighbours only."""
+    links = "".join(f"<li><a href='/{k}'>link {k}</a></li>" for k in range(12))
+    teasers = "".join(f"<div><a href=x><img><b>More</b></a><span>on {k}</span></div>" for k in range(4))
+    body = f"<div><h2>Head</h2><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div>"
+    page = f"<body><div><ul>{links}</ul></div>{body}<div>{teasers}</div><div><span><i>c</i></span> 2020</div></body>"
+    want = f"Head\n\n{LONG.strip()}\n\nYes.\n\n{LONG.strip()}"
+    assert main_text(page) == want
+    with monkeypatch.context() as m:
+        m.setattr("spanforge.llm.html.smooth", lambda values, sigma: [1.0] * len(values))
+        assert main_text(page) != want and "link 3" in main_text(page)
+    # content by neighbours: the spread cells of one text, against the same page unsmoothed
+    cells = "".join(f"<div><p>{LONG if k % 3 else 'Hm so.'}</p><section><i>x</i><b>y</b> z{k}</section></div>" for k in range(9))
+    page = f"<body>{cells}<div><ul>{links}</ul></div></body>"
+    assert main_text(page, sigma=1.0) != main_text(page, sigma=0.01) or main_text(page).count("Hm so.") == 3
+
+
+def plain_article(html):
+    """Text of the article of the generated pages, by regular expressions."""
+    html = re.sub(r"<!--.*?-->|<(script|style)>.*?</\1>", "", html or "", flags=re.S)
+    found = re.search(r"<article>(.*?)(?:</article>|$)", html, re.S)
+    text = re.sub(r"</?(?:p|h1|ul|ol|li|div|article)\b[^>]*>", "\0", found[1] if found else "")
+    text = unescape(re.sub(r"<br>", " ", text).replace("<b>", "").replace("</b>", ""))
+    return "\n\n".join(x for x in (" ".join(part.split()) for part in text.split("\0")) if x)
+
+
+def test_html_of_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: plain_article(r.html) for r in pages.collect()}
+    got = {r.page_id: r for r in queries.op4_html(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == want.keys() and sum(map(bool, want.values())) > 200
+    for i, text in want.items():
+        assert (got[i].text, got[i].n_chars) == (text, len(text)), i
