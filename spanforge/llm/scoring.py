@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ByteWords, chunks, materialize, mix, raw, signed
-from .slices import answered, flat, lists, narrow, sent, settled, sizes, widened
+from .slices import answered, cuts, flat, lists, narrow, sent, settled, sizes, widened
 
 SLICES = "slice bigint, doc_id array<bigint>, length array<int>, vocabulary array<bigint>, codes array<int>, n bigint"
 _EDGE, _LOW = np.uint64(2), np.uint64(1)
@@ -111,15 +111,23 @@ def gram_counts(slices: DataFrame, buckets: int) -> DataFrame:
                 for kind in range(3):
                     here = slice(*bounds[kind : kind + 2])
                     order = grams.order[here]
-                    counts = {"n": grams.n[order], "near": grams.near[order]} if kind == 2 else {}
-                    out = sent(name, grams.keys[here], buckets, **counts)
-                    columns = {c: out.column(c) if c in out.schema.names else pa.nulls(out.num_rows, pa.list_(pa.int64())) for c in ("slice", "bucket", "keys", "n", "near")}
-                    yield pa.RecordBatch.from_pydict(columns | {"kind": pa.array(np.full(out.num_rows, kind))})
+                    out = sent(name, grams.keys[here], buckets)
+                    columns = {c: out.column(c) for c in out.schema.names} | {"kind": pa.array(np.full(out.num_rows, kind))}
+                    for c, counts in (("n", grams.n), ("near", grams.near)):
+                        if kind == 2:
+                            columns |= narrow(c, counts[order], cuts(grams.keys[here], buckets)[1])
+                        else:
+                            columns |= {c: pa.nulls(out.num_rows, pa.list_(pa.int16())), f"{c}_high": pa.nulls(out.num_rows, pa.list_(pa.int64()))}
+                    yield pa.RecordBatch.from_pydict(columns)
 
-    return slices.mapInArrow(run, "slice bigint, bucket bigint, keys array<bigint>, n array<bigint>, near array<bigint>, kind bigint")
+    return slices.mapInArrow(run, f"slice bigint, bucket bigint, keys array<bigint>, kind bigint, {_narrow('n')}, {_narrow('near')}")
 
 
-ANSWERS = "slice bigint, bucket bigint, kind bigint, sent bigint, gap array<int>, n array<int>, n_high array<int>, near array<int>, near_high array<int>, size bigint, words bigint, near_words bigint"
+def _narrow(name: str) -> str:
+    return f"{name} array<smallint>, {name}_high array<bigint>"
+
+
+ANSWERS = f"slice bigint, bucket bigint, kind bigint, sent bigint, {_narrow('gap')}, {_narrow('n')}, {_narrow('near')}, size bigint, words bigint, near_words bigint"
 
 
 def _elsewhere(table: pa.Table) -> pa.Table:
@@ -133,7 +141,7 @@ def _elsewhere(table: pa.Table) -> pa.Table:
     sums, other = {"size": int(word.sum())}, {}
     for name, what in (("n", "words"), ("near", "near_words")):
         own = np.minimum(kind, 1) if name == "near" else np.ones(len(kind), np.int64)
-        own[kind == 2] = flat(table.column(name))
+        own[kind == 2] = widened(table, name)
         total = np.zeros(len(found), np.int64)
         np.add.at(total, place, own)
         other[name] = total[place] - own
@@ -144,9 +152,9 @@ def _elsewhere(table: pa.Table) -> pa.Table:
     gap = np.diff(hit, prepend=0)
     begin = np.flatnonzero(np.diff(limits))
     gap[limits[begin]] = hit[limits[begin]] - starts[begin]
-    columns["gap"] = lists(pa.array(gap, pa.int32()), limits)
+    columns |= narrow("gap", gap, limits)
     for name, v in other.items():
-        columns[name], columns[f"{name}_high"] = narrow(v[hit], limits)
+        columns |= narrow(name, v[hit], limits)
     for name, value in sums.items():
         column = np.zeros(table.num_rows, np.int64)
         column[0] = value
@@ -156,7 +164,7 @@ def _elsewhere(table: pa.Table) -> pa.Table:
 
 def _places(found: pa.Table) -> np.ndarray:
     """Where in the order of sending the keys stand that answers(sent, gap) are about."""
-    gap, length = flat(found.column("gap")).astype(np.int64), sizes(found.column("gap"))
+    gap, length = widened(found, "gap"), sizes(found.column("gap"))
     before = np.cumsum(np.append(0, found.column("sent").to_numpy()))[:-1]
     first = (np.cumsum(length) - length)[length > 0]
     upto = np.cumsum(gap)
@@ -184,7 +192,7 @@ def score_words(docs: DataFrame, target_ids: DataFrame, *, k: float = 5.0, slice
         at, means = grams.order[_places(found)], []
         for own, name, total in ((grams.near, "near", target), (grams.n, "n", every)):
             counts = own.copy()
-            counts[at] += widened(found.column(name), found.column(f"{name}_high"))
+            counts[at] += widened(found, name)
             loss = grams.losses(counts, size, total, k)[grams.place]
             mean = np.zeros(len(grams.tokens))
             if len(grams.full):

@@ -66,18 +66,21 @@ def settled(slices: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, p
     return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
 
 
-def narrow(values: np.ndarray, limits: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Non-negative counts as lists of 31 bits, and of what is above them (null if nothing is)."""
-    high = values >> 31
-    low = lists(pa.array(values & 0x7FFFFFFF, pa.int32()), limits)
-    return low, lists(pa.array(high, pa.int32()), limits) if high.any() else pa.nulls(len(limits) - 1, pa.list_(pa.int32()))
+def narrow(name: str, values: np.ndarray, limits: np.ndarray) -> dict[str, pa.Array]:
+    """Non-negative counts as two list columns: name with 15 bits of each, and name_high with
+    what is above them (null if nothing is), for most counts are small."""
+    high = values >> 15
+    low = lists(pa.array(values & 0x7FFF, pa.int16()), limits)
+    return {name: low, f"{name}_high": lists(pa.array(high, pa.int64()), limits) if high.any() else pa.nulls(len(limits) - 1, pa.list_(pa.int64()))}
 
 
-def widened(low, high) -> np.ndarray:
-    """The counts that narrow() made two list columns of."""
+def widened(table: pa.Table, name: str) -> np.ndarray:
+    """The counts that narrow() made two list columns of; null lists are passed over."""
+    low, high = table.column(name), table.column(f"{name}_high")
     out = flat(low).astype(np.int64)
     if high.null_count < len(high):
-        at = np.append(0, np.cumsum(sizes(low)))
+        length = np.where(np.asarray(low.is_null()), 0, sizes(low))
+        at = np.append(0, np.cumsum(length))
         for i in np.flatnonzero(np.asarray(high.is_valid())):
-            out[at[i] : at[i + 1]] += np.asarray(high[int(i)].values).astype(np.int64) << 31
+            out[at[i] : at[i + 1]] += np.asarray(high[int(i)].values) << 15
     return out

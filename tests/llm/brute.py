@@ -179,6 +179,22 @@ def contaminated(docs, items, threshold=0.5):
     return out
 
 
+def alignments(docs, items):
+    """Best local alignment of every item with every whole document, cell by cell."""
+    out = {}
+    for i, d in docs.items():
+        out[i] = {}
+        for k, item in items.items():
+            best, row = 0, [0] * (len(d) + 1)
+            for w in item:
+                new = [0]
+                for j, x in enumerate(d, 1):
+                    new.append(max(0, row[j - 1] + (2 if x == w else -1), row[j] - 1, new[j - 1] - 1))
+                best, row = max(best, *new), new
+            out[i][k] = best
+    return out
+
+
 def mixed(rows, rounds=8, alpha=0.7, budget=0.8, seed=7):
     """rows: (doc_id, text, lang, source) -> sampled ids."""
     cells, place = {}, {}

@@ -69,11 +69,10 @@ def test_lm_scoring_by_words(spark):
 
 
 def test_counts_of_any_size():
-    """Counts keep their value on the way back to a slice, also above 31 bits."""
+    """Counts keep their value on the way to and from a slice, also above 15 bits."""
     limits = np.array([0, 2, 2, 5])
     for values in ([1, 2, 3, 4, 5], [1, 2**40 + 7, 0, 2**31, 2**31 - 1]):
-        low, high = narrow(np.array(values), limits)
-        assert widened(pa.chunked_array([low]), pa.chunked_array([high])).tolist() == values
+        assert widened(pa.table(narrow("n", np.array(values), limits)), "n").tolist() == values
 
 
 def test_lm_scoring_query_uses_words(spark):
@@ -99,6 +98,48 @@ def test_line_dedup_query_leaves_no_later_copy(spark):
         assert (r.n_lines, r.n_removed, r.n_runs, r.longest_run, r.kept_sha256) == (*want[r.doc_id][:4], brute.sha(want[r.doc_id][4]))
 
 
+def test_decontamination_against_full_alignment(spark):
+    """Items edited at 5 to 50 %: whatever full alignment over the whole document accepts is
+    found, with its item and score; and nothing else is."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(3000)]
+    weights = [1 / (k + 3) for k in range(3000)]
+    items = {i: rng.choices(words, weights, k=rng.randrange(8, 50)) for i in range(12)}
+    docs = {}
+    for rate in (0.05, 0.2, 0.3, 0.4, 0.5):
+        for i, item in items.items():
+            out = []
+            for w in item:
+                kind = rng.randrange(3) if rng.random() < rate else 3
+                out += [[rng.choice(words)], [], [w, rng.choice(words)], [w]][kind]
+            docs[len(docs)] = rng.choices(words, weights, k=25) + out + rng.choices(words, weights, k=25)
+    for k in range(3):  # every third word replaced, as two words of three in a row still match
+        docs[len(docs)] = [w if (j + k) % 3 else f"x{j}" for j, w in enumerate(items[k])]
+    docs |= {1000 + k: rng.choices(words, weights, k=90) for k in range(12)}
+    as_rows = lambda d: [(i, " ".join(w)) for i, w in d.items()]
+    df = spark.createDataFrame(as_rows(docs), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate(df, spark.createDataFrame(as_rows(items), "item_id bigint, text string")).collect()}
+    scores = brute.alignments(docs, items)
+    found = 0
+    for i in docs:
+        score, item = max((round(s / (2 * len(items[k])), 4), -k) for k, s in scores[i].items())
+        if score >= 0.5:
+            found += 1
+            assert got[i].contaminated and (got[i].score, got[i].item_id) == (score, -item), i
+        elif i >= 1000:
+            assert not got[i].contaminated
+    assert found > 40
+
+
+def test_decontamination_of_repeated_items(spark):
+    """Every text under one item_id counts, and so does an item without an id."""
+    texts = {k: " ".join(f"{k}{j}" for j in range(20)) for k in "abc"}
+    items = spark.createDataFrame([(1, texts["a"]), (1, texts["b"]), (None, texts["c"]), (2, None)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, texts["a"]), (2, f"x {texts['b']} y"), (3, texts["c"]), (4, "none of it"), (4, "nor here")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.contaminated) for r in decontaminate(docs, items).collect())
+    assert got == [(1, 1, True), (2, 1, True), (3, None, True), (4, None, False), (4, None, False)]
+
+
 def test_decontamination_of_partial_quotes(spark):
     """Part of a long item is a leak, verbatim or slightly edited; a dozen words are not."""
     rng = random.Random(8)
