@@ -195,6 +195,77 @@ def alignments(docs, items):
     return out
 
 
+def url_templates(rows, z=2.58, share=0.05, borrow=40, prior=8):
+    """rows: (id, url, bad or None) -> {id: (template, purity)} by a plain tree."""
+    pages = []
+    for i, url, bad in rows:
+        m = re.match(r"[\s\S]*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        pages.append([i, host, [x for x in path.split("/") if x], bad, ""])
+
+    def tally(some):
+        return sum(p[3] is not None for p in some), sum(bool(p[3]) for p in some)
+
+    def chi(b1, l1, b, n):
+        d = b1 * n - l1 * b
+        return d * d * n / (l1 * (n - l1) * b * (n - b)) if 0 < l1 < n and 0 < b < n else 0.0
+
+    def cut(branches):
+        """branches: [(name, labels, bad)], already in order -> parts"""
+        n, b = sum(x[1] for x in branches), sum(x[2] for x in branches)
+        best, at, l1, b1 = 0.0, 0, 0, 0
+        for k, (_, x, y) in enumerate(branches, 1):
+            l1, b1 = l1 + x, b1 + y
+            if chi(b1, l1, b, n) > best:
+                best, at = chi(b1, l1, b, n), k
+        return cut(branches[:at]) + cut(branches[at:]) if best > z * z else [branches]
+
+    done, alive, level = [], pages, 0
+    while alive:
+        nodes, by_template = {}, {}
+        for p in alive:
+            nodes.setdefault((p[1], p[4]), []).append(p)
+        going = {k: v for k, v in nodes.items() if tally(v)[0] > z * z and 0 < tally(v)[1] < tally(v)[0]}
+        after = []
+        for k, v in nodes.items():
+            for p in v:
+                if k in going and len(p[2]) > level:
+                    after.append(p)
+                    by_template.setdefault(p[4], []).append(p[2][level])
+                else:
+                    p[4] += "/**" if len(p[2]) > level else ""
+                    done.append(p)
+        for key, v in going.items():
+            here = [p for p in v if len(p[2]) > level]
+            counts, every = Counter(p[2][level] for p in here), Counter(by_template.get(key[1], []))
+            name = {x: x if (n + borrow * every[x] / sum(every.values())) / (len(v) + borrow) >= share else "*" for x, n in counts.items()}
+            groups = {}
+            for p in here:
+                groups.setdefault(name[p[2][level]], []).append(p)
+            branches = sorted(((x, *tally(some)) for x, some in groups.items()), key=lambda x: (x[2] / x[1] if x[1] else 0, x[0]))
+            parts = cut(branches) if branches else []
+            label = {}
+            for part in parts:
+                names = sorted(x[0] for x in part)
+                label |= {x: names[0] if len(names) == 1 else "*" if len(parts) == 1 or "*" in names else "{" + "|".join(names) + "}" for x in names}
+            for x, some in groups.items():
+                for p in some:
+                    p[4] += "/" + label[x]
+        alive, level = after, level + 1
+    n, b = tally(pages)
+    p0 = (b + 1) / (n + 10)
+    hosts, leaves, out = {}, {}, {}
+    for p in done:
+        hosts.setdefault(p[1], []).append(p)
+        leaves.setdefault((p[1], p[4]), []).append(p)
+    for (host, template), some in leaves.items():
+        hl, hb = tally(hosts[host])
+        tl, tb = tally(some)
+        for p in some:
+            out[p[0]] = template, (tb + prior * (hb + prior * p0) / (hl + prior)) / (tl + prior)
+    return out
+
+
 def mixed(rows, rounds=8, alpha=0.7, budget=0.8, seed=7):
     """rows: (doc_id, text, lang, source) -> sampled ids."""
     cells, place = {}, {}

@@ -143,7 +143,37 @@ def test_url_templates(spark):
     labels = spark.createDataFrame([(i, i % 4 == 0) for i in range(0, 400, 3)], "page_id bigint, bad boolean")
     got = filter_urls(pages, labels).collect()
     assert all((r.verdict == "block") == (r.page_id % 4 == 0) for r in got)
-    assert {r.template for r in got} == {"/spam/*", "/news/*"}
+    assert {r.template for r in got} == {"/spam/**", "/news/**"}
+
+
+def test_url_tree(spark):
+    """Templates and purities of a plain tree; below seven common segments bad branches still
+    split off, alike siblings merge and unlike ones differ in verdict."""
+    rng = random.Random(3)
+    deep = "/a/b/c/d/e/f/g"
+    rows = []
+    for i in range(2000):
+        host = rng.choice(["x.org", "x.org", "y.net", f"small{rng.randrange(40)}.com"])
+        area, lang = rng.choice(["buy", "blog", "wiki"]), rng.choice(["de", "en", "fr", "es"])
+        path = rng.choice([f"{deep}/{area}/{i}", f"/{lang}/{area}/{i}.html", f"/{lang}/{i}", f"/{i}/{rng.randrange(10**6)}", "", "/", f"//{lang}//"])
+        bad = rng.random() < (0.95 if area == "buy" and area in path else 0.7 if "/fr/" in path else 0.1)
+        rows.append((i, f"http://{host}{path}?q", bad if i % 2 else None))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows], "page_id bigint, bad boolean")
+    got = {r.page_id: r for r in filter_urls(pages, labels).collect()}
+    want = brute.url_templates(rows)
+    for i, (template, purity) in want.items():
+        assert got[i].template == template, (got[i], template)
+        assert got[i].purity == pytest.approx(purity, abs=2e-6) and got[i].verdict == ("block" if purity >= 0.5 else "allow")
+    found = {t for t, _ in want.values()}
+    assert any(t.endswith("/f/g/buy/**") for t in found) and any("{" in t for t in found) and {r.verdict for r in got.values()} == {"block", "allow"}
+
+
+def test_long_urls(spark):
+    pages = spark.createDataFrame([(0, "http://h/" + "s/" * 50_000), (1, "http://h/" + "x" * 1_000_000), (2, "http://h/s")], "page_id bigint, url string")
+    labels = spark.createDataFrame([(0, True), (2, False)], "page_id bigint, bad boolean")
+    got = {r.page_id: (len(r.path), r.template) for r in filter_urls(pages, labels).collect()}
+    assert got == {0: (100_001, "/**"), 1: (1_000_001, "/**"), 2: (2, "/**")}
 
 
 def test_html(spark):
