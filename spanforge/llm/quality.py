@@ -1,16 +1,21 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Four ratios per document (thousandths): word length, symbols per word, repeated lines per
-line, repeated words per word. Their distribution is kept per language and source as a
-mergeable quantile sketch: counts per logarithmic bucket (values keep their top ``BITS``
-bits, so a quantile is at most 1/32 below the exact one). Sketches of language and source
-add up to those of the language and of the corpus; a group below ``min_group`` documents
-takes the next wider one. Thresholds are fences around the quartiles, widened for short
-documents whose ratios are noisy, and are joined back for the verdict. No fixed cutoff is
-used beyond the base rules.
+line, repeated words per word. Their distribution among the documents that pass the base rules is kept
+per language, source and size class (binary order of the number of words, as ratios of short documents
+scatter more) as a mergeable quantile sketch: counts per logarithmic bucket (values keep their
+top ``BITS`` bits, so a quantile is at most 1/512 below the exact one). Sketches of all three add
+up to those of language and size, of the language and of the corpus; a group below ``min_group``
+documents takes the next wider one.
+
+Thresholds are fences: the inner quantile of a side plus ``fence`` times its distance from the
+median, quartiles on both sides for the word length and the ninth decile, upper side only, for
+the three counts of something unwanted. A count must also exceed its fence by ``z`` standard errors of
+itself (repeated words come in tens). So all thresholds follow from the data; ``fence`` and ``z``
+only say how far from usual is too far. They are joined back for the verdict.
 
 Odd rows: null or empty text has no words and fails the base rules; null language or source
-form a group of their own; repeated rows are judged alike and count in the sketches; further
+form a group of their own; repeated rows are judged alike and count in the sketches; a null doc_id is judged as any other; further
 columns are ignored.
 """
 
@@ -22,15 +27,17 @@ from pyspark.sql import Window as W
 
 from .common import SPACE, materialize
 
-BITS = 6
+BITS = 10
 
-#: ratio -> (numerator, denominator, spread floor, slack, upper fence only)
+#: ratio -> (numerator, denominator, quantiles below, in the middle and above, in twentieths, words of one event);
+#: without a quantile below only the upper fence counts, and only beyond chance
 RATIOS = {
-    "word_length": ("word_chars", "n_words", 250, 9000, False),
-    "symbols": ("n_symbols", "n_words", 20, 1000, True),
-    "dup_lines": ("n_dup_lines", "n_lines", 60, 600, True),
-    "repeats": ("n_repeat_words", "n_words", 30, 1000, True),
+    "word_length": ("word_chars", "n_words", 5, 10, 15, None),
+    "symbols": ("n_symbols", "n_words", None, 10, 18, 1),
+    "dup_lines": ("n_dup_lines", "n_lines", None, 10, 18, 1),
+    "repeats": ("n_repeat_words", "n_words", None, 10, 18, 10),
 }
+CUTS = (5, 10, 15, 18)
 
 _REPEATS = """
 CASE WHEN size(words) < 5 THEN 0 ELSE transform(array(transform(words, w -> xxhash64(w))), h ->
@@ -48,7 +55,7 @@ CASE WHEN size(words) < 5 THEN 0 ELSE transform(array(transform(words, w -> xxha
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed)."""
+    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, size)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -63,7 +70,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.expr(_REPEATS).cast("bigint").alias("n_repeat_words"), F.size("lines").cast("bigint").alias("n_lines"),
     )
-    return counted.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
+    return counted.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")).withColumn("size", F.length(F.bin("n_words")))
 
 
 def bucket(v: Column) -> Column:
@@ -73,73 +80,78 @@ def bucket(v: Column) -> Column:
 
 
 def thresholds(counts: DataFrame, min_group: int) -> DataFrame:
-    """(lang, source, <ratio>_q1, _q2, _q3 ...): quartiles from the merged sketches."""
+    """(lang, source, size, q): the quantiles at CUTS of each ratio, from the merged sketches."""
     good = counts.where("not base_failed")
     pairs = F.explode(F.array(*(
         F.struct(F.lit(name).alias("ratio"), F.expr(f"1000 * {num} DIV greatest({den}, 1)").alias("v")) for name, (num, den, *_) in RATIOS.items()
     )))
-    sketch = good.select("lang", "source", pairs.alias("x")).select("lang", "source", "x.ratio", bucket(F.col("x.v")).alias("b"))
-    sketch = materialize(sketch.groupBy("lang", "source", "ratio", "b").agg(F.count("*").alias("n")))
+    sketch = good.select("lang", "source", "size", pairs.alias("x")).select("lang", "source", "size", "x.ratio", bucket(F.col("x.v")).alias("b"))
+    sketch = materialize(sketch.groupBy("lang", "source", "size", "ratio", "b").agg(F.count("*").alias("n")))
 
-    def quartiles(keys):
+    def quantiles(keys):
         merged = sketch.groupBy(*keys, "ratio", "b").agg(F.sum("n").alias("n"))
         part = W.partitionBy(*keys, "ratio")
         run = merged.withColumn("upto", F.sum("n").over(part.orderBy("b"))).withColumn("total", F.sum("n").over(part))
-        at = [F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("b"))) for k in (1, 2, 3)]
+        at = [F.min(F.when(F.col("upto") * 20 >= F.col("total") * k, F.col("b"))) for k in CUTS]
         wide = run.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), F.array(*at).alias("q"))
         return wide.groupBy(*keys).agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("ratio", "q"))).alias("q"))
 
-    own = quartiles(["lang", "source"])
-    lang = quartiles(["lang"]).select("lang", F.col("total").alias("lang_total"), F.col("q").alias("lang_q"))
-    every = quartiles([]).select(F.col("q").alias("all_q"), F.lit(1).alias("one"))
-    groups = counts.select("lang", "source").distinct().withColumn("one", F.lit(1))
-    joined = groups.join(own, ["lang", "source"], "left").join(lang, "lang", "left").join(every, "one", "left")
-    q = F.when(F.col("total") >= min_group, F.col("q")).when(F.col("lang_total") >= min_group, F.col("lang_q")).otherwise(F.col("all_q"))
-    return joined.select("lang", "source", q.alias("q"))
+    joined = counts.select("lang", "source", "size").distinct()
+    q = F.lit(None)
+    for level, keys in enumerate((["lang", "source", "size"], ["lang", "size"], ["lang"])):
+        found = quantiles(keys).where(F.col("total") >= min_group).select(*keys, F.col("q").alias(f"q{level}"))
+        joined = joined.join(found, keys, "left")
+        q = F.coalesce(q, F.col(f"q{level}")) if level else F.col("q0")
+    every = quantiles([]).agg(F.first("q").alias("all_q"))
+    return joined.crossJoin(F.broadcast(every)).select("lang", "source", "size", F.coalesce(q, "all_q").alias("q"))
 
 
-def quality_rules(docs: DataFrame, *, fence: int = 5, min_group: int = 100) -> DataFrame:
+def quality_rules(docs: DataFrame, *, fence: int = 6, z: float = 3.0, min_group: int = 100) -> DataFrame:
     """Base counts, base_failed and kept for every row of docs(doc_id, text, lang, source)."""
     counts = materialize(base_counts(docs))
-    joined = counts.join(thresholds(counts, min_group), ["lang", "source"], "left")
-    odd = []
-    for name, (num, den, floor, slack, upper_only) in RATIOS.items():
+    joined = counts.join(thresholds(counts, min_group), ["lang", "source", "size"], "left")
+    strange = F.lit(False)
+    for name, (num, den, below, middle, above, event) in RATIOS.items():
         v = F.expr(f"1000 * {num} DIV greatest({den}, 1)")
-        low, mid, high = (F.col("q")[name][k] for k in range(3))
-        over = v - (high + fence * F.greatest(high - mid, F.lit(floor)))
-        under = low - fence * F.greatest(mid - low, F.lit(floor)) - v
-        sides = [over] if upper_only else [over, under]
-        odd += [(s > 0) & (s * s * F.greatest(F.col(den), F.lit(1)) > slack * slack) for s in sides]
-    strange = odd[0]
-    for x in odd[1:]:
-        strange = strange | x
-    kept = ~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))
-    return joined.withColumn("kept", kept).select(
+        q = {cut: F.col("q")[name][k] for k, cut in enumerate(CUTS)}
+        high = q[above] + fence * (q[above] - q[middle])
+        if below is not None:
+            odd = (v > high) | (v < q[below] - fence * (q[middle] - q[below]))
+        else:
+            over = F.lit(1000.0) * F.col(num) - (high * F.col(den)).cast("double")
+            odd = (over > 0) & (over * over > F.lit(z * z * 1e6 * event) * F.col(num))
+        strange = strange | F.coalesce(odd, F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~strange).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
-def _sql() -> str:
-    bucketed = "CASE WHEN length(bin(v)) > 6 THEN (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) ELSE v END"
+def _sql(fence: int = 6, z: float = 3.0, min_group: int = 100) -> str:
+    bucketed = f"CASE WHEN length(bin(v)) > {BITS} THEN (v >> (length(bin(v)) - {BITS})) << (length(bin(v)) - {BITS}) ELSE v END"
+    value = "CAST(1000 * {num} // greatest({den}, 1) AS BIGINT)"
     ratios = " UNION ALL ".join(
-        f"SELECT lang, source, '{name}' AS ratio, CAST(1000 * {num} // greatest({den}, 1) AS BIGINT) AS v FROM counts WHERE NOT base_failed"
-        for name, (num, den, *_) in RATIOS.items()
+        f"SELECT lang, source, size, '{name}' AS ratio, {value.format(num=num, den=den)} AS v FROM counts WHERE NOT base_failed" for name, (num, den, *_) in RATIOS.items()
     )
 
-    def quart(name, keys):
+    def quant(name, keys):
         k = "".join(f"{x}, " for x in keys)
-        return f"""{name} AS (SELECT {k}ratio, max(total) AS total,
-          min(b) FILTER (upto * 4 >= total) AS q1, min(b) FILTER (upto * 4 >= total * 2) AS q2, min(b) FILTER (upto * 4 >= total * 3) AS q3
+        at = ", ".join(f"min(b) FILTER (upto * 20 >= total * {cut}) AS q{cut}" for cut in CUTS)
+        return f"""{name} AS (SELECT {k}ratio, max(total) AS total, {at}
           FROM (SELECT {k}ratio, b, sum(n) OVER (PARTITION BY {k}ratio ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {k}ratio) AS total
                 FROM (SELECT {k}ratio, b, sum(n) AS n FROM sketch GROUP BY {k}ratio, b)) GROUP BY {k}ratio)"""
 
     tests = []
-    for name, (num, den, floor, slack, upper_only) in RATIOS.items():
-        v = f"CAST(1000 * {num} // greatest({den}, 1) AS BIGINT)"
-        sides = [f"({v} - (q3 + 5 * greatest(q3 - q2, {floor})))"]
-        if not upper_only:
-            sides.append(f"(q1 - 5 * greatest(q2 - q1, {floor}) - {v})")
-        tests.append(f"(ratio = '{name}' AND (" + " OR ".join(f"({s} > 0 AND {s} * {s} * greatest({den}, 1) > {slack * slack})" for s in sides) + "))")
+    for name, (num, den, below, middle, above, event) in RATIOS.items():
+        v, high = value.format(num=num, den=den), f"(q{above} + {fence} * (q{above} - q{middle}))"
+        if below is not None:
+            test = f"{v} > {high} OR {v} < q{below} - {fence} * (q{middle} - q{below})"
+        else:
+            over = f"(CAST(1000 AS DOUBLE) * {num} - CAST({high} * {den} AS DOUBLE))"
+            test = f"{over} > 0 AND {over} * {over} > CAST({z * z * 1e6 * event} AS DOUBLE) * {num}"
+        tests.append(f"(ratio = '{name}' AND ({test}))")
+    chosen = ", ".join(
+        f"CASE WHEN o.total >= {min_group} THEN o.q{c} WHEN s.total >= {min_group} THEN s.q{c} WHEN l.total >= {min_group} THEN l.q{c} ELSE e.q{c} END AS q{c}" for c in CUTS
+    )
     return f"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
@@ -149,23 +161,21 @@ grams AS (SELECT doc_id, p, lead(p, 4) OVER d AS last,
   (word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d, lead(word, 4) OVER d) AS g FROM pos WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
 twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams WHERE last IS NOT NULL) WHERE c > 1),
 reps AS (SELECT doc_id, count(DISTINCT p + k) AS n_repeat_words FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
-counts AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM (
+counts AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, length(bin(n_words)) AS size FROM (
   SELECT d.doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(w) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
     CAST(len(lines) AS BIGINT) AS n_lines
   FROM documents d JOIN words USING (doc_id) LEFT JOIN reps USING (doc_id))),
-sketch AS (SELECT lang, source, ratio, {bucketed} AS b, count(*) AS n FROM ({ratios}) GROUP BY ALL),
-{quart('own', ['lang', 'source'])}, {quart('bylang', ['lang'])}, {quart('every', [])},
-th AS (SELECT g.lang, g.source, e.ratio,
-  CASE WHEN o.total >= 100 THEN o.q1 WHEN l.total >= 100 THEN l.q1 ELSE e.q1 END AS q1,
-  CASE WHEN o.total >= 100 THEN o.q2 WHEN l.total >= 100 THEN l.q2 ELSE e.q2 END AS q2,
-  CASE WHEN o.total >= 100 THEN o.q3 WHEN l.total >= 100 THEN l.q3 ELSE e.q3 END AS q3
-  FROM (SELECT DISTINCT lang, source FROM counts) g CROSS JOIN every e
+sketch AS (SELECT lang, source, size, ratio, {bucketed} AS b, count(*) AS n FROM ({ratios}) GROUP BY ALL),
+{quant('own', ['lang', 'source', 'size'])}, {quant('bysize', ['lang', 'size'])}, {quant('bylang', ['lang'])}, {quant('every', [])},
+th AS (SELECT g.lang, g.source, g.size, e.ratio, {chosen}
+  FROM (SELECT DISTINCT lang, source, size FROM counts) g CROSS JOIN every e
   LEFT JOIN bylang l ON l.lang = g.lang AND l.ratio = e.ratio
-  LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.ratio = e.ratio),
-odd AS (SELECT doc_id, bool_or({' OR '.join(tests)}) AS odd FROM counts JOIN th USING (lang, source) GROUP BY doc_id)
+  LEFT JOIN bysize s ON s.lang = g.lang AND s.size = g.size AND s.ratio = e.ratio
+  LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.size = g.size AND o.ratio = e.ratio),
+odd AS (SELECT doc_id, bool_or({' OR '.join(tests)}) AS odd FROM counts JOIN th USING (lang, source, size) GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(odd, FALSE) AS kept
 FROM counts LEFT JOIN odd USING (doc_id)"""

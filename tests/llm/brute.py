@@ -112,40 +112,43 @@ def line_dedup(docs, m=2):
     return out
 
 
-def quality_kept(rows, fence=5, min_group=100):
+def quality_kept(rows, fence=6, z=3, min_group=100):
     """rows: (doc_id, text, lang, source) -> ids that pass the adaptive thresholds."""
-    names = {"len": (1, 0, 250, 9000), "sym": (2, 0, 20, 1000), "dup": (3, 5, 60, 600), "rep": (4, 0, 30, 1000)}
+    names = {"len": (1, 0, None), "sym": (2, 0, 1), "dup": (3, 5, 1), "rep": (4, 0, 10)}
 
     def bucket(v):
-        shift = max(v.bit_length() - 6, 0)
+        shift = max(v.bit_length() - 10, 0)
         return v >> shift << shift
 
     data = []
     for i, text, lang, source in rows:
         q = (*quality_base(text), len([x for x in (text or "").split("\n") if words(x)]))
         failed = q[0] < 10 or 100 * q[4] > 20 * q[0]
-        values = {k: (1000 * q[num] // max(q[den], 1), max(q[den], 1)) for k, (num, den, *_) in names.items()}
-        data.append((i, lang or "", source or "", failed, values))
+        values = {k: (1000 * q[num] // max(q[den], 1), q[num], q[den]) for k, (num, den, _) in names.items()}
+        data.append((i, lang or "", source or "", failed, values, q[0].bit_length() or 1))
 
-    def quartiles(k, keep):
+    def quantiles(k, keep):
         v = sorted(bucket(x[4][k][0]) for x in data if not x[3] and keep(x))
-        return (len(v), [next(b for j, b in enumerate(v) if (j + 1) * 4 >= len(v) * n) for n in (1, 2, 3)]) if v else (0, None)
+        return (len(v), {n: next(b for j, b in enumerate(v) if (j + 1) * 20 >= len(v) * n) for n in (5, 10, 15, 18)}) if v else (0, None)
 
     cache, kept = {}, set()
-    for i, lang, source, failed, values in data:
+    for i, lang, source, failed, values, size in data:
         odd = False
-        for k, (_, _, floor, slack) in names.items():
-            key = (k, lang, source)
+        for k, (_, _, event) in names.items():
+            key = (k, lang, source, size)
             if key not in cache:
-                tries = [lambda x: x[1:3] == (lang, source), lambda x: x[1] == lang, lambda x: True]
-                found = [quartiles(k, t) for t in tries]
-                cache[key] = next((q for n, q in found[:2] if n >= min_group), found[2][1])
+                tries = [lambda x: (x[1], x[2], x[5]) == key[1:], lambda x: (x[1], x[5]) == (lang, size), lambda x: x[1] == lang, lambda x: True]
+                found = [quantiles(k, t) for t in tries]
+                cache[key] = next((q for n, q in found[:3] if n >= min_group), found[3][1])
             q = cache[key]
             if q is None:
                 continue
-            v, n = values[k]
-            sides = [v - (q[2] + fence * max(q[2] - q[1], floor))] + ([q[0] - fence * max(q[1] - q[0], floor) - v] if k == "len" else [])
-            odd = odd or any(s > 0 and s * s * n > slack * slack for s in sides)
+            v, num, den = values[k]
+            if event is None:
+                odd = odd or v > q[15] + fence * (q[15] - q[10]) or v < q[5] - fence * (q[10] - q[5])
+            else:
+                over = 1000 * num - (q[18] + fence * (q[18] - q[10])) * den
+                odd = odd or (over > 0 and over * over > z * z * 10**6 * event * num)
         if not failed and not odd:
             kept.add(i)
     return kept

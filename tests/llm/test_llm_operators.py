@@ -208,6 +208,17 @@ def test_quality(docs, odd):
     assert quality_rules(empty(docs)).count() == 0
 
 
+def test_quality_verdicts(spark):
+    """Verdicts of a plain version on a whole table; no constant decides by itself."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in table.select("doc_id", "text", "lang", "source").collect()]
+    got = {r.doc_id for r in quality_rules(table).where("kept").collect()}
+    assert got == brute.quality_kept(rows) and 0.6 < len(got) / len(rows) < 0.95
+    for other in ({"fence": 3}, {"z": 1.5}):
+        changed = got ^ {r.doc_id for r in quality_rules(table, **other).where("kept").collect()}
+        assert len(changed) < 0.05 * len(rows)
+
+
 def test_quality_thresholds_adapt(spark):
     """The same ratio passes in a source where it is usual and fails where it is not."""
     rng = random.Random(3)
