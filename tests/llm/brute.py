@@ -269,7 +269,7 @@ def url_templates(rows, z=2.58, share=0.05, borrow=40, prior=8):
     return out
 
 
-def mixed(rows, rounds=8, alpha=0.7, budget=0.8, seed=7):
+def mixed(rows, rounds=8, alpha=0.9, budget=0.8, slack=0.9, seed=7):
     """rows: (doc_id, text, lang, source) -> sampled ids."""
     cells, place = {}, {}
     for i, text, lang, source in rows:
@@ -286,22 +286,24 @@ def mixed(rows, rounds=8, alpha=0.7, budget=0.8, seed=7):
             share[key[d]] = share.get(key[d], 0) + n
         flat = {v: (n / total) ** alpha for v, n in share.items()}
         target.append({v: f / sum(flat.values()) * total for v, f in flat.items()})
+        budget = min(budget, slack * min(share[v] / t for v, t in target[d].items() if t))
     w = {key: float(n) for key, n in cells.items()}
+    most = {key: n / budget for key, n in cells.items()}
     for _ in range(rounds):
         for d in range(3):
-            have = {}
+            have, full = {}, {}
             for key, x in w.items():
                 have[key[d]] = have.get(key[d], 0) + x
-            w = {key: x * target[d][key[d]] / have[key[d]] for key, x in w.items()}
-    order = sorted((k for k in cells if cells[k]), key=lambda k: (-w[k] / cells[k], k))
-    n0, w0, scale = 0, 0.0, None
-    for key in order:
-        s = (budget * total - n0) / (sum(w.values()) - w0)
-        if s * w[key] / cells[key] <= 1:
-            scale = s
-            break
-        n0, w0 = n0 + cells[key], w0 + w[key]
-    p = {k: min(1.0, scale * w[k] / n) if n and scale is not None else 1.0 for k, n in cells.items()}
+                full[key[d]] = full.get(key[d], 0) + (x if x >= most[key] * (1 - 1e-12) else 0)
+            for key, x in w.items():
+                v = key[d]
+                if not have[v]:
+                    continue
+                if target[d][v] <= have[v]:
+                    w[key] = x * target[d][v] / have[v]
+                elif x < most[key] * (1 - 1e-12):
+                    w[key] = min(most[key], x * (target[d][v] - full[v]) / (have[v] - full[v]))
+    p = {k: w[k] / most[k] if n else 1.0 for k, n in cells.items()}
     draw = {i: int(hashlib.md5(f"{i}:{seed}".encode()).hexdigest()[:13], 16) / 2**52 for i in place}
     return {i for i in place if draw[i] < p[place[i]]}
 

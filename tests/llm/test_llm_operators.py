@@ -13,7 +13,7 @@ from spanforge.llm.decontam import decontaminate
 from spanforge.llm.html import extract_text, main_text
 from spanforge.llm.lines import line_dedup
 from spanforge.llm.minhash import near_duplicates
-from spanforge.llm.mixing import mix_sources
+from spanforge.llm.mixing import marginals, mix_sources
 from spanforge.llm.quality import quality_rules
 from spanforge.llm.sharding import shard
 from spanforge.llm.substring import substring_dedup
@@ -238,10 +238,23 @@ def test_mixing(spark, docs, odd):
         out = mix_sources(df).collect()
         assert len(out) == df.count() and all(0 <= r.probability <= 1 for r in out)
     assert mix_sources(empty(docs)).count() == 0
-    targets = spark.createDataFrame([("lang", "en", 0.5), ("lang", "fr", 0.5)] + [("source", f"src{k}", 1.0) for k in range(20)] + [("topic", "x", 1.0)], "dimension string, value string, share double")
-    out = mix_sources(docs.withColumn("topic", F.lit("x")), targets, topic="topic", rounds=60, budget=0.05)
-    r = {x.lang: x.w for x in out.groupBy("lang").agg(F.sum(F.col("n_words") * F.col("probability")).alias("w")).collect()}
-    assert r["de"] == r["es"] == 0 and r["en"] == pytest.approx(r["fr"], rel=0.35)
+    assert {r.doc_id for r in mix_sources(docs).where("sampled").collect()} == brute.mixed([tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()])
+
+
+def test_mixing_meets_its_marginals(spark):
+    """Expected shares of the sample are the targets within 1 %, also where cells are taken whole."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert max(abs(r.residual) for r in marginals(mix_sources(table)).collect()) < 0.01
+    for budget in (0.05, 0.8):
+        given = [("lang", "en", 0.4), ("lang", "fr", 0.3), ("lang", "xx", 0.2)] + [("source", f"src{k}", 1.0) for k in range(20)] + [("topic", "x", 1.0), ("topic", "y", 1.0)]
+        targets = spark.createDataFrame(given, "dimension string, value string, share double")
+        topics = table.withColumn("topic", F.when(F.col("doc_id") % 3 == 0, "x").otherwise("y"))
+        out = mix_sources(topics, targets, topic="topic", budget=budget, rounds=20)
+        assert out.where("lang in ('de', 'es') and n_words > 0 and sampled").count() == 0
+        report = {(r.dimension, r.value): r for r in marginals(out, targets).collect()}
+        assert report["lang", "fr"].target == pytest.approx(3 / 7) and report["lang", "de"].expected == 0
+        assert max(abs(r.residual) for r in report.values() if r.target) < 0.01
+        assert any(r.probability > 0.9 for r in out.collect()) == (budget > 0.1)
 
 
 def test_decontamination(spark, docs, odd):
