@@ -21,28 +21,36 @@ from spanforge.llm.sharding import shard
 
 def _only(docs: DataFrame, verdict: DataFrame, condition: str) -> DataFrame:
     """The rows of docs whose id has a verdict row that meets the condition."""
-    ids = verdict.where(condition).select(F.col("doc_id").alias("_chosen_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_chosen_id")), "left_semi")
+    ids = verdict.where(condition).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    return docs.alias("docs").join(ids.alias("ids"), F.col("docs.doc_id").eqNullSafe(F.col("ids.doc_id")), "left_semi").select("docs.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the adaptive thresholds; null and empty texts go,
+    null languages and sources form groups of their own, repeated rows stay or go together."""
     return _only(docs, quality_rules(docs), "kept")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least id."""
+    """One document of each group stays, the one with the least id; documents without an id or without words
+    belong to no group and stay, as do repeated rows of one that stays."""
     return _only(docs, near_duplicates(docs), "kept")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark; null and empty texts and an empty benchmark
+    contaminate nothing, an id with several texts goes if one of them is contaminated."""
     return _only(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), "not contaminated")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose words have the target shares; repeated rows are taken or left together,
+    documents of cells without words stay. A column named topic plays no part here."""
     return _only(docs, mix_sources(docs), "sampled")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, shard, depth) of every row, repeated ones and those without an id or text too."""
     return shard(docs)
 
 
