@@ -16,6 +16,7 @@ from spanforge.operators import memory as mm
 from spanforge.operators import metrics as mt
 from spanforge.operators import roofline as rl
 from spanforge.operators import serving as sv
+from spanforge.plans import steps
 
 
 def run_environment(spans: DataFrame) -> DataFrame:
@@ -34,6 +35,37 @@ def overview(spans: DataFrame, metrics: DataFrame, off_duty: Column) -> DataFram
     return run_environment(spans).join(duty).join(totals)
 
 
+def overview_top_ops(ops: DataFrame, k: int = 10) -> DataFrame:
+    """The k framework ops with the most self time, their share and the running share of all."""
+    return mt.rank_cumulative(ops, "self_time", "op_name").where(F.col("rank") <= k).select("rank", "op_name", "op_type", "occurrences", "self_time", "fraction", "cumulative")
+
+
+def overview_recommendation(verdict: DataFrame) -> DataFrame:
+    """What to look at, by what bounds the program (R7's verdict): (bottleneck, statement, tools)."""
+    bound = F.col("input_bound")
+    tools = F.when(bound.isin("highly", "moderately"), F.array(F.lit("input_pipeline"), F.lit("trace_viewer")))
+    tools = tools.when(F.col("output_bound") != "not", F.array(F.lit("trace_viewer"), F.lit("memory_profile"))).otherwise(F.array(F.lit("op_profile"), F.lit("roofline_model")))
+    statement = F.when(F.col("output_bound").isin("highly", "moderately") & ~bound.isin("highly"), F.col("output_text")).otherwise(F.col("input_text"))
+    return verdict.select(F.when(bound.isin("highly", "moderately"), "input").when(F.col("output_bound") != "not", "output").otherwise("device").alias("bottleneck"), statement.alias("statement"), tools.alias("tools"))
+
+
+def overview_diagnostics(spans: DataFrame, steps: DataFrame) -> DataFrame:
+    """(level, text) warnings about the trace itself: no steps, steps that are not on every
+    device, devices without events in any step, spans of negative length."""
+    devices = steps.agg(F.count_distinct("plane_id").alias("devices"), F.count_distinct("step").alias("steps"))
+    whole = iv.intersect_steps(steps, "plane_id", "step").agg(F.count("*").alias("common"))
+    planes = spans.agg(F.count_distinct("plane_id").alias("planes"), F.count_if(F.col("dur") < 0).alias("negative"))
+    one = devices.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(planes))
+    found = F.array(
+        F.when(F.col("steps") == 0, F.lit("No step markers were found; step reports are empty.")),
+        F.when((F.col("steps") > 0) & (F.col("common") == 0), F.lit("No step is common to all devices.")),
+        F.when((F.col("common") > 0) & (F.col("common") < F.col("steps")), F.format_string("%d of %d steps are not on every device.", F.col("steps") - F.col("common"), F.col("steps"))),
+        F.when(F.col("planes") > F.col("devices"), F.format_string("%d devices have events but no steps.", F.col("planes") - F.col("devices"))),
+        F.when(F.col("negative") > 0, F.format_string("%d events end before they begin.", F.col("negative"))),
+    )
+    return one.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("text")).select(F.lit("warning").alias("level"), "text")
+
+
 def kpi_metrics(spans: DataFrame, metrics: DataFrame, alloc_events: DataFrame, off_duty: Column) -> DataFrame:
     """R2: the headline figures: duty, op time and the peak share of memory."""
     peak = mm.memory_summary(alloc_events).agg((100 * c.safe_divide(F.sum("peak"), F.sum("capacity"))).alias("memory_percent"))
@@ -154,6 +186,46 @@ def memory_profile(alloc_events: DataFrame, samples: int = 1000) -> DataFrame:
     return mm.sample_buckets(pair_allocations(mm.step_carry(alloc_events)), samples)
 
 
+def memory_capacity(alloc_events: DataFrame) -> DataFrame:
+    """Capacity of the largest allocator, and peak, stack, heap, free and fragmentation of
+    the one that peaks highest (the first of several), in one row; fragmentation is -1 where events carry none."""
+    own = F.col("fragmentation") if "fragmentation" in alloc_events.columns else F.lit(-1.0)
+    used = F.col("heap") + F.col("stack")
+    top = F.max_by(F.struct("heap", "stack", "free", own.alias("fragmentation")), F.struct(used, "ts", "seq"))
+    per = alloc_events.groupBy("allocator").agg(top.alias("t"))
+    per = per.select("allocator", "t.*", (F.col("t.heap") + F.col("t.stack")).alias("peak"), (F.col("t.heap") + F.col("t.stack") + F.col("t.free")).alias("capacity"))
+    best = per.agg(F.max("capacity").alias("capacity"), F.max_by(F.struct("allocator", "peak", "stack", "heap", "free", "fragmentation"), F.struct("peak", -F.col("allocator"))).alias("t"))
+    return best.select("capacity", "t.*", (100 * c.safe_divide(F.col("t.peak"), F.col("capacity"))).alias("utilization_percent"))
+
+
+def memory_modules(alloc_events: DataFrame, modules: DataFrame) -> DataFrame:
+    """Per module span(allocator, seq, name, begin, dur) the events, bytes allocated and freed
+    and the highest use while it runs."""
+    points = alloc_events.select("allocator", "kind", "bytes", (F.col("heap") + F.col("stack")).alias("used"), F.col("ts").alias("begin"), F.lit(0).cast("bigint").alias("dur"))
+    extent = modules.agg(F.max("dur").alias("most")).first()["most"]
+    pairs = iv.overlap_join(modules.select("allocator", "seq", "name", "begin", "dur"), points, ["allocator"], max(1, extent or 1))
+    out = pairs.groupBy("allocator", "seq", "name").agg(
+        F.count("*").alias("events"), F.sum(F.when(F.col("r_kind") == "alloc", F.col("r_bytes")).otherwise(0)).alias("allocated"),
+        F.sum(F.when(F.col("r_kind") == "free", F.col("r_bytes")).otherwise(0)).alias("freed"), F.max("r_used").alias("peak"),
+    )
+    return out
+
+
+def memory_blocks(buffer_events: DataFrame) -> DataFrame:
+    """(program_id, buffer_id, size, begin_seq, end_seq, indefinite): every allocation up to the
+    next free of its buffer; one that is never freed is indefinite."""
+    w = W.partitionBy("program_id", "buffer_id").orderBy("seq").rowsBetween(1, W.unboundedFollowing)
+    freed = F.min(F.when(F.col("kind") == "free", F.col("seq"))).over(w)
+    out = buffer_events.withColumn("end_seq", freed).where("kind = 'alloc'")
+    return out.select("program_id", "buffer_id", "size", F.col("seq").alias("begin_seq"), "end_seq", F.col("end_seq").isNull().alias("indefinite"))
+
+
+def memory_indefinite(buffer_events: DataFrame) -> DataFrame:
+    """Per program the number and bytes of allocations that are never freed, and the largest."""
+    lasting = memory_blocks(buffer_events).where("indefinite")
+    return lasting.groupBy("program_id").agg(F.count("*").alias("blocks"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
+
+
 def memory_view(buffer_events: DataFrame) -> DataFrame:
     """Heap level of each event in MiB, with the peak of its program."""
     line = mm.buffer_timeline(buffer_events)
@@ -247,7 +319,11 @@ def suggestions(facts: DataFrame) -> DataFrame:
 def reports() -> dict[str, Callable[..., DataFrame]]:
     """Every report by name."""
     found = (
-        overview, kpi_metrics, device_information, hlo_stats, framework_op_stats, roofline_model, input_pipeline, step_trace, host_boundness, memory_profile,
+        overview, overview_top_ops, overview_recommendation, overview_diagnostics, memory_capacity, memory_modules, memory_blocks, memory_indefinite, kpi_metrics, device_information, hlo_stats, framework_op_stats, roofline_model, input_pipeline, step_trace, host_boundness, memory_profile,
         memory_view, megascale_stats, megascale_timeline, inference_profile, utilization_viewer, kernel_utilization, module_info, find_instruction, event_details, suggestions,
     )
-    return {f.__name__: f for f in found}
+    per_step = (
+        steps.pod_view, steps.input_pipeline_steps, steps.input_pipeline_summary, steps.input_pipeline_verdict, steps.host_breakdown, steps.bottleneck_assessment,
+        steps.step_trace_view, steps.step_trace_summary, steps.boundness, steps.roofline_steps, steps.facts,
+    )
+    return {f.__name__: f for f in (*found, *per_step)}
