@@ -1 +1,10 @@
-"""Trace analytics on Spark: spans, steps, op metrics and reports as DataFrame functions."""
+"""Trace analytics on Spark: spans, steps, op metrics and reports as DataFrame functions.
+
+Functions that run inside Spark tasks are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

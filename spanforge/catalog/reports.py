@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from spanforge.operators import intervals as iv
 from spanforge.operators import metrics as mt
 from spanforge.operators import roofline as rl
 from spanforge.plans import reports as rp
+from spanforge.plans.work import shared_folder
 from spanforge.sources import sinks as sk
 from spanforge.sources import traces as tr
 from spanforge.streaming import ingest as st
@@ -235,20 +235,12 @@ def list_modules(t):
 @query("s4_load_trace", "SELECT seq, name, begin, dur FROM spans")
 def load_trace(t):
     """Spans written as a converted table and read with its schema."""
-    path = f"{shared(t)}/trace-{uuid.uuid4().hex}"
+    path = f"{shared_folder(t.spark)}/trace-{uuid.uuid4().hex}"
     s = t.spans.withColumn("meta_id", F.lit(0).cast("bigint")).withColumn("error", F.lit(None).cast("string"))
     s.select(*(x.split()[0] for x in tr.SPANS.split(", "))).write.parquet(path)
     return tr.load_trace(t.spark, path).select("seq", "name", "begin", "dur")
 
 
-def shared(t) -> str:
-    path = t.spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        t.spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 @query("s8_chrome_events", """SELECT CAST(name AS VARCHAR) AS name, CAST(tid AS BIGINT) AS tid, count(*) AS n FROM (SELECT name, line_id AS tid FROM spans) GROUP BY ALL""")
 def chrome(t):
     rows = sk.chrome_events(t.spans).select(F.from_json("value", "ph string, tid bigint, name string").alias("e")).where("e.ph = 'X'")
@@ -466,7 +458,7 @@ def stream_event_totals(t):
     folder, name = source.rsplit("/", 1)
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     spans = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"), F.expr("CAST(round(value * 100) AS BIGINT)").alias("dur"))
-    out = f"{shared(t)}/totals-{uuid.uuid4().hex}"
+    out = f"{shared_folder(t.spark)}/totals-{uuid.uuid4().hex}"
 
     def write(batch, number):
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")

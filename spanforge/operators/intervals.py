@@ -78,22 +78,38 @@ def duty_cycle(spans: DataFrame, by: Sequence[str], off_duty: Column) -> DataFra
     return out.select(*by, "busy", (F.col("_hi") - F.col("_lo") - F.col("busy")).alias("idle"))
 
 
-def _bins(df: DataFrame, lo: Column, hi: Column, width: int) -> DataFrame:
-    first, last = F.floor(lo / width), F.floor(hi / width)
-    return df.withColumn("_bin", F.explode(F.sequence(first, last)))
+#: A span over more than LONG bins counts as long: it goes into bins LONG times as wide.
+LONG = 64
+
+
+def _bins(df: DataFrame, lo: Column, hi: Column, width: int, wide: tuple[str, str]) -> DataFrame:
+    """df once per kind and bin: short spans in the narrow bins, for pairs of short spans, and in
+    the wide bins of kind wide[0], to meet long ones; long spans in the wide bins of both kinds."""
+    long = hi - lo > LONG * width
+
+    def bins(kind, w):
+        at = lambda x: F.floor(x / w)
+        return F.transform(F.sequence(at(lo), at(hi)), lambda b: F.struct(F.lit(kind).alias("kind"), b.alias("bin")))
+
+    mine = F.when(long, F.concat(bins(wide[0], LONG * width), bins(wide[1], LONG * width))).otherwise(F.concat(bins("short", width), bins(wide[0], LONG * width)))
+    return df.withColumn("_long", long).withColumn("_b", F.explode(mine))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, by: Sequence[str], width: int) -> DataFrame:
     """Pairs of left spans and right spans (begin, dur) of the same track with inclusively
-    overlapping time: an equi join on time bins of the given width; each pair once.
-    Right columns get the prefix r_."""
+    overlapping time: an equi join on time bins of the given width, or LONG times that
+    where one of the two is long; each pair once. Right columns get the prefix r_."""
     r = right.select(*by, *(F.col(c).alias(f"r_{c}") for c in right.columns if c not in by))
-    a = _bins(left, F.col("begin"), _end(), width)
-    b = _bins(r, F.col("r_begin"), F.col("r_begin") + F.col("r_dur"), width)
+    a = _bins(left, F.col("begin"), _end(), width, ("right", "left")).withColumnsRenamed({"_b": "_bin", "_long": "_left"})
+    b = _bins(r, F.col("r_begin"), F.col("r_begin") + F.col("r_dur"), width, ("left", "right")).withColumnsRenamed({"_b": "_bin", "_long": "_right"})
+    # kind right: a long span of the right with a short one of the left; kind left: a long one of the left with any
+    a = a.where((F.col("_bin.kind") != "left") | F.col("_left")).where((F.col("_bin.kind") != "right") | ~F.col("_left"))
+    b = b.where((F.col("_bin.kind") != "right") | F.col("_right"))
     both = a.join(b, [*by, "_bin"])
     hit = (F.col("begin") <= F.col("r_begin") + F.col("r_dur")) & (F.col("r_begin") <= _end())
-    first_bin = F.floor(F.greatest("begin", "r_begin") / width)
-    return both.where(hit & (F.col("_bin") == first_bin)).drop("_bin")
+    size = F.when(F.col("_bin.kind") == "short", width).otherwise(LONG * width)
+    first_bin = F.floor(F.greatest("begin", "r_begin") / size)
+    return both.where(hit & (F.col("_bin.bin") == first_bin)).drop("_bin", "_left", "_right")
 
 
 def contained_in(spans: DataFrame, steps: DataFrame, by: Sequence[str], width: int) -> DataFrame:
@@ -222,11 +238,11 @@ def align_hosts(steps: DataFrame) -> DataFrame:
     the offsets 0, 1, ..., then -1, -2, ..."""
     extent = steps.groupBy("host").agg((F.max(_end()) - F.min("begin")).alias("extent"))
     chief = extent.orderBy("extent", "host").limit(1).select(F.col("host").alias("chief"))
-    c = steps.join(F.broadcast(chief), F.col("host") == F.col("chief"), "left_semi").select(F.col("idx").alias("ci"), F.col("begin").alias("cb"), _end().alias("ce"))
-    s = steps.withColumn("e", _end())
-    pairs = s.join(F.broadcast(c), (F.col("begin") < F.col("ce")) & (F.col("cb") < F.col("e")))
-    overlap = F.least("e", "ce") - F.greatest("begin", "cb")
-    sums = pairs.groupBy("host", (F.col("ci") - F.col("idx")).alias("offset")).agg(F.sum(overlap).alias("overlap"))
+    c = steps.join(F.broadcast(chief), F.col("host") == F.col("chief"), "left_semi").select("idx", "begin", "dur")
+    width = steps.agg(F.max("dur")).first()[0] or 1  # each step lies in two bins at most
+    pairs = overlap_join(steps, c, [], max(1, width))
+    overlap = F.least(_end(), F.col("r_begin") + F.col("r_dur")) - F.greatest("begin", "r_begin")
+    sums = pairs.withColumn("overlap", overlap).where("overlap > 0").groupBy("host", (F.col("r_idx") - F.col("idx")).alias("offset")).agg(F.sum("overlap").alias("overlap"))
     rank = F.row_number().over(W.partitionBy("host").orderBy(F.col("overlap").desc(), F.col("offset") < 0, F.abs("offset")))
     return sums.withColumn("_r", rank).where("_r = 1").drop("_r")
 

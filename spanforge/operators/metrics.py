@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanforge.operators.ranks import ranked
 from spanforge.functions import columns as c
 from spanforge.operators.filters import drop_containers
 
@@ -184,7 +185,7 @@ def infeed_ratio(spans: DataFrame, by: Sequence[str]) -> DataFrame:
 def assign_ids(df: DataFrame, key: str, order: str) -> DataFrame:
     """Dense ids of the distinct keys in the order of their first appearance."""
     first = df.groupBy(key).agg(F.min(order).alias("_o"))
-    return first.select(key, (F.row_number().over(W.orderBy("_o", key)) - 1).alias("id"))
+    return ranked(first, ["_o", key], rank="id").select(key, "id")
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

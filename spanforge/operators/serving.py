@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanforge.functions.columns import safe_divide
+from spanforge.operators.ranks import ranked
 
 PERCENTS = (50.0, 75.0, 90.0, 95.0, 99.0, 99.9)
 
@@ -33,21 +34,19 @@ def serving_stats(requests: DataFrame, batches: DataFrame) -> DataFrame:
 
 def pattern_percentiles(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], percents: Sequence[float] = PERCENTS) -> DataFrame:
     """Exact percentiles by index floor(p * n) of the sorted values: (by, count, p50, ...)."""
-    w = W.partitionBy(*by)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(value, *order)) - 1).withColumn("_n", F.count("*").over(w))
+    rows = ranked(df, [value, *order], by, "_i", "_n")
     pick = [F.max(F.when(F.col("_i") == F.least(F.floor(F.lit(p) * F.col("_n") / 100), F.col("_n") - 1), F.col(value))).alias(f"p{p:g}".replace(".", "_")) for p in percents]
-    return ranked.groupBy(*by).agg(F.count("*").alias("count"), *pick)
+    return rows.groupBy(*by).agg(F.count("*").alias("count"), *pick)
 
 
 def sample_percentiles(df: DataFrame, value: str, order: Sequence[str], percents: Sequence[float] = (50, 75, 90, 99, 99.9, 99.99), near: int = 10, small: int = 60) -> DataFrame:
     """All rows up to ``small``; else the rows around each percentile, at most ``near``."""
-    w = W.partitionBy()
-    ranked = df.withColumn("_i", F.row_number().over(W.orderBy(value, *order)) - 1).withColumn("_n", F.count("*").over(w))
+    rows = ranked(df, [value, *order], (), "_i", "_n")
     keep = F.col("_n") <= small
     for p in percents:
         at = F.floor(F.lit(float(p)) * F.col("_n") / 100)
         keep = keep | ((F.col("_i") >= at - near // 2) & (F.col("_i") < at + near // 2))
-    return ranked.where(keep).drop("_i", "_n")
+    return rows.where(keep).drop("_i", "_n")
 
 
 def latency_breakdown(requests: DataFrame, parts: Sequence[str], order: Sequence[str]) -> DataFrame:

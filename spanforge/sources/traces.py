@@ -17,7 +17,7 @@ SPANS = (
     "session string, host string, plane_id bigint, plane string, line_id bigint, line string, seq bigint, meta_id bigint, name string, "
     "begin bigint, dur bigint, error string"
 )
-MAX_BYTES = 4 << 30
+MAX_BYTES = 2_000_000_000  # the binary source refuses contents of 2 GiB
 _PATH = r"plugins/profile/(.+)/([^/]+)\.xplane\.pb$"
 
 
@@ -104,17 +104,15 @@ def decode_space(content: bytes) -> Iterator[tuple]:
 
 
 def ingest_spaces(spark: SparkSession, root: str, limit: int = MAX_BYTES) -> DataFrame:
-    """S3: the spans of all trace files below root. A file that cannot be decoded, or is larger
-    than limit, gives one row with the reason in error."""
+    """S3: the spans of all trace files below root. A file that cannot be decoded to its end, or is
+    larger than limit (which its content is not read for), gives one row with the reason in error and no spans."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xplane.pb").load(root)
     return decode_files(files, limit)
 
 
 def decode_files(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
-    rows = files.select(
-        F.regexp_extract("path", _PATH, 1).alias("session"), F.regexp_extract("path", _PATH, 2).alias("host"),
-        F.when(F.col("length") <= limit, F.col("content")).alias("content"),
-    )
+    origin = [F.regexp_extract("path", _PATH, k).alias(n) for k, n in ((1, "session"), (2, "host"))]
+    rows = files.where(F.col("length") <= limit).select(*origin, "content")
     names = [x.split()[0] for x in SPANS.split(", ")]
     schema = pa.schema([(n, pa.string() if n in ("session", "host", "plane", "line", "name", "error") else pa.int64()) for n in names])
 
@@ -127,8 +125,8 @@ def decode_files(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
                     return pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=schema)
 
                 try:
-                    if row["content"] is None:
-                        raise ValueError("file is too large")
+                    for _ in decode_space(row["content"]):
+                        pass  # to the end first, so that a broken file leaves no spans
                     for event in decode_space(row["content"]):
                         out.append((row["session"], row["host"], *event, None))
                         if len(out) == 20_000:
@@ -139,7 +137,8 @@ def decode_files(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
                 if out:
                     yield flush()
 
-    return rows.mapInArrow(run, SPANS)
+    large = files.where(F.col("length") > limit).select(*origin, F.lit("file is too large").alias("error"))
+    return rows.mapInArrow(run, SPANS).unionByName(large, allowMissingColumns=True)
 
 
 def convert(spark: SparkSession, root: str, out: str) -> None:

@@ -15,6 +15,7 @@ from spanforge.operators import grouping as gr
 from spanforge.operators import intervals as iv
 from spanforge.operators import memory as mm
 from spanforge.operators import metrics as mt
+from spanforge.operators import ranks
 from spanforge.operators import serving as sv
 from spanforge.operators import timeline as tl
 from spanforge.sources import sinks, traces
@@ -236,6 +237,16 @@ def test_ingest(spark, tmp_path):
     good = sorted((r.session, r.host, r.plane, r.line, r.name, r.begin, r.dur) for r in got if r.error is None)
     assert good == [("s1", h, "/device:TPU:0", "XLA Ops", n, b, d) for h in "ab" for n, b, d in (("add", 10, 5), ("mul", 20, 6))]
     assert {(r.session, r.host) for r in got if r.error} == {("s2", "a"), ("s2", "b")}
+    folder = tmp_path / "y" / "plugins" / "profile" / "s3"
+    folder.mkdir(parents=True)
+    (folder / "a.xplane.pb").write_bytes(space() + b"\x0a\xff")  # breaks after two good events
+    (folder / "b.xplane.pb").write_bytes(space())
+    broken = traces.ingest_spaces(spark, str(tmp_path / "y")).collect()
+    assert sorted((r.host, r.error is None) for r in broken) == [("a", False), ("b", True), ("b", True)]
+    small = traces.ingest_spaces(spark, str(tmp_path / "y"), limit=len(space())).collect()
+    assert sorted((r.host, r.error) for r in small) == [("a", "file is too large"), ("b", None), ("b", None)]
+    (folder / "a.xplane.pb").unlink()
+    (folder / "b.xplane.pb").unlink()
     traces.convert(spark, str(tmp_path), str(tmp_path / "table"))
     table = traces.load_trace(spark, str(tmp_path / "table"), traces.SPANS + ", rejected boolean")
     assert table.where("not rejected").count() == 4 and table.where("rejected").count() == 2
@@ -256,3 +267,28 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "t")).count() == 2
     sinks.to_delta_series(s, ["plane_id"], str(tmp_path / "d"))
     assert spark.read.parquet(str(tmp_path / "d")).first()["delta"] == 5
+
+
+def test_overlap_of_long_and_short_spans(spark):
+    """Pairs of long and short spans are found once each, without a bin per tick of the long ones."""
+    rng = random.Random(9)
+    make = lambda n, k: [(rng.randrange(2), k + i, rng.randrange(5000), rng.choice([0, 3, 40, 900, 4000])) for i in range(n)]
+    schema = "plane_id int, seq int, begin bigint, dur bigint"
+    a, b = make(120, 0), make(120, 1000)
+    got = sorted((r.seq, r.r_seq) for r in iv.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["plane_id"], 10).collect())
+    assert got == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] <= y[2] + y[3] and y[2] <= x[2] + x[3])
+    day = spark.createDataFrame([(0, 1, 0, 10**13)], schema)  # ten million bins of the narrow width
+    assert iv.overlap_join(day, spark.createDataFrame([(0, 2, 5, 1)], schema), ["plane_id"], 10**9).count() == 1
+
+
+def test_ranks_over_partitions(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("aaab"), rng.randrange(50), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v int, i int").repartition(7)
+    want = {}
+    for k in "ab":
+        for n, (_, _, i) in enumerate(sorted(r for r in rows if r[0] == k)):
+            want[i] = n
+    assert {r.i: r["rank"] for r in ranks.ranked(df, ["v", "i"], ["k"]).collect()} == want
+    assert [r.i for r in ranks.ranked(df, ["i"]).orderBy("rank").collect()] == list(range(2000))
+    assert ranks.ranked(df.where("false"), ["i"]).count() == 0
