@@ -9,9 +9,13 @@ dropped. What is left is confirmed on the full shingle sets.
 
 No group is expanded into all its pairs. Exact copies of a set are first folded onto their
 least id. Then every bucket proposes only (member, least member); after the connected
-components of those links are known, only buckets that still hold two or more components are
-looked at again, and there only the members outside the bucket's largest component meet the
-rest. A pair inside one component can add nothing, so no link that matters is lost: a true
+components of those links are known, only members of buckets that still hold two or more components
+are looked at again. These buckets are split by prefixes: with the shingles of each set in order of how
+often they occur, two sets above the threshold share one of their rarest; how many of the rarest it takes
+follows from the sizes, which are taken in classes of 3 %. Documents that are alike but below the threshold, such as
+pages of one template, differ in their rarest shingles and do not meet. Of the documents that do, only those
+outside the largest component of a key meet the rest, each pair is scored once by signatures of ``long_slots``
+minima, and a pair inside one component can add nothing. So no link that matters is lost: a true
 pair at the threshold is missed by all bands with probability (1 - t^rows)^bands, 8e-6 for
 the defaults, and less above it.
 
@@ -130,6 +134,68 @@ def long_signatures(sets: DataFrame, bits: int, slots: int) -> DataFrame:
     return sets.mapInArrow(run, "id bigint, long_sig array<bigint>")
 
 
+def shingle_counts(sets: DataFrame, width: int = 18):
+    """Broadcast counts of the shingles of sets(shingles) in 2^width cells by hash: whatever the
+    number of sets, a table of this size."""
+
+    def run(batches):
+        total = np.zeros(1 << width, np.int64)
+        for batch in batches:
+            cells = (np.asarray(batch.column("shingles").flatten()).view(np.uint64) >> np.uint64(64 - width)).astype(np.int64)
+            total += np.bincount(cells, minlength=1 << width)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
+
+    rows = sets.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << width, np.int64)
+    counts[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return sets.sparkSession.sparkContext.broadcast(counts)
+
+
+def size_class(n: int) -> int:
+    return int(np.log(n) / np.log(CLASS) + 1e-9)
+
+
+#: Ratio of the sizes of neighbouring classes.
+CLASS = 1.03
+
+
+def prefix_lengths(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(lower class, upper class, prefix) of a set of n shingles: how many of its rarest shingles
+    must hold one that a set of the other class shares, if the two reach percent."""
+    mine, out = size_class(n), []
+    reach = int(np.log(100 / percent) / np.log(CLASS)) + 2
+    for other in range(max(0, mine - reach), mine + reach + 1):
+        least = sum(max(1, int(CLASS**k * (1 - 1e-9))) for k in (mine, other))
+        need = -(-percent * least // (100 + percent))  # shared shingles, at least
+        if need <= n:
+            out.append((min(mine, other), max(mine, other), n - need + 1))
+    return out
+
+
+def prefix_keys(sets: DataFrame, counts, percent: int) -> DataFrame:
+    """(key, id, component): the prefixes of sets(id, component, shingles) for each pair of size classes."""
+
+    def run(batches):
+        known = counts.value
+        shift = np.uint64(64 - (len(known).bit_length() - 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys, n = [], []
+                for found in part.column("shingles"):
+                    x = np.asarray(found.values).view(np.uint64)
+                    x = x[np.lexsort((x, known[(x >> shift).astype(np.int64)]))]
+                    own = [mix(x[:m] ^ mix(np.array([low << 20 | high], np.uint64))) for low, high, m in prefix_lengths(len(x), percent)]
+                    own = np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
+                    keys.append(own)
+                    n.append(len(own))
+                of = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), part.column("id").take(of), part.column("component").take(of)], names=["key", "id", "component"])
+
+    return sets.mapInArrow(run, "key bigint, id bigint, component bigint")
+
+
 def estimate(sig_a: Column, sig_b: Column, bits: int, slots: int) -> Column:
     """Collision-corrected similarity of two packed signatures, from bit counts."""
     lanes = 64 // bits
@@ -176,12 +242,12 @@ def near_duplicates(
     reps = member.select(F.col("rep").alias("doc_id")).distinct()
     rep_rows = known.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    exploded = rep_rows.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    exploded = rep_rows.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = exploded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     buckets = materialize(exploded.join(shared.select("key", "least"), "key"))
     ids = buckets.select("id").distinct()
     facts = rep_rows.join(ids, rep_rows.doc_id == ids.id, "left_semi")
-    facts = materialize(facts.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"))
+    facts = materialize(facts.select(F.col("doc_id").alias("id"), "n_shingles", "sig"))
     sets = materialize(shingle_arrays(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), width))
 
     def side(name):
@@ -205,22 +271,32 @@ def near_duplicates(
     label = connected_components(links)
 
     # buckets that still hold several components: members outside the largest one meet the rest
-    at = buckets.select("key", "band", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    at = buckets.select("key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     per = at.groupBy("key", "component").agg(F.count("*").alias("n"))
-    open_keys = per.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("top")).where("k > 1").drop("k")
-    open_rows = materialize(at.join(open_keys, "key"))
-    open_ids = open_rows.select("id").distinct()
-    detail = long_signatures(sets.join(open_ids, "id", "left_semi"), bits, long_slots).withColumnRenamed("long_sig", "sig")
-    open_rows = materialize(open_rows.join(detail.join(facts.drop("sig"), "id"), "id"))
+    open_keys = per.groupBy("key").agg(F.count("*").alias("k"), F.max("n").alias("n")).where("k > 1").select("key")
+    open_ids = materialize(at.join(open_keys, "key").select("id", "component").distinct())
+    open_sets = materialize(sets.join(open_ids, "id"))
+    detail = materialize(long_signatures(open_sets.select("id", "shingles"), bits, long_slots).withColumnRenamed("long_sig", "sig").join(facts.select("id", "n_shingles"), "id"))
+
+    keyed = prefix_keys(open_sets.select("id", "component", "shingles"), shingle_counts(open_sets.select("shingles")), percent)
+    many = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    keyed = materialize(keyed.join(many, "key"))
+    per = keyed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    top = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"))
+    keyed = keyed.join(top, "key")
 
     def renamed(df, name):
-        return df.select("key", *(F.col(c).alias(f"{c}_{name}") for c in df.columns if c != "key"))
-
-    meet = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("top_b")) | (F.col("id_a") < F.col("id_b")))
-    second = renamed(open_rows.where("component <> top"), "a").join(renamed(open_rows, "b"), "key")
-    first_shared = F.expr("forall(slice(arrays_zip(bands_a, bands_b), 1, band_a), x -> x.bands_a <> x.bands_b)")
-    second = second.where(meet & plausible(long_slots, long_margin) & first_shared).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    second = second.join(first.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")), (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
+        return df.select("key", "top", *(F.col(c).alias(f"{c}_{name}") for c in ("id", "component")))
+
+    meet = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("top")) | (F.col("id_a") < F.col("id_b")))
+    second = renamed(keyed.where("component <> top"), "a").join(renamed(keyed, "b").drop("top"), "key").where(meet)
+    second = materialize(second.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct())
+    signed_pairs = second
+    for name in "ab":
+        side_of = detail.select(F.col("id").alias(f"id_{name}"), F.col("n_shingles").alias(f"n_shingles_{name}"), F.col("sig").alias(f"sig_{name}"))
+        signed_pairs = signed_pairs.join(side_of, f"id_{name}")
+    second = signed_pairs.where(plausible(long_slots, long_margin)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    second = second.join(first.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")), (F.col("a") == F.col("p")) & (F.col("b") == F.col("q")), "left_anti")
     more = materialize(confirmed(materialize(second)))
     # first-round labels stand for their members: link labels, then rename
     named = more.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")

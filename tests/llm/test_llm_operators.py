@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.decontam import decontaminate
 from spanforge.llm.html import extract_text, main_text
 from spanforge.llm.lines import line_dedup
-from spanforge.llm.minhash import near_duplicates
+from spanforge.llm.minhash import near_duplicates, prefix_lengths, size_class
 from spanforge.llm.mixing import marginals, mix_sources
 from spanforge.llm.quality import quality_rules
 from spanforge.llm.sharding import shard
@@ -87,6 +87,33 @@ def test_near_duplicate_chains_and_hot_groups(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def test_near_duplicates_of_a_template(spark):
+    """Pages of one template below the threshold share every bucket but do not meet in the second
+    round; the few pairs above it, and chains of different lengths, are still found."""
+    rng = random.Random(6)
+    base = [f"t{k}" for k in range(100)]
+    rows = [(i, " ".join(base + [f"u{i}_{k}" for k in range(18)])) for i in range(150)]
+    rows += [(1000 + i, " ".join(base + [f"u{i}_{k}" for k in range(18 - i % 4)])) for i in range(0, 150, 10)]
+    rows += [(2000 + i, " ".join(base[: 60 + 2 * i] + ["end"])) for i in range(20)]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute.near_duplicates(rows)
+
+
+def test_prefixes_meet(spark):
+    """Any two sets at the threshold share a key, whatever their sizes."""
+    rng = random.Random(2)
+    for _ in range(3000):
+        a, b = rng.randrange(1, 400), rng.randrange(1, 400)
+        need = -(-75 * (a + b) // 175)
+        if need > min(a, b):
+            continue
+        x, y = ({(p, q): m for p, q, m in prefix_lengths(n, 75)} for n in (a, b))
+        pair = tuple(sorted((size_class(a), size_class(b))))
+        # the worst case: all that is not shared comes first
+        assert x[pair] > a - need and y[pair] > b - need
+
+
 def test_substring_dedup(docs, odd):
     for df in (docs, odd):
         out = substring_dedup(df).collect()
