@@ -18,8 +18,9 @@ Ranks come from grouped minima, which Spark combines before the shuffle, so a li
 stands in a third of all documents costs one row per task there; documents are joined on
 (doc_id, line), which is unique.
 
-Odd rows: null or empty text has no lines; blank lines belong to no run and are kept; repeated rows with
-one doc_id count as one document and are treated alike; a null doc_id is left as it is;
+Odd rows: null or empty text has no lines; blank lines belong to no run and are kept; repeated rows
+count as one document and are treated alike; several texts under one doc_id are documents in the order of
+their hashes; text that is not valid UTF-8 is cut at its bytes like any other; a null doc_id is left as it is;
 further columns are ignored.
 """
 
@@ -45,7 +46,7 @@ def suffix_ranks(docs: DataFrame) -> list[DataFrame]:
         group = rows.groupBy(*keys).agg(low.alias("low"), F.max(F.struct("doc_id", "at")).alias("high")).where("low < high")
         group = materialize(group.select(*keys, F.col("low.doc_id").alias("d"), F.col("low.at").alias("p")))
         # a table of its own, so that Spark can split the rows of one hot run over tasks
-        return materialize(rows.join(group, list(keys)).select("doc_id", "at", "d", "p"))
+        return materialize(rows.join(group.hint("merge"), list(keys)).select("doc_id", "at", "d", "p"))
 
     levels = [ranked(materialize(keyed), "x", "y")]
     while not levels[-1].isEmpty():
@@ -114,11 +115,11 @@ def cut_lines(docs: DataFrame, min_lines: int) -> DataFrame:
                 removed.append(len(gone))
                 kept.append(b"\n".join(x for i, x in enumerate(lines) if i not in gone))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), part.column("n_runs"), part.column("longest_run"), pa.array(kept, pa.binary()).cast(pa.string())],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), part.column("n_runs"), part.column("longest_run"), pa.array(kept, pa.binary())],
                 names=["doc_id", "n_lines", "n_removed", "n_runs", "longest_run", "kept_text"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n_lines bigint, n_removed bigint, n_runs bigint, longest_run bigint, kept_text string")
+    return docs.mapInArrow(run, "doc_id bigint, n_lines bigint, n_removed bigint, n_runs bigint, longest_run bigint, kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))
 
 
 def line_dedup(docs: DataFrame, *, min_lines: int = 2) -> DataFrame:
@@ -126,6 +127,9 @@ def line_dedup(docs: DataFrame, *, min_lines: int = 2) -> DataFrame:
     docs(doc_id, text): the text without later copies of repeated line runs, and the number
     and greatest length of the maximal runs of the document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # a document is an id with a text: repeated rows are one, two texts under one id are two
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    docs = docs.withColumn("doc_id", named)
     levels = suffix_ranks(docs)
     starts, runs = repeated_starts(levels, min_lines), maximal_runs(levels, min_lines)
     if starts is None or runs is None:
@@ -136,4 +140,4 @@ def line_dedup(docs: DataFrame, *, min_lines: int = 2) -> DataFrame:
         tally = runs.groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.max("length").cast("bigint").alias("longest_run"))
     marks = materialize(marks.join(tally, "doc_id", "full"))
     rows = docs.join(marks.hint("merge"), "doc_id", "left").na.fill(0, ["n_runs", "longest_run"])
-    return cut_lines(rows.select("doc_id", "text", "at", "n_runs", "longest_run"), min_lines)
+    return cut_lines(rows.select("doc_id.doc_id", F.col("text").cast("binary").alias("text"), "at", "n_runs", "longest_run"), min_lines)

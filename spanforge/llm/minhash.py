@@ -17,7 +17,8 @@ the defaults, and less above it.
 
 Results for odd rows: null or empty text has an empty set and is linked with nothing; fewer
 words than a shingle make one shingle of the whole text; repeated rows and ties share the
-least id; a null doc_id is returned with a null component and kept. Further columns of the
+least id; of several texts under one doc_id the one with the least hash of its set stands for it;
+a null doc_id is returned with a null component and kept. Further columns of the
 input are ignored, whatever their names.
 """
 
@@ -42,6 +43,14 @@ def shingle_set(words: list, hashes: WordHash, width: int) -> np.ndarray:
     return np.unique(windows(h, width) if len(h) >= width else windows(h, len(h), 1))
 
 
+def set_sum(shingles: np.ndarray) -> np.uint64:
+    return shingles.sum(dtype=np.uint64)
+
+
+def set_mixed_sum(shingles: np.ndarray) -> np.uint64:
+    return mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+
+
 def pack_bits(minima: np.ndarray, bits: int) -> np.ndarray:
     """The low bits of each row of minima, packed 64 // bits lanes to a 64-bit word."""
     lanes = 64 // bits
@@ -69,7 +78,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int, sl
                 size[i] = len(shingles)
                 if not len(shingles):
                     continue
-                a[i], b[i] = shingles.sum(dtype=np.uint64), mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+                a[i], b[i] = set_sum(shingles), set_mixed_sum(shingles)
                 x = (shingles >> np.uint64(32)).astype(np.uint32)
                 least = minima[i]
                 for at in range(0, len(x), 256):
@@ -93,19 +102,20 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int, sl
 
 
 def shingle_arrays(docs: DataFrame, width: int) -> DataFrame:
-    """(id, shingles): the full set of each document as an array of 64-bit hashes."""
+    """(id, set_a, set_b, shingles): the full set of each document as an array of 64-bit hashes."""
 
     def run(batches):
         hashes = WordHash()
         for part in chunks(batches):
             sets = [shingle_set((t or b"").lower().split(), hashes, width) for t in raw(part.column("text"))]
             where = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
+            sums = (np.array([f(s) for s in sets], np.uint64) for f in (set_sum, set_mixed_sum))
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.ListArray.from_arrays(where, signed(np.concatenate(sets)))],
-                names=["id", "shingles"],
+                [part.column("id"), *map(signed, sums), pa.ListArray.from_arrays(where, signed(np.concatenate(sets)))],
+                names=["id", "set_a", "set_b", "shingles"],
             )
 
-    return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, "id bigint, set_a bigint, set_b bigint, shingles array<bigint>")
 
 
 def long_signatures(sets: DataFrame, bits: int, slots: int) -> DataFrame:
@@ -170,19 +180,22 @@ def near_duplicates(
 
     # exact copies of a set fold onto their least id
     known = base.where("n_shingles > 0 and doc_id is not null")
-    least = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep < most").drop("most")
-    member = known.select("doc_id", "set_a", "set_b").join(materialize(least), ["set_a", "set_b"], "left")
-    member = materialize(member.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct())
-    reps = member.select(F.col("rep").alias("doc_id")).distinct()
-    rep_rows = known.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = known.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("s")).select("doc_id", "s.set_a", "s.set_b")  # of several texts of an id
+    least = one.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep < most").drop("most")
+    member = one.join(materialize(least), ["set_a", "set_b"], "left")
+    member = materialize(member.select("doc_id", "set_a", "set_b", F.coalesce("rep", "doc_id").alias("rep")))
+    reps = member.where("doc_id = rep").select("doc_id", "set_a", "set_b")
+    rep_rows = known.join(reps, ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])
 
     exploded = rep_rows.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     shared = exploded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     buckets = materialize(exploded.join(shared.select("key", "least"), "key"))
     ids = buckets.select("id").distinct()
     facts = rep_rows.join(ids, rep_rows.doc_id == ids.id, "left_semi")
-    facts = materialize(facts.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"))
-    sets = materialize(shingle_arrays(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), width))
+    facts = materialize(facts.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands", "set_a", "set_b"))
+    sets = shingle_arrays(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), width)
+    sets = materialize(sets.join(facts.select("id", "set_a", "set_b"), ["id", "set_a", "set_b"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"))
+    facts = facts.drop("set_a", "set_b")
 
     def side(name):
         return facts.select(*(F.col(c).alias(f"{c}_{name}") for c in ("id", "n_shingles", "sig")))
@@ -225,7 +238,7 @@ def near_duplicates(
     # first-round labels stand for their members: link labels, then rename
     named = more.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     over = connected_components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    final = member.join(label, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("c1"))
+    final = member.drop("set_a", "set_b").join(label, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("c1"))
     final = final.join(over, F.col("c1") == F.col("id"), "left").select("doc_id", F.coalesce("component", "c1").alias("component_id"))
     out = base.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import mixing, quality, sharding
+from . import mixing, quality, sharding, substring
 from .decontam import decontaminate
 from .html import extract_text
 from .lines import line_dedup
@@ -81,4 +81,4 @@ QUERIES = {
     "op9_lines": op9_lines,
     "op10_sharding": op10_sharding,
 }
-SQL: dict[str, str] = {"op5_quality": quality.SQL, "op7_mixing": mixing.SQL, "op10_sharding": sharding.SQL}
+SQL: dict[str, str] = {"op2_substring": substring.SQL, "op5_quality": quality.SQL, "op7_mixing": mixing.SQL, "op10_sharding": sharding.SQL}

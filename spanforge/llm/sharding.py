@@ -57,7 +57,7 @@ def shard(docs: DataFrame, *, limit: int = 1 << 20) -> DataFrame:
     rows = rows.withColumn("path", F.lit("")).withColumn("f", F.expr(f"shiftright(h, {HASH_BITS - fine})"))
     sums = materialize(rows.groupBy("path", "f").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")))
     leaves = _leaves(sums, "f", 0, fine, limit)
-    placed = materialize(rows.join(leaves, ["path", "f"], "left"))
+    placed = materialize(rows.join(leaves.hint("merge"), ["path", "f"], "left"))
 
     def bits(h, width, level):
         return F.expr(f"substring(lpad(bin({h}), {width}, '0'), 1, {level})")
@@ -68,7 +68,7 @@ def shard(docs: DataFrame, *, limit: int = 1 << 20) -> DataFrame:
     rest = placed.where("level is null").drop("level", "path").withColumn("path", F.col("f").cast("string"))
     rest = rest.withColumnRenamed("n_bytes", "bytes").withColumn("n", F.lit(1))
     at = _leaves(rest.groupBy("path", "h").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "h", fine, HASH_BITS, limit)
-    deep = materialize(rest.join(at, ["path", "h"], "left"))
+    deep = materialize(rest.join(at.hint("merge"), ["path", "h"], "left"))
     done2 = deep.where("level is not null").select("doc_id", F.col("bytes").alias("n_bytes"), bits("h", HASH_BITS, "level").alias("shard"), F.col("level").alias("depth"))
     same = deep.where("level is null").drop("level", "path").withColumn("path", F.col("h").cast("string")).withColumn("g", hash60(F.col("row").cast("string")))
     end = _leaves(same.select("path", "g", "bytes", F.lit(1).alias("n")), "g", 0, HASH_BITS, limit)

@@ -205,3 +205,16 @@ def substring_dedup(docs: DataFrame, *, length: int = 13, slice_bytes: int = 4 <
     least = materialize(least)
     out = cut(slices.join(found.where("bucket is null").select("slice", "of", "at"), "slice"), least, length)
     return out.withColumn("kept_text", F.col("kept_text").cast("string"))
+
+
+#: The query with windows of 13 words, as plain SQL.
+SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w WHERE len(ws) >= 13)),
+low AS (SELECT key, min(doc_id) AS least FROM win GROUP BY key),
+gone AS (SELECT DISTINCT doc_id, p + j AS i FROM win JOIN low USING (key), (SELECT unnest(range(13)) AS j) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+tally AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN tally USING (doc_id)"""

@@ -69,6 +69,17 @@ def test_near_duplicates(docs, odd):
     assert near_duplicates(empty(docs)).count() == 0
 
 
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    """One id with two texts gives two rows of one component, decided by one of them."""
+    words = [f"w{k}" for k in range(60)]
+    one, two = " ".join(words[:30]), " ".join(words[30:])
+    df = spark.createDataFrame([(5, one), (5, two), (1, one), (2, two), (9, one)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect())
+    mine = {c for i, _, c in got if i == 5}
+    assert len(got) == 5 and len(mine) == 1 and mine <= {1, 2}
+    assert [x for x in got if x[0] != 5] == [(1, 26, 1), (2, 26, 2), (9, 26, 1)]
+
+
 def test_near_duplicate_chains_and_hot_groups(spark):
     """Links that only later rounds can find: a chain in which neighbours are linked and ends
     are not, and a large group of near copies of near copies."""
@@ -305,6 +316,17 @@ def test_line_dedup(docs, odd):
     assert line_dedup(empty(docs)).count() == 0
 
 
+def test_line_dedup_of_odd_texts(spark):
+    """One id with two texts, and text that is not valid UTF-8."""
+    df = spark.createDataFrame([(1, "a b\nc d"), (2, "c d\ne f"), (2, "g h\na b"), (2, "c d\ne f")], "doc_id bigint, text string")
+    df = df.withColumn("text", F.concat(F.expr("cast(x'ff0a' as string)"), "text"))
+    got = sorted((r.doc_id, r.n_lines, r.n_removed) for r in line_dedup(df, min_lines=1).drop("kept_text").collect())
+    assert got == [(1, 3, 0), (2, 3, 2), (2, 3, 2), (2, 3, 2)]
+    big = spark.createDataFrame([(k, "same\nline") for k in range(300)], "doc_id bigint, text string")
+    shards = [r.n_bytes for r in shard(big.withColumn("doc_id", F.lit(7).cast("bigint")), limit=100).groupBy("shard").agg(F.sum("n_bytes").alias("n_bytes")).collect()]
+    assert max(shards) <= 100 and sum(shards) == 2700
+
+
 def test_sharding(docs, odd):
     for df, limit in ((docs, 20_000), (odd, 1_000)):
         out = [tuple(r) for r in shard(df, limit=limit).collect()]
