@@ -247,6 +247,16 @@ def chrome(t):
     return rows.groupBy(F.col("e.name").alias("name"), F.col("e.tid").alias("tid")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "s8_chrome_all",
+    """SELECT 'X' AS ph, plane_id AS pid, line_id AS tid, name, CAST(begin AS DOUBLE) AS ts, CAST(greatest(dur, 1) AS DOUBLE) AS dur, NULL AS process FROM spans UNION ALL SELECT DISTINCT 'M', plane_id, NULL, 'process_name', NULL, NULL, plane FROM spans""",
+)
+def chrome_all(t):
+    """Every field of every event, and the rows that name the processes."""
+    e = sk.chrome_events(t.spans).select(F.from_json("value", "ph string, pid bigint, tid bigint, name string, ts double, dur double, args struct<name: string>").alias("e"))
+    return e.select("e.ph", "e.pid", "e.tid", "e.name", "e.ts", "e.dur", F.col("e.args.name").alias("process"))
+
+
 @query("s9_delta_series", "SELECT plane_id, seq, begin - lag(begin, 1, 0) OVER (PARTITION BY plane_id ORDER BY begin, dur DESC, seq) AS delta, dur, CAST(dense_rank() OVER (PARTITION BY plane_id ORDER BY name) - 1 AS INTEGER) AS name_ref FROM spans")
 def delta_series(t):
     return sk.delta_series(t.spans, ["plane_id"])
@@ -425,6 +435,17 @@ def kernel_utilization(t):
     return rp.kernel_utilization(t.counters, formulas(t), "vector", 3).drop("anomaly").withColumn("percent", F.round("percent", 4))
 
 
+@query(
+    "r18_kernel_anomaly",
+    """SELECT device_id, kernel, metric, percent, metric = 'vector' AND percent > 100 AS anomaly FROM (SELECT s.device_id, s.line_id AS kernel, f.metric, round(100.0 * sum(f.weight * s.value) / (any_value(p.value) * any_value(f.factor)), 4) AS percent
+  FROM (SELECT device_id, line_id, counter_id, sum(value) AS value FROM counters GROUP BY ALL) s JOIN formulas f USING (counter_id)
+  JOIN (SELECT device_id, line_id, counter_id, sum(value) AS value FROM counters GROUP BY ALL) p ON p.device_id = s.device_id AND p.line_id = s.line_id AND p.counter_id = f.peak_counter GROUP BY s.device_id, s.line_id, f.metric)""",
+    _FORMULAS,
+)
+def kernel_anomaly(t):
+    return rp.kernel_utilization(t.counters, formulas(t), "vector").where("percent IS NOT NULL AND percent <> 0").withColumn("percent", F.round("percent", 4))
+
+
 @query("r19_suggestions", "SELECT rule FROM (SELECT 'low_duty' AS rule, 100.0 * busy / (busy + idle) < 50 AS f FROM duty UNION ALL SELECT 'memory_capacity', (SELECT 100.0 * sum(peak) / sum(capacity) FROM peak) > 90) WHERE f", METRICS + ", " + _DUTY + ", " + _PEAK)
 def suggestions(t):
     return rp.suggestions(rp.kpi_metrics(t.spans, metrics(t), t.alloc_events, off())).select("rule")

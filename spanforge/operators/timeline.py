@@ -33,8 +33,13 @@ def visible(begins, durs, resolution: int) -> list[bool]:
 
 def timeline_levels(spans: DataFrame, by: Sequence[str], tick_ps: int = 1) -> DataFrame:
     """Adds level, the coarsest zoom level at which the span is drawn. What is drawn at a
-    level depends on what was drawn before, so each track runs through a grouped map."""
+    level depends on what was drawn before, but not across a gap of the coarsest resolution after
+    all that came before: there tracks are cut, and each stretch runs through a grouped map."""
     levels = [max(1, r // tick_ps) for r in LEVELS]
+    w = W.partitionBy(*by).orderBy("begin", F.col("dur").desc(), "seq")
+    ended = F.max(F.col("begin") + F.col("dur")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    cut = spans.withColumn("_cut", F.when(F.col("begin") - ended >= levels[0], 1).otherwise(0))
+    cut = cut.withColumn("_stretch", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_cut")
     schema = spans.withColumn("level", F.lit(0)).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -45,9 +50,9 @@ def timeline_levels(spans: DataFrame, by: Sequence[str], tick_ps: int = 1) -> Da
             for i, show in enumerate(visible(begins, durs, levels[k])):
                 if show and level[i] == k + 1:
                     level[i] = k
-        return pdf.assign(level=pd.Series(level, dtype="int32"))
+        return pdf.drop(columns="_stretch").assign(level=pd.Series(level, dtype="int32"))
 
-    return spans.groupBy(*by).applyInPandas(run, schema)
+    return cut.groupBy(*by, "_stretch").applyInPandas(run, schema)
 
 
 def timeline_view(leveled: DataFrame, lo: int, hi: int, level: int, threshold: int = 500_000) -> DataFrame:
