@@ -12,7 +12,7 @@ from spanforge.plans import steps as sp
 
 from .registry import query
 from .reports import _DUTY, _FRAMEWORK, PEAKS, off, rounded
-from .runtime import _BUFFERS, _FORMULAS, _PEAK, _UTIL, buffers, formulas
+from .runtime import _BUFFERS, _FORMULAS, _PEAK, _SLACK, _UTIL, buffers, formulas
 from .tables import _BREAKDOWN, METRICS, breakdown, metrics
 
 CLASSES = {"Compute": ["click", "purchase"], "Input": ["view"], "Output": ["error"], "Transfer": ["signup"]}
@@ -261,3 +261,60 @@ def all_rules(t):
         units=(units, {"mxu_percent": F.col("u")}), late=(late, {"straggler_hosts": F.col("n")}),
     )
     return rp.suggestions(facts).select("rule")
+
+
+# collectives and serving
+
+_SIZES = "SELECT concat('rv', CAST(s_suppkey % 20 AS {text})) AS rendezvous, CAST(s_nationkey * 1000 AS BIGINT) AS size, CAST(4 AS BIGINT) AS \"group\", CASE WHEN s_suppkey % 2 = 0 THEN 'ALL_REDUCE' ELSE 'ALL_GATHER' END AS type FROM {src}"
+
+
+@query(
+    "r13_moved_bytes",
+    """SELECT rendezvous, occurrences, observed, bytes, round(bytes / observed, 6) AS bytes_per_tick FROM (SELECT rendezvous, count(*) AS occurrences, CAST(sum(observed) // count(*) AS BIGINT) AS observed FROM slack GROUP BY rendezvous)
+  LEFT JOIN (SELECT rendezvous, CAST(sum(CASE WHEN type = 'ALL_REDUCE' THEN size * 3 // 2 ELSE size * 3 // 4 END) AS BIGINT) AS bytes FROM sizes GROUP BY rendezvous) USING (rendezvous)""",
+    _SLACK + ", sizes AS (" + _SIZES.format(text="VARCHAR", src="supplier") + ")",
+)
+def moved_bytes(t):
+    sizes = t.spark.sql(_SIZES.format(text="STRING", src="{s}").replace('"', "`"), s=t.table("supplier"))
+    out = rp.megascale_sizes(t.visits, sizes).select("rendezvous", "occurrences", "observed", F.col("bytes").cast("bigint").alias("bytes"), "bytes_per_tick")
+    return rounded(out)
+
+
+@query(
+    "r13_by_step",
+    """SELECT v.device_id, s.step, v.rendezvous, v.opcode, count(*) AS visits, CAST(sum(v.dur) AS BIGINT) AS time FROM visits v JOIN (SELECT DISTINCT plane_id % 2 AS device_id, step, begin, dur FROM steps WHERE plane_id < 2) s
+  ON s.device_id = v.device_id AND v.ts >= s.begin AND v.ts + v.dur <= s.begin + s.dur GROUP BY ALL""",
+)
+def by_step(t):
+    steps = t.steps.where("plane_id < 2").select((F.col("plane_id") % 2).alias("device_id"), "step", "begin", "dur")
+    return rp.megascale_by_step(t.visits, steps, 21_600_000_000)
+
+
+@query(
+    "r14_tracks",
+    """SELECT v.device_id, concat('Megascale: ', v.rendezvous) AS track, v.ts, v.dur, v.opcode AS name, v.seq, CAST(coalesce(CASE WHEN v.opcode = 'send' THEN v.seq END, r.n) AS BIGINT) AS run_id, a.last_run, f.flow_to, l.last_send, NULL AS value FROM visits v
+  JOIN (SELECT seq, sum(CASE WHEN opcode = 'send' THEN 0 ELSE 1 END) OVER (PARTITION BY device_id ORDER BY ts, seq) AS n FROM visits) r USING (seq)
+  LEFT JOIN (SELECT e.seq, max(s.seq) AS last_run FROM (SELECT v.seq, v.device_id, max(s.ts) AS ts FROM visits v JOIN visits s ON s.device_id = v.device_id AND s.opcode = 'send' AND s.ts <= v.ts GROUP BY v.seq, v.device_id) e JOIN visits s ON s.device_id = e.device_id AND s.opcode = 'send' AND s.ts = e.ts GROUP BY e.seq) a USING (seq)
+  LEFT JOIN (SELECT p.seq, q.seq AS flow_to FROM (SELECT *, row_number() OVER (PARTITION BY device_id, rendezvous ORDER BY ts, seq) AS k FROM visits WHERE opcode = 'send') p
+    JOIN (SELECT *, row_number() OVER (PARTITION BY device_id, rendezvous ORDER BY ts, seq) AS k FROM visits WHERE opcode = 'recv-done') q USING (device_id, rendezvous, k)) f USING (seq)
+  LEFT JOIN (SELECT o.seq, arg_max(i.seq, (i.ts + i.dur, i.seq)) AS last_send FROM visits o JOIN visits i ON o.device_id = i.device_id AND o.opcode = 'recv-done' AND i.opcode = 'send' AND i.ts + i.dur BETWEEN o.ts AND o.ts + o.dur GROUP BY o.seq) l USING (seq)
+  UNION ALL SELECT device_id, 'Under way', t, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CAST(sum(d) OVER (PARTITION BY device_id ORDER BY t) AS BIGINT) FROM (SELECT device_id, t, sum(d) AS d FROM (SELECT device_id, ts AS t, 1 AS d FROM visits UNION ALL SELECT device_id, ts + dur, -1 FROM visits) GROUP BY ALL)""",
+)
+def tracks(t):
+    return rp.megascale_tracks(t.visits, 3_600_000_000).withColumn("value", F.col("value").cast("bigint"))
+
+
+_EVENTS = "SELECT l_orderkey AS request_id, {us} AS begin, CAST(round(l_extendedprice * 100) AS BIGINT) * 100000 AS dur, CAST(l_linenumber % 4 + 1 AS INTEGER) AS phase FROM {src}"
+
+
+@query(
+    "r15_request_phases",
+    """SELECT model, CAST(kind AS INTEGER) AS phase, count(*) AS requests, CAST(sum(time) AS BIGINT) AS time, round(avg(time), 2) AS mean, round(100.0 * sum(time) / sum(sum(time)) OVER (PARTITION BY model), 6) AS percent FROM (
+  SELECT request_id, kind, sum(u - t) AS time FROM best GROUP BY ALL) JOIN requests USING (request_id) GROUP BY model, kind""",
+    "ev AS (" + _EVENTS.format(us="epoch_us(l_shipdate)", src="lineitem") + """), points AS (SELECT DISTINCT request_id, t FROM (SELECT request_id, begin AS t FROM ev WHERE dur > 0 UNION ALL SELECT request_id, begin + dur FROM ev WHERE dur > 0)),
+segments AS (SELECT request_id, t, lead(t) OVER (PARTITION BY request_id ORDER BY t) AS u FROM points),
+best AS (SELECT s.request_id, s.t, s.u, coalesce(max(e.phase), 0) AS kind FROM segments s LEFT JOIN ev e ON e.request_id = s.request_id AND e.begin <= s.t AND e.begin + e.dur >= s.u AND e.dur > 0 WHERE u IS NOT NULL GROUP BY ALL)""",
+)
+def request_phases(t):
+    events = t.spark.sql(_EVENTS.format(us="unix_micros(CAST(l_shipdate AS TIMESTAMP))", src="{li}"), li=t.table("lineitem"))
+    return rp.request_phases(events, t.requests, 4).withColumns({"mean": F.round("mean", 2), "percent": F.round("percent", 6)})

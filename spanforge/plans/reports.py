@@ -239,6 +239,51 @@ def megascale_stats(visits: DataFrame) -> DataFrame:
     return out.withColumn("bytes", sent).withColumn("bytes_text", c.human_bytes(sent))
 
 
+def megascale_sizes(visits: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The summary of each rendezvous with the bytes it moves, by sizes(rendezvous, size, group, type)
+    of its transfers, and the bytes per tick of observed time."""
+    moved = sizes.groupBy("rendezvous").agg(F.sum(c.transmitted_bytes(F.col("size"), F.col("group"), F.col("type"))).alias("bytes"))
+    out = cl.collective_summary(cl.slack_overlap(visits)).join(moved, "rendezvous", "left")
+    return out.withColumns({"bytes_text": c.human_bytes(F.col("bytes")), "bytes_per_tick": c.safe_divide(F.col("bytes"), F.col("observed"))})
+
+
+def megascale_by_step(visits: DataFrame, steps: DataFrame, width: int) -> DataFrame:
+    """Visits and time of each rendezvous and opcode per step of its device that holds the
+    whole visit; steps(device_id, step, begin, dur)."""
+    inside = iv.contained_in(visits.withColumnRenamed("ts", "begin"), steps, ["device_id"], width)
+    return inside.groupBy("device_id", F.col("r_step").alias("step"), "rendezvous", "opcode").agg(F.count("*").alias("visits"), F.sum("dur").alias("time"))
+
+
+def megascale_tracks(visits: DataFrame, width: int) -> DataFrame:
+    """All rows of the timeline. Slices: sends and receives with their run id (W13, J9), the receive a
+    send flows to (J15) and, for receives, the last send that ends inside (W12). Counters: how many
+    visits are under way (A42)."""
+    from spanforge.operators.joins import pair_fifo
+
+    runs = visits.withColumn("run", F.when(F.col("opcode") == "send", F.col("seq")))
+    rows = cl.infer_run_ids(runs, ["device_id"], "run").drop("run")
+    sends = visits.where("opcode = 'send'").select("device_id", "ts", F.col("seq").alias("id"))
+    begun = iv.asof_run(visits, sends, ["device_id"], "id").select("device_id", "seq", F.col("run_id").alias("last_run"))
+    flows = pair_fifo(visits.where("opcode = 'send'"), visits.where("opcode = 'recv-done'"), ["device_id", "rendezvous"]).select(F.col("producer").alias("seq"), F.col("consumer").alias("flow_to"))
+    spans = visits.select("device_id", "seq", "opcode", F.col("ts").alias("begin"), "dur")
+    last = iv.mark_last_inside(spans.where("opcode = 'recv-done'"), spans.where("opcode = 'send'"), ["device_id"], width).select("device_id", "seq", F.col("last_seq").alias("last_send"))
+    slices = rows.join(begun, ["device_id", "seq"], "left").join(flows, "seq", "left").join(last, ["device_id", "seq"], "left")
+    slices = slices.select("device_id", F.concat(F.lit("Megascale: "), "rendezvous").alias("track"), "ts", "dur", F.col("opcode").alias("name"), "seq", "run_id", "last_run", "flow_to", "last_send")
+    counters = cl.counter_series(visits, ["device_id"], F.lit(1)).select("device_id", F.lit("Under way").alias("track"), F.col("t").alias("ts"), F.col("level").alias("value"))
+    return slices.unionByName(counters, allowMissingColumns=True)
+
+
+def request_phases(events: DataFrame, requests: DataFrame, kinds: int) -> DataFrame:
+    """events(request_id, begin, dur, phase 1..kinds) -> per model and phase the requests that
+    have it, the time in which it is the highest active one (0: waiting between events), its
+    mean per request and its share."""
+    exclusive = iv.priority_timeline(events, ["request_id"], F.col("phase"), kinds)
+    per = exclusive.join(requests.select("request_id", "model"), "request_id").groupBy("model", F.col("kind").alias("phase"))
+    out = per.agg(F.count("*").alias("requests"), F.sum("time").alias("time"), F.avg("time").alias("mean"))
+    whole = out.groupBy("model").agg(F.sum("time").alias("_all"))
+    return out.join(whole, "model").withColumn("percent", 100 * c.safe_divide(F.col("time"), F.col("_all"))).drop("_all")
+
+
 def megascale_timeline(visits: DataFrame, tick: int, limit: int) -> DataFrame:
     """Flows between sends and receives on a timeline with tiny events folded."""
     from spanforge.operators.joins import pair_fifo
@@ -319,7 +364,7 @@ def suggestions(facts: DataFrame) -> DataFrame:
 def reports() -> dict[str, Callable[..., DataFrame]]:
     """Every report by name."""
     found = (
-        overview, overview_top_ops, overview_recommendation, overview_diagnostics, memory_capacity, memory_modules, memory_blocks, memory_indefinite, kpi_metrics, device_information, hlo_stats, framework_op_stats, roofline_model, input_pipeline, step_trace, host_boundness, memory_profile,
+        overview, overview_top_ops, overview_recommendation, overview_diagnostics, megascale_sizes, megascale_by_step, megascale_tracks, request_phases, memory_capacity, memory_modules, memory_blocks, memory_indefinite, kpi_metrics, device_information, hlo_stats, framework_op_stats, roofline_model, input_pipeline, step_trace, host_boundness, memory_profile,
         memory_view, megascale_stats, megascale_timeline, inference_profile, utilization_viewer, kernel_utilization, module_info, find_instruction, event_details, suggestions,
     )
     per_step = (
