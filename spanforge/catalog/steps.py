@@ -318,3 +318,20 @@ best AS (SELECT s.request_id, s.t, s.u, coalesce(max(e.phase), 0) AS kind FROM s
 def request_phases(t):
     events = t.spark.sql(_EVENTS.format(us="unix_micros(CAST(l_shipdate AS TIMESTAMP))", src="{li}"), li=t.table("lineitem"))
     return rp.request_phases(events, t.requests, 4).withColumns({"mean": F.round("mean", 2), "percent": F.round("percent", 6)})
+
+
+_NAMED = "CASE symbol_id % 6 WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'signup' WHEN 3 THEN 'purchase' ELSE 'none' END"
+_KERNELS = "plane_id, begin, dur, seq, name, plane_id % 3 AS program_id, line_id AS group_id, dur % 1000 AS flops, dur % 100 AS bytes"
+
+
+@query(
+    "a9_gpu_op_costs",
+    """SELECT r.program_id, r.name, coalesce(o.category, 'unknown') AS category, runs, occurrences, time, CAST(CASE WHEN o.flops > 0 THEN o.flops * occurrences ELSE own_flops END AS BIGINT) AS flops, CAST(CASE WHEN o.bytes > 0 THEN o.bytes * occurrences ELSE own_bytes END AS BIGINT) AS bytes
+  FROM (SELECT program_id, name, count(*) AS runs, CAST(sum(n) AS BIGINT) AS occurrences, CAST(sum(e - b) AS BIGINT) AS time, CAST(sum(f) AS BIGINT) AS own_flops, CAST(sum(m) AS BIGINT) AS own_bytes FROM (
+    SELECT plane_id, program_id, name, group_id, min(begin) AS b, max(begin + dur) AS e, count(*) AS n, sum(flops) AS f, sum(bytes) AS m FROM (SELECT *, row_number() OVER (PARTITION BY plane_id ORDER BY begin, dur DESC, seq) - row_number() OVER (PARTITION BY plane_id, program_id, name, group_id ORDER BY begin, dur DESC, seq) AS g FROM kernels)
+    GROUP BY plane_id, program_id, name, group_id, g) GROUP BY program_id, name) r LEFT JOIN costs o ON o.program_id = r.program_id AND o.name = r.name""",
+    f"kernels AS (SELECT {_KERNELS} FROM spans), costs AS (SELECT program_id, {_NAMED} AS name, min(category) AS category, max(flops) AS flops, max(bytes) AS bytes FROM ops WHERE program_id < 2 GROUP BY 1, 2)",
+)
+def gpu_op_costs(t):
+    costs = t.ops.where("program_id < 2").groupBy("program_id", F.expr(_NAMED).alias("name")).agg(F.min("category").alias("category"), F.max("flops").alias("flops"), F.max("bytes").alias("bytes"))
+    return mt.gpu_op_metrics(t.spans.selectExpr(*_KERNELS.split(", ")), costs, ["plane_id"])

@@ -99,6 +99,21 @@ def host_ops(spans: DataFrame) -> DataFrame:
     )
 
 
+def gpu_op_metrics(spans: DataFrame, ops: DataFrame, by: Sequence[str]) -> DataFrame:
+    """kernels(by, begin, dur, seq, program_id, name, group_id): consecutive kernels of one op and
+    group on a stream form one run of the op, from the first begin to the last end. Per
+    (program, op): runs, kernels, time, and flops and bytes: those of the program's op per kernel, or the sums of
+    the kernels' own ones where the program knows none. ops(program_id, name, category, flops, bytes)."""
+    from spanforge.operators.intervals import merge_runs
+
+    keys = ["program_id", "name"]
+    runs = merge_runs(spans, by, [*keys, "group_id"]).groupBy(*keys).agg(F.count("*").alias("runs"), F.sum("events").alias("occurrences"), F.sum("dur").alias("time"))
+    own = spans.groupBy(*keys).agg(*((F.sum(x) if x in spans.columns else F.lit(0)).cast("bigint").alias(f"_{x}") for x in ("flops", "bytes")))
+    out = runs.join(own, keys).join(ops.select(*keys, "category", "flops", "bytes"), keys, "left")
+    cost = {x: F.when(F.col(x) > 0, F.col(x) * F.col("occurrences")).otherwise(F.coalesce(f"_{x}", F.lit(0))) for x in ("flops", "bytes")}
+    return out.withColumns(cost).withColumn("category", F.coalesce("category", F.lit("unknown"))).drop("_flops", "_bytes")
+
+
 def gpu_kernel_stats(spans: DataFrame, keys: Sequence[str], limit: int = 1000) -> DataFrame:
     """A10: kernels by launch key: total, least, greatest, count; zero durations drop out."""
     out = spans.where("dur > 0").groupBy(*keys).agg(F.sum("dur").alias("total"), F.min("dur").alias("min"), F.max("dur").alias("max"), F.count("*").alias("count"))
