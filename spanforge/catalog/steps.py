@@ -194,7 +194,7 @@ def diagnostics(t):
 
 @query(
     "r11_memory_capacity",
-    """SELECT (SELECT max(capacity) FROM peak) AS capacity, p.allocator, p.peak, a.stack, a.heap, a.free, -1.0 AS fragmentation, round(100.0 * p.peak / (SELECT max(capacity) FROM peak), 6) AS utilization_percent
+    """SELECT (SELECT max(capacity) FROM peak) AS capacity, p.allocator, p.peak, a.stack, a.heap, a.free, CAST(-1 AS DOUBLE) AS fragmentation, round(100.0 * p.peak / (SELECT max(capacity) FROM peak), 6) AS utilization_percent
   FROM peak p JOIN alloc_events a ON a.allocator = p.allocator AND a.seq = p.peak_seq WHERE p.allocator = (SELECT arg_max(allocator, (peak, -allocator)) FROM peak)""",
     _PEAK,
 )

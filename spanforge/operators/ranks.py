@@ -19,14 +19,14 @@ def ranked(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), rank: st
     unique column for ranks that do not depend on chance.
     """
     keys = [*by, *order]
-    parts = checkpointed(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy(*by, "_part").agg(F.count("*").alias("_size"))
+    parts = checkpointed(df.repartitionByRange(*keys).withColumn("_range_no", F.spark_partition_id()))
+    sizes = parts.groupBy(*by, "_range_no").agg(F.count("*").alias("_size"))
     whole = W.partitionBy(*by)  # one row per range partition and key
-    before = F.sum("_size").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_size")
-    sizes = sizes.select(*(F.col(x).alias(f"_{x}") for x in by), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_size").over(whole).alias(count))
-    same = F.col("_part") == F.col("_p")
+    before = F.sum("_size").over(whole.orderBy("_range_no").rowsBetween(W.unboundedPreceding, 0)) - F.col("_size")
+    sizes = sizes.select(*(F.col(x).alias(f"_by_{x}") for x in by), F.col("_range_no").alias("_range_of"), before.alias("_before"), F.sum("_size").over(whole).alias(count))
+    same = F.col("_range_no") == F.col("_range_of")
     for x in by:
-        same = same & F.col(x).eqNullSafe(F.col(f"_{x}"))
-    own = F.row_number().over(W.partitionBy("_part", *by).orderBy(*order)) - 1
+        same = same & F.col(x).eqNullSafe(F.col(f"_by_{x}"))
+    own = F.row_number().over(W.partitionBy("_range_no", *by).orderBy(*order)) - 1
     out = parts.withColumn("_own", own).join(sizes, same)
     return out.withColumn(rank, (F.col("_own") + F.col("_before")).cast("bigint")).select(*df.columns, rank, count)
