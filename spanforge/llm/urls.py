@@ -139,6 +139,6 @@ def filter_urls(
     leaf = leaf.select("host", "template", F.round((F.col("tb") + prior * F.col("ph")) / (F.col("tl") + prior), 6).alias("purity"))
     judged = materialize(tree.select("host", "path", "template").join(leaf, ["host", "template"]))
 
-    out = rows.join(judged, ["host", "path"], "left").withColumn("found", matching_rule(rules))
+    out = rows.join(judged.hint("merge"), ["host", "path"], "left").withColumn("found", matching_rule(rules))
     own = F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), "template", "purity")
