@@ -194,7 +194,7 @@ def near_duplicates(
     facts = rep_rows.join(ids, rep_rows.doc_id == ids.id, "left_semi")
     facts = materialize(facts.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands", "set_a", "set_b"))
     sets = shingle_arrays(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), width)
-    sets = materialize(sets.join(facts.select("id", "set_a", "set_b"), ["id", "set_a", "set_b"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"))
+    sets = materialize(sets.join(facts.select("id", "set_a", "set_b").hint("merge"), ["id", "set_a", "set_b"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"))
     facts = facts.drop("set_a", "set_b")
 
     def side(name):
