@@ -5,8 +5,9 @@ Prefix doubling ranks the suffixes by their first 1, 2, 4, ... lines: the rank o
 place (doc_id, line) where it first occurs, and the ranks of 2^(k+1) lines follow from the pair
 of ranks at the position and 2^k lines further on. Suffixes whose rank is their own alone are
 dropped, so each round works on what still repeats, and the rounds end when nothing does.
-Suffixes ordered by their ranks of all levels form the suffix array, and the suffixes that
-share a rank are its intervals of longest common prefix 2^k and more.
+The suffixes that share a rank are the intervals of the suffix array in which the longest common
+prefix has 2^k lines or more. Which suffixes share an interval, and which of them comes first in the
+documents, is all that the deletion needs, so suffixes are grouped and not sorted, and no full array is built.
 
 A line is deleted if it lies in a run of ``min_lines`` lines or more that also occurs earlier
 (in a smaller doc_id, or before in the same document). A maximal run starts where the
