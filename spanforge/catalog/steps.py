@@ -335,3 +335,16 @@ _KERNELS = "plane_id, begin, dur, seq, name, plane_id % 3 AS program_id, line_id
 def gpu_op_costs(t):
     costs = t.ops.where("program_id < 2").groupBy("program_id", F.expr(_NAMED).alias("name")).agg(F.min("category").alias("category"), F.max("flops").alias("flops"), F.max("bytes").alias("bytes"))
     return mt.gpu_op_metrics(t.spans.selectExpr(*_KERNELS.split(", ")), costs, ["plane_id"])
+
+
+_SHORT = "(SELECT * FROM spans WHERE dur > 0 ORDER BY dur, seq LIMIT 1)"
+
+
+@query(
+    "r21_event_stack",
+    f"""SELECT h.seq, coalesce(string_agg(o.name, '/' ORDER BY o.begin, o.dur DESC, o.seq), '') AS stack FROM (SELECT s.* FROM spans s, {_SHORT} e WHERE s.name = e.name AND s.begin = e.begin AND s.dur = e.dur) h
+  LEFT JOIN spans o ON o.plane_id = h.plane_id AND o.begin <= h.begin AND o.begin + o.dur >= h.begin + h.dur AND o.seq <> h.seq GROUP BY h.seq""",
+)
+def event_stack(t):
+    e = t.spans.where("dur > 0").orderBy("dur", "seq").first()
+    return rp.event_stack(t.spans, e["name"], e["begin"], e["dur"], ["plane_id"]).withColumn("stack", F.array_join("stack", "/"))

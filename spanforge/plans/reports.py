@@ -328,6 +328,16 @@ def event_details(spans: DataFrame, name: str, begin: int, dur: int) -> DataFram
     return hit.select("seq", F.to_json(F.struct(*spans.columns)).alias("args"))
 
 
+def event_stack(spans: DataFrame, name: str, begin: int, dur: int, by: list[str]) -> DataFrame:
+    """For the events with this name, time and duration the frames of their track that enclose
+    them, outermost first: (seq, stack)."""
+    hit = spans.where((F.col("name") == name) & (F.col("begin") == begin) & (F.col("dur") == dur)).select(*by, "seq")
+    outer = spans.where((F.col("begin") <= begin) & (F.col("begin") + F.col("dur") >= begin + dur))
+    outer = outer.select(*by, F.struct("begin", (-F.col("dur")).alias("shorter"), F.col("seq").alias("frame"), "name").alias("frame"))
+    frames = F.array_sort(F.collect_list(F.when(F.col("frame.frame") != F.col("seq"), F.col("frame"))))
+    return hit.join(outer, by).groupBy("seq").agg(F.transform(frames, lambda x: x["name"]).alias("stack"))
+
+
 RULES: dict[str, tuple[Callable[[DataFrame], Column], str]] = {}
 
 
@@ -365,7 +375,7 @@ def reports() -> dict[str, Callable[..., DataFrame]]:
     """Every report by name."""
     found = (
         overview, overview_top_ops, overview_recommendation, overview_diagnostics, megascale_sizes, megascale_by_step, megascale_tracks, request_phases, memory_capacity, memory_modules, memory_blocks, memory_indefinite, kpi_metrics, device_information, hlo_stats, framework_op_stats, roofline_model, input_pipeline, step_trace, host_boundness, memory_profile,
-        memory_view, megascale_stats, megascale_timeline, inference_profile, utilization_viewer, kernel_utilization, module_info, find_instruction, event_details, suggestions,
+        memory_view, megascale_stats, megascale_timeline, inference_profile, utilization_viewer, kernel_utilization, module_info, find_instruction, event_details, event_stack, suggestions,
     )
     per_step = (
         steps.pod_view, steps.input_pipeline_steps, steps.input_pipeline_summary, steps.input_pipeline_verdict, steps.host_breakdown, steps.bottleneck_assessment,
