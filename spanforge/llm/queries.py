@@ -12,6 +12,7 @@ from .html import extract_text
 from .lines import line_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .packing import pack_documents
 from .quality import quality_rules
 from .scoring import score_words
 from .sharding import shard
@@ -69,6 +70,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def tokenizer(name: str) -> str:
+    """Where a vocabulary file of the public tokenizers lies; they are installed on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_substring": op2_substring,
@@ -80,5 +92,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_lines": op9_lines,
     "op10_sharding": op10_sharding,
+    "op13_packing": op13_packing,
 }
 SQL: dict[str, str] = {"op2_substring": substring.SQL, "op5_quality": quality.SQL, "op7_mixing": mixing.SQL, "op10_sharding": sharding.SQL}
