@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from . import mixing, quality, sharding, substring
+from .alignment import align_tokens
 from .decontam import decontaminate
 from .html import extract_text
 from .lines import line_dedup
@@ -77,6 +78,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -92,6 +97,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_lines": op9_lines,
     "op10_sharding": op10_sharding,
+    "op12_alignment": op12_alignment,
     "op13_packing": op13_packing,
 }
 SQL: dict[str, str] = {"op2_substring": substring.SQL, "op5_quality": quality.SQL, "op7_mixing": mixing.SQL, "op10_sharding": sharding.SQL}

@@ -16,8 +16,9 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import signed
+from .common import materialize, signed
 
 
 def cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,3 +85,56 @@ def widened(table: pa.Table, name: str) -> np.ndarray:
         for i in np.flatnonzero(np.asarray(high.is_valid())):
             out[at[i] : at[i + 1]] += np.asarray(high[int(i)].values) << 15
     return out
+
+
+def tallied(rows: DataFrame, slices: int, decorate: Callable[[np.ndarray, np.ndarray], dict], extra: str, word_list: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Corpus totals of rows(slice, bucket, keys sorted and distinct, n[, words]), and what decorate(keys, n)
+    makes of them, per key of a bucket: named arrays with the types of extra, in order.
+
+    Slices form about sqrt(slices) families. Counts are first added up within (family, bucket), then the
+    families of a bucket meet, and totals go back the same way, so what one group holds grows with the
+    square root of the number of slices even for a key that every slice sends.
+    -> (the totals (bucket, family, keys, extra...[, words]) as sent to the families, one row each;
+    the answers (slice, bucket, extra...), one row per row of rows)."""
+    families = max(1, round(slices**0.5))
+    rows = rows.withColumn("family", F.pmod(F.xxhash64("slice"), F.lit(families)))
+    names = [x.split()[0] for x in extra.split(", ")]
+    text = ", words array<binary>" if word_list else ""
+
+    def gathered(table: pa.Table):
+        keys, first, place = np.unique(flat(table.column("keys")), return_index=True, return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, place, flat(table.column("n")))
+        words = {}
+        if word_list:
+            words["words"] = table.column("words").combine_chunks().flatten().take(pa.array(first))
+        return keys, n, words, place
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys, n, words, _ = gathered(table)
+        whole = np.array([0, len(keys)])
+        return pa.table({"family": table.column("family")[:1], "bucket": table.column("bucket")[:1], "keys": lists(keys, whole), "n": lists(n, whole), **{k: lists(v, whole) for k, v in words.items()}})
+
+    def total(table: pa.Table) -> pa.Table:
+        keys, n, words, place = gathered(table)
+        made = decorate(keys, n)
+        limits = np.append(0, np.cumsum(sizes(table.column("keys"))))
+        out = {"bucket": table.column("bucket"), "family": table.column("family"), "keys": table.column("keys")}
+        out |= {name: lists(made[name][place], limits) for name in names}
+        if word_list:
+            out["words"] = table.column("words")
+        return pa.table(out)
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = flat(right.column("keys"))
+        place = np.searchsorted(found, flat(left.column("keys")))
+        limits = np.append(0, np.cumsum(sizes(left.column("keys"))))
+        out = {"slice": left.column("slice"), "bucket": left.column("bucket")}
+        return pa.table(out | {name: lists(flat(right.column(name))[place], limits) for name in names})
+
+    merged = rows.groupBy("family", "bucket").applyInArrow(merge, f"family bigint, bucket bigint, keys array<bigint>, n array<bigint>{text}")
+    totals = materialize(merged.groupBy("bucket").applyInArrow(total, f"bucket bigint, family bigint, keys array<bigint>, {extra}{text}"))
+    back = totals.drop("words") if word_list else totals
+    left = rows.drop("n", "words").groupBy("family", "bucket")
+    answers = left.cogroup(back.groupBy("family", "bucket")).applyInArrow(look_up, f"slice bigint, bucket bigint, {extra}")
+    return totals, answers
