@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import mixing, quality, sharding, substring
+from . import mixing, phrases, quality, sharding, substring
 from .alignment import align_tokens
 from .decontam import decontaminate
 from .html import extract_text
@@ -14,6 +14,7 @@ from .lines import line_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
+from .phrases import mine_phrases
 from .quality import quality_rules
 from .scoring import score_words
 from .sharding import shard
@@ -78,6 +79,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
@@ -97,7 +102,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_lines": op9_lines,
     "op10_sharding": op10_sharding,
+    "op11_phrases": op11_phrases,
     "op12_alignment": op12_alignment,
     "op13_packing": op13_packing,
 }
-SQL: dict[str, str] = {"op2_substring": substring.SQL, "op5_quality": quality.SQL, "op7_mixing": mixing.SQL, "op10_sharding": sharding.SQL}
+SQL: dict[str, str] = {"op2_substring": substring.SQL, "op5_quality": quality.SQL, "op7_mixing": mixing.SQL, "op10_sharding": sharding.SQL, "op11_phrases": phrases.SQL}

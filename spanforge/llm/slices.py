@@ -94,8 +94,9 @@ def tallied(rows: DataFrame, slices: int, decorate: Callable[[np.ndarray, np.nda
     Slices form about sqrt(slices) families. Counts are first added up within (family, bucket), then the
     families of a bucket meet, and totals go back the same way, so what one group holds grows with the
     square root of the number of slices even for a key that every slice sends.
-    -> (the totals (bucket, family, keys, extra...[, words]) as sent to the families, one row each;
-    the answers (slice, bucket, extra...), one row per row of rows)."""
+    -> (a table (bucket, keys, n, extra...[, words]) with one row per bucket, of those keys that the mask
+    "keep" of decorate chooses, or None without word_list, which says that rows have words (binary values that
+    are the same wherever a key is); the answers (slice, bucket, extra...), one row per row of rows)."""
     families = max(1, round(slices**0.5))
     rows = rows.withColumn("family", F.pmod(F.xxhash64("slice"), F.lit(families)))
     names = [x.split()[0] for x in extra.split(", ")]
@@ -121,9 +122,15 @@ def tallied(rows: DataFrame, slices: int, decorate: Callable[[np.ndarray, np.nda
         limits = np.append(0, np.cumsum(sizes(table.column("keys"))))
         out = {"bucket": table.column("bucket"), "family": table.column("family"), "keys": table.column("keys")}
         out |= {name: lists(made[name][place], limits) for name in names}
-        if word_list:
-            out["words"] = table.column("words")
-        return pa.table(out)
+        if not word_list:
+            return pa.table(out)
+        at = np.flatnonzero(made["keep"])
+        whole = np.array([0, len(at)])
+        own = {"bucket": table.column("bucket")[:1], "family": pa.nulls(1, pa.int64()), "keys": lists(keys[at], whole)}
+        own |= {name: lists(made[name][at], whole) for name in names}
+        own |= {"n": lists(n[at], whole), "words": lists(words["words"].take(pa.array(at)), whole)}
+        out |= {"n": pa.nulls(table.num_rows, pa.list_(pa.int64())), "words": pa.nulls(table.num_rows, pa.list_(pa.binary()))}
+        return pa.concat_tables([pa.table(out), pa.table(own)])
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         found = flat(right.column("keys"))
@@ -133,8 +140,9 @@ def tallied(rows: DataFrame, slices: int, decorate: Callable[[np.ndarray, np.nda
         return pa.table(out | {name: lists(flat(right.column(name))[place], limits) for name in names})
 
     merged = rows.groupBy("family", "bucket").applyInArrow(merge, f"family bigint, bucket bigint, keys array<bigint>, n array<bigint>{text}")
-    totals = materialize(merged.groupBy("bucket").applyInArrow(total, f"bucket bigint, family bigint, keys array<bigint>, {extra}{text}"))
-    back = totals.drop("words") if word_list else totals
+    more = f", n array<bigint>{text}" if word_list else ""
+    totals = materialize(materialize(merged).groupBy("bucket").applyInArrow(total, f"bucket bigint, family bigint, keys array<bigint>, {extra}{more}"))
+    back = totals.where("family is not null").select("bucket", "family", "keys", *names)
     left = rows.drop("n", "words").groupBy("family", "bucket")
     answers = left.cogroup(back.groupBy("family", "bucket")).applyInArrow(look_up, f"slice bigint, bucket bigint, {extra}")
-    return totals, answers
+    return totals.where("family is null").drop("family") if word_list else None, answers
