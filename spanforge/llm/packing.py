@@ -36,16 +36,39 @@ from .common import chunks, materialize, raw
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+#: ASCII marks that stand together in one token, if letters or digits are before them. The apostrophe may begin a token of letters.
+_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
+
+
+def _core(word: bytes) -> bytes:
+    """The word without marks at its end, in small letters where that changes no token."""
+    if b"<" in word:  # may name a special token
+        return word
+    head = word.rstrip(_MARKS)
+    if len(head) < len(word) and not head[-1:].isalnum():
+        last = head.decode("utf-8", "replace")[-1:]
+        if not ("\xc0" <= last <= "\u024f" and last.isalpha()):  # letters in every version of Unicode
+            return word
+    return head.lower() if head.isascii() else head
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids of each word, cached; emptied when it reaches its bound. Words of more than
-    ``longest`` bytes are encoded each time."""
+    ``longest`` bytes are encoded each time.
+
+    A new word is taken apart first: marks after a letter or digit have tokens of their own, and capitals of ASCII
+    words count as small letters, as the tokenizer drops case. What is left is encoded many words at a time; the ids
+    of words of letters are told apart by the tokens that end a word, and encoded singly if their number is off.
+    """
 
-    def __init__(self, path: str, bound: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, bound: int = 800_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.bound, self.longest = Tokenizer.from_file(path), bound, longest
+        size = self.tokenizer.get_vocab_size()
+        self.final = np.array([x.endswith("</w>") for x in map(self.tokenizer.id_to_token, range(size))])
 
     def encoded(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -58,10 +81,23 @@ class WordIds(dict):
         new = set()
         for words in texts:
             new.update(words)
-        new = [w for w in new.difference(self) if len(w) <= self.longest]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        core = {w: _core(w) for w in new.difference(self) if len(w) <= self.longest}
+        marks = {w: w[len(x) :] for w, x in core.items() if len(x) < len(w)}
+        new = {*core.values(), *marks.values()}.difference(self)
+        plain = [w for w in new if w.decode("utf-8", "replace").isalpha()]
+        for at in range(0, len(plain), 64):
+            part = plain[at : at + 64]
+            (ids,) = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+            ids = np.array(ids.ids, "<u4")
+            cut = (4 * np.flatnonzero(self.final[ids]) + 4).tolist()
+            ids = ids.tobytes()
+            self.update(zip(part, [ids[i:j] for i, j in zip([0, *cut], cut)] if len(cut) == len(part) else self.encoded(part)))
+        plain = list(new.difference(plain))
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
             self.update(zip(part, self.encoded(part)))
+        for w, x in core.items():
+            self[w] = self[x] + self[marks[w]] if w in marks else self[x]
 
     def __missing__(self, word: bytes) -> bytes:
         return self.encoded([word])[0]
