@@ -121,10 +121,12 @@ class Stretches:
         for at in range(0, len(new), 2048):
             part = new[at : at + 2048]
             left = [x.ids for x in self.a.encode_batch_fast(part, add_special_tokens=False)]
-            # the piece model puts a space before what it gets; where the stretch has none, a line end keeps it apart
-            right = self.b.encode([x[1:] if x[0] == " " else "\n" + x for x in part], num_threads=1)
-            for x, a, b in zip(part, left, right):
-                self._add(x, a, b if x[0] == " " else b[2:])
+            # the piece model puts a space before what it gets, if that is not empty; where it must not, a line
+            # end stands between that space and the stretch, and their two tokens are left out
+            spaced = [x[0] == " " != x for x in part]
+            right = self.b.encode([x[1:] if s else "\n" + x for x, s in zip(part, spaced)], num_threads=1)
+            for x, s, a, b in zip(part, spaced, left, right):
+                self._add(x, a, b if s else b[2:])
 
     def _add(self, x: str, a: list[int], b: list[int]) -> None:
         self.number[x] = len(self.text)
