@@ -1,4 +1,4 @@
 """All registered queries of the trace library."""
 
-from . import intervals, reports, runtime, steps, tables  # noqa: F401
+from . import intervals, reports, runtime, spaces, steps, tables  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
