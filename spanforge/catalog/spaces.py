@@ -80,7 +80,7 @@ def spans(t):
 
 @query(
     "s3_lines",
-    "SELECT session, host, plane_id, plane, line_id, line, (min(started) - least) * 1000000 AS begin FROM filed JOIN (SELECT session, host, min(started) AS least FROM filed GROUP BY ALL) USING (session, host) GROUP BY ALL",
+    "SELECT session, host, plane_id, plane, line_id, line, (min(started) - least) * 1000000 AS begin FROM filed JOIN (SELECT session, host, min(started) AS least FROM filed GROUP BY ALL) USING (session, host) GROUP BY session, host, plane_id, plane, line_id, line, least",
     FILED,
 )
 def lines(t):

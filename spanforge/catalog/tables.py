@@ -303,6 +303,56 @@ def group_relations(t):
     return gr.group_relations(gr.group_spans(edges, roots), edges)
 
 
+_EVENTS = (
+    PARENTS
+    + ", "
+    + """linked AS (SELECT DISTINCT parent_seq AS u, seq AS v FROM parents WHERE parent_seq IS NOT NULL UNION
+  SELECT l.launch, e.seq FROM spans e JOIN (SELECT correlation_id, arg_max(seq, begin) AS launch FROM spans WHERE name = 'signup' GROUP BY ALL) l USING (correlation_id) WHERE name = 'purchase' AND l.launch <> e.seq),
+leveled AS (SELECT seq AS node, begin, CASE name WHEN 'signup' THEN 2 ELSE 1 END AS level FROM spans WHERE name IN ('signup', 'click')),
+below AS (SELECT l.node AS root, l.level, e.v AS node FROM leveled l JOIN linked e ON e.u = l.node UNION SELECT b.root, b.level, e.v FROM below b JOIN linked e ON e.u = b.node),
+free AS (SELECT *, row_number() OVER (ORDER BY level DESC, begin, node) AS place FROM leveled l WHERE NOT EXISTS (FROM below b WHERE b.node = l.node AND b.level = l.level AND b.root <> l.node)),
+reached AS (SELECT node, place FROM free UNION ALL SELECT b.node, f.place FROM below b JOIN free f ON f.node = b.root),
+placed AS (SELECT node, min(place) AS place FROM reached GROUP BY node),
+opened AS (SELECT f.node, place, row_number() OVER (ORDER BY place) - 1 AS group_id FROM free f JOIN placed USING (node, place)),
+grouped AS (SELECT p.node, o.group_id FROM placed p JOIN opened o USING (place))"""
+)
+
+
+def events(t):
+    """Groups of the spans: signups are roots above clicks; a purchase hangs below the last signup of its user."""
+    level = F.when(F.col("name") == "signup", 2).when(F.col("name") == "click", 1)
+    none = {c: F.lit(None).cast(k) for c, k in (("step", "bigint"), ("iteration", "bigint"), ("iter_num", "bigint"), ("graph_type", "string"))}
+    step = F.when(F.col("seq") % 5 == 0, F.col("seq") % 100)
+    spans = t.spans.select(F.col("seq").alias("node"), "plane_id", "begin", "dur", "name", level.alias("level"), step.alias("step_num"), (F.col("name") == "click").alias("implicit"), *(v.alias(k) for k, v in none.items()))
+    flow = jn.connect_launches(t.spans.where("name = 'signup'"), t.spans.where("name = 'purchase'"))
+    return gr.group_events(spans, ["plane_id"], [flow])
+
+
+@query("j21_group_events", "SELECT node, group_id FROM grouped", _EVENTS)
+def group_events(t):
+    return events(t)["groups"]
+
+
+@query(
+    "j21_group_events_relations",
+    "SELECT DISTINCT a.group_id AS parent_group, b.group_id AS child_group FROM linked JOIN grouped a ON a.node = u JOIN grouped b ON b.node = v WHERE a.group_id <> b.group_id",
+    _EVENTS,
+)
+def group_events_relations(t):
+    return events(t)["relations"]
+
+
+@query(
+    "j21_group_events_names",
+    """SELECT group_id, CASE WHEN name = 'click' THEN '' ELSE name || ' ' END || coalesce(step, group_id) AS name FROM
+  (SELECT o.group_id, s.name, (SELECT arg_min(v, (d, v)) FROM (SELECT d, seq % 100 AS v FROM above JOIN spans ON seq = top WHERE above.node = o.node AND seq % 5 = 0)) AS step
+   FROM opened o JOIN spans s ON s.seq = o.node)""",
+    _EVENTS + """, above AS (SELECT node, node AS top, 0 AS d FROM opened UNION SELECT a.node, e.u, a.d + 1 FROM above a JOIN linked e ON e.v = a.top WHERE a.d < 30)""",
+)
+def group_events_names(t):
+    return events(t)["names"]
+
+
 @query(
     "j22_is_eager",
     """SELECT node, min(is_func) = 0 AS eager FROM (SELECT *, min(d) OVER (PARTITION BY node) AS m FROM dist) WHERE d = m GROUP BY node""",
