@@ -523,6 +523,80 @@ def op_profile_by_scope(t):
     return mt.op_profile_by_scope(metrics(t))
 
 
+_TREE = """tm AS (SELECT *, concat(CAST(program_id AS VARCHAR), '/', CAST(symbol_id AS VARCHAR), '/', name) AS op, split_part(name, ' ', 1) AS dedup FROM metrics),
+raw AS (SELECT 0 AS depth, '' AS p, '' AS c, '' AS d, '' AS o, 'by_program' AS name, CAST(sum(self_time) AS BIGINT) AS time, 0 AS occurrences, NULL AS category, 'root' AS kind, sum(flops) AS flops FROM tm
+  UNION ALL SELECT 1, CAST(program_id AS VARCHAR), '', '', '', concat('p(', CAST(program_id AS VARCHAR), ')'), sum(self_time), 0, NULL, 'program', sum(flops) FROM tm GROUP BY program_id
+  UNION ALL SELECT 2, CAST(program_id AS VARCHAR), category, '', '', category, sum(time), sum(occurrences), category, 'category', sum(flops) FROM tm GROUP BY program_id, category
+  UNION ALL SELECT 3, CAST(program_id AS VARCHAR), category, dedup, '', dedup, sum(time), sum(occurrences), category, 'duplicates', sum(flops) FROM tm GROUP BY program_id, category, dedup
+  UNION ALL SELECT 4, CAST(program_id AS VARCHAR), category, dedup, op, name, sum(time), sum(occurrences), category, 'op', sum(flops) FROM tm GROUP BY program_id, category, dedup, op, name),
+parented AS (SELECT *, CASE depth WHEN 0 THEN [] WHEN 1 THEN ['r'] WHEN 2 THEN ['r', p] WHEN 3 THEN ['r', p, c] ELSE ['r', p, c, d] END AS parent,
+  CASE depth WHEN 0 THEN ['r'] WHEN 1 THEN ['r', p] WHEN 2 THEN ['r', p, c] WHEN 3 THEN ['r', p, c, d] ELSE ['r', p, c, d, o] END AS own FROM raw),
+placed AS (SELECT *, row_number() OVER (PARTITION BY depth, parent ORDER BY time DESC, name, o) AS rank, count(*) OVER (PARTITION BY depth, parent) AS siblings FROM parented),
+kept AS (SELECT * FROM placed WHERE depth <= 2 OR rank <= 3),
+counted AS (SELECT k.*, coalesce(n.n_children, 0) AS n_children, n.top FROM kept k LEFT JOIN (SELECT depth - 1 AS depth, parent AS own, max(siblings) AS n_children, arg_min(name, rank) AS top FROM placed GROUP BY depth, parent) n USING (depth, own)
+  WHERE depth < 4 OR EXISTS (FROM kept u WHERE u.depth = 3 AND u.own = k.parent)),
+tree AS (SELECT CASE WHEN kind = 'op' AND siblings = 1 THEN 3 ELSE depth END AS depth, kind, category, CAST(time AS BIGINT) AS time, CAST(occurrences AS BIGINT) AS occurrences, CAST(flops AS BIGINT) AS flops, n_children,
+  CASE WHEN kind = 'duplicates' THEN top || ' and its duplicate(s)' ELSE name END AS name FROM counted WHERE NOT (kind = 'duplicates' AND n_children = 1))"""
+
+
+def tree(t, by="program", k=3):
+    from spanforge.operators.optree import op_tree
+
+    x = metrics(t).withColumns({"program": F.lit("p"), "dedup_name": F.substring_index("name", " ", 1)})
+    return op_tree(x, by, k)
+
+
+@query("a15_op_tree", "SELECT depth, name, kind, category, time, flops, occurrences, n_children FROM tree", METRICS + ", " + _TREE)
+def op_tree_by_program(t):
+    """The three largest nodes below each node from the third level on, duplicates folded, lone ones raised."""
+    return tree(t).select("depth", "name", "kind", "category", "time", "flops", "occurrences", "n_children")
+
+
+_FLAT = """leaves AS (SELECT concat_ws('/', 'by_program', concat('p(', p, ')'), category, CASE WHEN siblings > 1 THEN (SELECT top FROM counted u WHERE u.depth = 3 AND u.own = k.parent) || ' and its duplicate(s)' END, name) AS name,
+  category, CAST(time AS BIGINT) AS time, greatest(CAST(occurrences AS BIGINT), 1) AS occurrences, CAST(flops AS BIGINT) AS flops FROM counted k WHERE kind = 'op' AND time > 0)"""
+
+
+@query("t6_flat", "SELECT * FROM leaves ORDER BY time DESC, name LIMIT 40", ", ".join((METRICS, _TREE, _FLAT)))
+def flat_view(t):
+    from spanforge.operators.optree import op_profile_views
+
+    return op_profile_views(tree(t), "flat", top_n=40).drop("bytes")
+
+
+@query(
+    "t6_category",
+    """SELECT category, CAST(sum(time) AS BIGINT) AS time, CAST(sum(flops) AS BIGINT) AS flops, count(*) AS ops, string_split(arg_min(name, row(-time, name)), '/')[-1] AS top_op,
+  round(sum(time) / (SELECT max(time) FROM tree WHERE depth = 0), 4) AS fraction FROM leaves GROUP BY category""",
+    ", ".join((METRICS, _TREE, _FLAT)),
+)
+def category_view(t):
+    from spanforge.operators.optree import op_profile_views
+
+    return op_profile_views(tree(t), "category").drop("bytes")
+
+
+@query(
+    "t6_tree",
+    "SELECT depth, name, time FROM tree t WHERE depth <= 2 AND time > 0",
+    METRICS + ", " + _TREE,
+)
+def tree_view(t):
+    from spanforge.operators.optree import op_profile_views
+
+    return op_profile_views(tree(t), "tree", path="by_program", depth=3).select("depth", "name", "time")
+
+
+@query(
+    "a15_op_tree_provenance",
+    """SELECT depth, names, CAST(sum(self_time) AS BIGINT) AS time FROM (SELECT self_time, unnest(range(2, 2 + len(parts))) AS depth, ['by_provenance', concat('p(', CAST(program_id AS VARCHAR), ')')] || parts AS parts FROM
+  (SELECT *, string_split(replace(provenance, ':Op', ''), '/') AS parts FROM metrics)) JOIN LATERAL (SELECT parts[:depth + 1] AS names) ON true GROUP BY ALL""",
+    METRICS,
+)
+def op_tree_by_provenance(t):
+    """Scopes of the provenance below their program, all levels."""
+    return tree(t, "provenance", 100).where("kind = 'scope'").select("depth", "names", "time")
+
+
 @query(
     "a16_time_by_class",
     "SELECT CASE WHEN regexp_matches(lower(name) || ' ' || lower(category), 'copy') THEN 'HBM' ELSE 'compute' END AS class, CAST(sum(self_time) AS BIGINT) AS time FROM metrics GROUP BY 1",
