@@ -28,6 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,28 +38,15 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 
 #: ASCII marks that stand together in one token, if letters or digits are before them. The apostrophe may begin a token of letters.
-_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
-
-
-def _core(word: bytes) -> bytes:
-    """The word without marks at its end, in small letters where that changes no token."""
-    if b"<" in word:  # may name a special token
-        return word
-    head = word.rstrip(_MARKS)
-    if len(head) < len(word) and not head[-1:].isalnum():
-        last = head.decode("utf-8", "replace")[-1:]
-        if not ("\xc0" <= last <= "\u024f" and last.isalpha()):  # letters in every version of Unicode
-            return word
-    return head.lower() if head.isascii() else head
+_MARKS = "".join(chr(b) for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
+#: Letters that normalization leaves as they are, and letters and digits of every version of Unicode.
+_PLAIN, _ENDING = "^[a-zß-öø-ÿ]+$", "[0-9A-Za-zÀ-ÖØ-öø-ɏ]$"
 
 
 class WordIds(dict):
     """Little-endian 32-bit ids of each word, cached; emptied when it reaches its bound. Words of more than
-    ``longest`` bytes are encoded each time.
-
-    A new word is taken apart first: marks after a letter or digit have tokens of their own, and capitals of ASCII
-    words count as small letters, as the tokenizer drops case. What is left is encoded many words at a time; the ids
-    of words of letters are told apart by the tokens that end a word, and encoded singly if their number is off.
+    ``longest`` bytes are encoded each time. New words of small letters are encoded many at a time and their ids told
+    apart by the tokens that end a word; they are encoded singly if the number of those is off.
     """
 
     def __init__(self, path: str, bound: int = 800_000, longest: int = 64):
@@ -67,6 +55,8 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.bound, self.longest = Tokenizer.from_file(path), bound, longest
+        self.bare = Tokenizer.from_file(path)  # for words on which normalization does nothing
+        self.bare.normalizer = None
         size = self.tokenizer.get_vocab_size()
         self.final = np.array([x.endswith("</w>") for x in map(self.tokenizer.id_to_token, range(size))])
 
@@ -74,50 +64,83 @@ class WordIds(dict):
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Makes the short words of texts known."""
+    def learn(self, words: list[bytes]) -> None:
+        """Makes the short ones of the words known."""
         if len(self) >= self.bound:
             self.clear()
-        new = set()
-        for words in texts:
-            new.update(words)
-        core = {w: _core(w) for w in new.difference(self) if len(w) <= self.longest}
-        marks = {w: w[len(x) :] for w, x in core.items() if len(x) < len(w)}
-        new = {*core.values(), *marks.values()}.difference(self)
-        plain = [w for w in new if w.decode("utf-8", "replace").isalpha()]
-        for at in range(0, len(plain), 64):
-            part = plain[at : at + 64]
-            (ids,) = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+        new = [w for w in words if w not in self and len(w) <= self.longest]
+        alike = pc.match_substring_regex(pa.array(new, pa.binary()).view(pa.string()), _PLAIN).to_pylist()
+        plain = [w for w, x in zip(new, alike) if x]
+        for at in range(0, len(plain), 256):
+            part = plain[at : at + 256]
+            (ids,) = self.bare.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
             ids = np.array(ids.ids, "<u4")
             cut = (4 * np.flatnonzero(self.final[ids]) + 4).tolist()
             ids = ids.tobytes()
             self.update(zip(part, [ids[i:j] for i, j in zip([0, *cut], cut)] if len(cut) == len(part) else self.encoded(part)))
-        plain = list(new.difference(plain))
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
+        other = [w for w, x in zip(new, alike) if not x]
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
             self.update(zip(part, self.encoded(part)))
-        for w, x in core.items():
-            self[w] = self[x] + self[marks[w]] if w in marks else self[x]
 
     def __missing__(self, word: bytes) -> bytes:
         return self.encoded([word])[0]
 
+    def table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one after the other, number of ids of each)."""
+        words = raw(words)
+        self.learn(words)
+        found = [self[w] for w in words]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+
+def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(core, marks) of words: the marks at the end, where letters or digits are before them, and the rest, in small letters where it is
+    ASCII. A word that may name a special token stays whole."""
+    head = pc.ascii_rtrim(words, characters=_MARKS)
+    whole = pc.match_substring(words, "<")
+    cut = pc.and_(pc.less(pc.binary_length(head), pc.binary_length(words)), pc.and_not(pc.match_substring_regex(head, _ENDING), whole))
+    core = pc.if_else(cut, head, words)
+    core = pc.if_else(pc.and_not(pc.string_is_ascii(core), whole), pc.ascii_lower(core), core)
+    # the marks are what is left of a cut word when all before its last letter or digit goes
+    return core, pc.if_else(cut, pc.replace_substring_regex(words, "^.*[^" + _escaped(_MARKS) + "]", ""), "")
+
+
+def _escaped(characters: str) -> str:
+    return "".join("\\" + c for c in characters)
+
+
+def token_ids(texts: pa.Array, known: WordIds, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts with their end marks, where each text begins and the last one ends): words are told apart, taken
+    apart and numbered in the columns, so that only different ones become objects."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    core, marks = (x.dictionary_encode() for x in _parts(coded.dictionary))
+    (core_ids, core_size), (mark_ids, mark_size) = known.table(core.dictionary), known.table(marks.dictionary)
+    ids, size = np.append(core_ids, mark_ids), np.append(core_size, mark_size)
+    begin = np.cumsum(size) - size
+    pair = np.column_stack([core.indices.to_numpy(), marks.indices.to_numpy() + len(core_size)])
+    index = pair[coded.indices.to_numpy()].ravel()  # core and marks of each word
+    n = size[index]
+    total = np.append(0, np.cumsum(n))
+    at = np.arange(total[-1]) + np.repeat(begin[index] - total[:-1], n)
+    ends = total[2 * np.cumsum(pc.list_value_length(lists).to_numpy())] if len(texts) else np.zeros(0, np.int64)
+    return np.insert(ids[at], ends, end), np.append(0, ends + np.arange(1, len(texts) + 1))
+
 
 def pieces(docs: DataFrame, path: str, size: int, end: int) -> DataFrame:
     """PIECES of docs(doc_id, text binary)."""
-    mark = np.array([end], "<u4").tobytes()
 
     def run(batches):
         known = WordIds(path)
-        for part in chunks(batches):
-            texts = [(t or b"").split() for t in raw(part.column("text"))]
-            known.learn(texts)
+        for part in chunks(batches, limit=16 << 20):
+            ids, limits = token_ids(part.column("text"), known, end)
+            data, limits = memoryview(ids.astype("<u4").tobytes()), limits.tolist()
             rows, of = [], []
-            for i, words in enumerate(texts):
-                ids = b"".join(map(known.__getitem__, words)) + mark
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    cut = ids[at : at + 4 * size]
-                    rows.append((k, at // 4, len(cut) // 4, zlib.crc32(cut)))
+            for i, (first, last) in enumerate(zip(limits, limits[1:])):
+                for k, at in enumerate(range(first, last, size)):
+                    to = min(at + size, last)
+                    rows.append((k, at - first, to - at, zlib.crc32(data[4 * at : 4 * to])))
                     of.append(i)
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), *columns], names=[c.split()[0] for c in PIECES.split(", ")])

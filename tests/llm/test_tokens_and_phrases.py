@@ -102,8 +102,14 @@ def test_phrases_of_nothing(docs):
 def test_galloping():
     rng = random.Random(1)
     for _ in range(300):
-        a, b = (sorted(rng.sample(range(60), rng.randrange(0, 40))) for _ in range(2))
-        assert [(a[i], b[j]) for i, j in alignment.common(a, b)] == [(x, x) for x in sorted(set(a) & set(b))]
+        a, b = (np.array(sorted({*rng.sample(range(1, 60), rng.randrange(0, 40)), 99})) for _ in range(2))
+        assert alignment.gallop(a, b, np.zeros(len(a), int)).tolist() == np.searchsorted(b, a).tolist()
+        common, first, last = alignment.align(a, b, np.zeros(len(a), int), np.zeros(len(b), int))
+        assert a[common].tolist() == sorted(set(a) & set(b))
+        edges = [0, *a.tolist()]
+        for k, (i, j) in enumerate(zip(edges, edges[1:])):
+            overlap = [m for m, (x, y) in enumerate(zip([0, *b.tolist()], b.tolist())) if x < j and i < y]
+            assert overlap == list(range(first[k], last[k] + 1))
 
 
 def plain_alignment(rows):
@@ -124,7 +130,7 @@ def plain_alignment(rows):
             continue
         at_x, at_y = ([k for k, p in enumerate(parts) for _ in p] for parts in (px, py))
         links = sorted(set(zip(at_x, at_y)))
-        ex, ey = ({e: k for k, e in enumerate(alignment.ends(p))} for p in (px, py))
+        ex, ey = ({int(e): k for k, e in enumerate(np.cumsum([len(x) for x in p]))} for p in (px, py))
         groups, p, q = [], 0, 0
         for e in sorted(ex.keys() & ey.keys()):
             groups.append(",".join(map(str, x[p : ex[e] + 1])) + "|" + ",".join(map(str, y[q : ey[e] + 1])))
@@ -217,6 +223,6 @@ def test_word_ids_of_any_text(seed):
     for _ in range(300):
         text = " ".join("".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randrange(1, 6))) for _ in range(30))
         words = text.encode().split()
-        known.learn([words])
+        known.learn(words)
         got = np.frombuffer(b"".join(known[w] for w in words), "<u4").tolist()
         assert got == known.tokenizer.encode(text, add_special_tokens=False).ids
