@@ -328,6 +328,13 @@ def timeline_levels(t):
     return tl.timeline_levels(t.spans, ["plane_id"], 1_000_000).select("plane_id", "seq", "level")
 
 
+@query("w15_timeline_levels_with_flows")
+def timeline_levels_with_flows(t):
+    """Users' spans as flows that a purchase ends, on the tracks of the planes; compared with a sequential version in the tests."""
+    spans = t.spans.select("plane_id", "begin", "dur", "seq", F.when(F.col("seq") % 2 == 0, F.col("correlation_id")).alias("flow"), (F.col("name") == "purchase").alias("flow_end"), (F.col("name") == "error").alias("unbound"))
+    return tl.timeline_levels_with_flows(spans, ["plane_id"], 1_000_000)
+
+
 @query("w16_timeline_view", "SELECT seq FROM spans WHERE begin <= 900000000000 AND begin + dur >= 864000000000")
 def timeline_view(t):
     leveled = t.spans.withColumn("level", F.lit(0))

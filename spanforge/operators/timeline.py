@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanforge.operators.filters import filter_overlapping
+from spanforge.plans.work import checkpointed
 
 #: Resolutions of the zoom levels, from 1 s to 1 ps, in ps (fixed values: powers of ten).
 LEVELS = tuple(10 ** (12 - k) for k in range(13))
@@ -55,6 +56,127 @@ def timeline_levels(spans: DataFrame, by: Sequence[str], tick_ps: int = 1) -> Da
     return cut.groupBy(*by, "_stretch").applyInPandas(run, schema)
 
 
+class _Track:
+    """What is drawn on a track at one resolution."""
+
+    def __init__(self, resolution: int):
+        self.resolution, self.ends, self.counter, self.flow = resolution, [], None, None
+
+    def depth(self, begin: int) -> int:
+        depth = 0
+        while depth < len(self.ends) and self.ends[depth] > begin:
+            depth += 1
+        return depth
+
+    def shows(self, begin: int, dur: int, unbound: bool) -> bool:
+        if unbound:
+            return self.counter is None or begin - self.counter >= self.resolution
+        depth = self.depth(begin)
+        return dur >= self.resolution or depth == len(self.ends) or begin - self.ends[depth] >= self.resolution
+
+    def draw(self, begin: int, dur: int, unbound: bool, flow: bool = False) -> None:
+        if unbound:
+            self.counter = begin
+            return
+        depth, end = self.depth(begin), begin + dur
+        self.ends[depth:] = [min(end, self.ends[depth - 1]) if depth else end]
+        if flow:
+            self.flow = end
+
+
+def flow_levels(rows, resolutions: Sequence[int]) -> list[int]:
+    """The first resolution (by number) at which each event of rows(begin, dur, unbound, given) of one track, all with a flow, is drawn: by its
+    length and distance, or because its flow is. given is the number from which on the flow is drawn, None for the event that
+    decides this: its flow is drawn too if the last one on the track ended long enough before its end."""
+    tracks, out = [_Track(r) for r in resolutions], []
+    for begin, dur, unbound, given in rows:
+        level = 0
+        for level, track in enumerate(tracks):  # noqa: B007
+            show = track.shows(begin, dur, unbound)
+            if not show and not unbound:
+                show = track.flow is None or begin + dur - track.flow >= track.resolution if given is None else level >= given
+            if show:
+                break
+        else:
+            level = len(tracks)
+        for track in tracks[level:]:
+            track.draw(begin, dur, unbound, True)
+        out.append(level)
+    return out
+
+
+def track_levels(rows, resolutions: Sequence[int]) -> list[int]:
+    """The first resolution at which each event of rows(begin, dur, unbound, level or None) of one track is drawn, where those
+    with a level, which their flow has given them, are drawn from there on in any case."""
+    out = [level for *_, level in rows]
+    for k, resolution in enumerate(resolutions):
+        track = _Track(resolution)
+        for i, (begin, dur, unbound, _) in enumerate(rows):
+            if out[i] is not None and out[i] <= k:
+                track.draw(begin, dur, unbound)
+            elif out[i] is None and track.shows(begin, dur, unbound):
+                out[i] = k
+                track.draw(begin, dur, unbound)
+    return [len(resolutions) if x is None else x for x in out]
+
+
+def _stretches(spans: DataFrame, by: Sequence[str], gap: int) -> DataFrame:
+    w = W.partitionBy(*by).orderBy("begin", F.col("dur").desc(), "seq")
+    ended = F.max(F.col("begin") + F.col("dur")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    cut = spans.withColumn("_cut", F.when(F.col("begin") - ended >= gap, 1).otherwise(0))
+    return cut.withColumn("_stretch", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_cut")
+
+
+def timeline_levels_with_flows(spans: DataFrame, by: Sequence[str], tick_ps: int = 1) -> DataFrame:
+    """W15 with flows: spans(by..., begin, dur, seq, flow or null, flow_end, unbound) with level. A flow is drawn as a whole, from the level at which its
+    first event is; seq orders events of one time over all tracks, flow_end closes a flow, so that the next event with its number decides
+    anew; unbound events (counters, asynchronous ones) are points and decide by themselves.
+
+    What is drawn of a flow is decided on the track of its first event, which holds parts of other flows. These decisions point back
+    in time only, so they are found round by round: every track is passed with the decisions of the round before, until none changes; the
+    rounds are as many as decisions wait for each other. No task sees more than a track's stretch without a gap of the coarsest resolution."""
+    resolutions = [max(1, r // tick_ps) for r in LEVELS][:-1]
+    last = len(resolutions)
+    by_length = F.least(*(F.when(F.col("dur") >= r, k).otherwise(last) for k, r in enumerate(resolutions)))
+    flowing = spans.where("flow is not null").select(*by, "begin", "dur", "seq", "flow", F.coalesce("flow_end", F.lit(False)).alias("flow_end"), F.coalesce("unbound", F.lit(False)).alias("unbound"))
+    order = ["begin", F.col("dur").desc(), "seq"]
+    bound = F.col("flow_end") & ~F.col("unbound")
+    ended = F.coalesce(F.sum(bound.cast("int")).over(W.partitionBy("flow").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = flowing.withColumn("_turn", F.when(~F.col("unbound"), ended))
+    rows = rows.withColumn("_first", F.col("_turn").isNotNull() & (F.row_number().over(W.partitionBy("flow", "_turn").orderBy(*order)) == 1))
+    rows = rows.withColumn("_opens", F.row_number().over(W.partitionBy("flow").orderBy(*order)) == 1)
+    rows = checkpointed(_stretches(rows, by, resolutions[0]))
+    decided = rows.where("_first").select("flow", "_turn", by_length.alias("_given"))
+    schema = rows.withColumn("level", F.lit(0)).schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["begin", "dur", "seq"], ascending=[True, False, True], ignore_index=True)
+        given = [None if first or pd.isna(g) else int(g) for first, g in zip(pdf["_first"], pdf["_given"])]
+        level = flow_levels(zip(pdf["begin"].tolist(), pdf["dur"].tolist(), pdf["unbound"].tolist(), given), resolutions)
+        return pdf.drop(columns="_given").assign(level=pd.Series(level, dtype="int32"))
+
+    while True:
+        passed = checkpointed(rows.join(decided, ["flow", "_turn"], "left").groupBy(*by, "_stretch").applyInPandas(run, schema))
+        now = passed.where("_first").select("flow", "_turn", F.col("level").alias("_given"))
+        changed = now.join(decided.withColumnRenamed("_given", "_before"), ["flow", "_turn"]).where("_given <> _before")
+        decided = now
+        if changed.isEmpty():
+            break
+    whole = passed.where("_opens").select("flow", F.col("level").alias("_whole"))
+    leveled = spans.join(whole, "flow", "left").withColumn("_flow_level", F.when(F.col("flow").isNotNull(), F.least("_whole", by_length))).drop("_whole")
+    schema = spans.withColumn("level", F.lit(0)).schema
+    names = spans.columns
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["begin", "dur", "seq"], ascending=[True, False, True], ignore_index=True)
+        given = [None if pd.isna(x) else int(x) for x in pdf["_flow_level"]]
+        unbound = [bool(x) and not pd.isna(x) for x in pdf["unbound"]]
+        level = track_levels(list(zip(pdf["begin"].tolist(), pdf["dur"].tolist(), unbound, given)), resolutions)
+        return pdf[names].assign(level=pd.Series(level, dtype="int32"))
+
+    return _stretches(leveled, by, resolutions[0]).groupBy(*by, "_stretch").applyInPandas(finish, schema)
+
+
 def timeline_view(leveled: DataFrame, lo: int, hi: int, level: int, threshold: int = 500_000) -> DataFrame:
     """The spans that touch [lo, hi], down to a zoom level; everything below a threshold
     of rows."""
