@@ -136,3 +136,30 @@ def connect_flows(t):
 def connect_launches(t):
     launches, executes = sp.launches(spans_with_stats(t).withColumn("seq", -sp.stat_int("delta")))
     return jn.connect_launches(launches, executes)
+
+
+_NOTE = "CASE WHEN seq % 7 = 0 THEN repeat(props, 8) END"
+
+
+def noted(t):
+    """Spans whose long_name is a long text, or their name only."""
+    spans, meta = filed(t)
+    note = F.when(F.col("seq") % 7 == 0, F.repeat(F.col("stats")["note"]["text"], 8)).otherwise(F.col("name"))
+    spans = spans.withColumn("stats", F.map_concat("stats", F.create_map(F.lit("long_name"), _value("text", note))))
+    found = sp.tables(checkpointed(sp.decode_tables(sp.encode_spaces(spans, meta, origin_ns=ORIGIN_US * 1000))))
+    return sp.with_stats(found["spans"], found["event_meta"])
+
+
+@query("r21_frame_table", f"SELECT DISTINCT {_NOTE} AS text FROM filed WHERE length({_NOTE}) > 16", FILED)
+def frame_table(t):
+    """Each long text once; numbers follow an order of hashes."""
+    return sp.frame_table(noted(t)).select("text")
+
+
+@query("r21_event_frames", f"SELECT seq, CASE WHEN length({_NOTE}) > 16 THEN {_NOTE} END AS text FROM filed", FILED)
+def event_frames(t):
+    """The recorded frame of each event."""
+    spans = checkpointed(noted(t))
+    frames = checkpointed(sp.frame_table(spans))
+    found = sp.with_frame(spans, frames).select((-sp.stat_int("delta")).alias("seq"), "frame")
+    return found.join(frames.select("frame", "text"), "frame", "left").select("seq", "text")

@@ -10,6 +10,7 @@ from spanforge.operators import grouping as gr
 from spanforge.operators import intervals as iv
 from spanforge.operators import joins as jn
 from spanforge.operators import metrics as mt
+from spanforge.sources.adapters import DAY
 
 from .intervals import PARENTS, islands
 from .registry import query
@@ -265,6 +266,21 @@ def neighborhood(t):
     return jn.neighborhood(t.hlo_edges, "p1", 2)
 
 
+_CHAIN = """chain AS (SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey + 1000000 FROM part WHERE p_size > 40),
+named AS (SELECT CASE WHEN src % 3 = 0 THEN 'get-tuple-element.' ELSE 'op.' END || src AS src, CASE WHEN dst % 3 = 0 THEN 'get-tuple-element.' ELSE 'op.' END || dst AS dst FROM chain),
+ways AS (SELECT src AS a, dst AS b FROM named WHERE src LIKE 'op.%' UNION ALL SELECT a, dst FROM ways JOIN named ON src = b WHERE b LIKE 'get-%')"""
+
+
+@query("j18_adjacent", "SELECT a AS src, b AS dst FROM ways WHERE b LIKE 'op.%'", _CHAIN)
+def adjacent(t):
+    """Parts as a binary tree of ops, every third one only passed through."""
+    k = F.col("p_partkey")
+    part = t.table("part")
+    chain = part.where("p_partkey > 1").select(F.floor(k / 2).alias("src"), k.alias("dst")).unionByName(part.where("p_size > 40").select(k.alias("src"), (k + 1_000_000).alias("dst")))
+    name = lambda x: F.concat(F.when(F.col(x) % 3 == 0, "get-tuple-element.").otherwise("op."), F.col(x).cast("string"))
+    return jn.adjacent(chain.select(name("src").alias("src"), name("dst").alias("dst")), lambda x: x.startswith("get-tuple-element"))
+
+
 @query(
     "j20_with_batching_params",
     """SELECT request_id, p.value FROM requests r JOIN (SELECT DISTINCT o_orderpriority AS model_name, length(o_orderpriority) AS value FROM orders) p ON r.model = p.model_name""",
@@ -695,6 +711,45 @@ def first_events(t):
     return mt.first_events(t.spans, 1000).select("seq")
 
 
+@query("t5_first_events_at_one_time", f"SELECT seq, begin FROM (SELECT seq, begin // {DAY} AS begin FROM spans) ORDER BY begin, seq LIMIT 4321")
+def first_events_at_one_time(t):
+    """Times of whole days, so that the quota at the last one matters."""
+    return mt.first_events(t.spans.withColumn("begin", F.expr(f"begin DIV {DAY}")), 4321).select("seq", "begin")
+
+
+_KIND = "CASE name WHEN 'signup' THEN 4 WHEN 'purchase' THEN 3 WHEN 'view' THEN 2 WHEN 'click' THEN 1 END"
+_CLIPPED = f"""marks AS (SELECT plane_id, step, true AS device, begin, dur FROM steps WHERE step % 3 <> 0 UNION ALL SELECT plane_id, step, true, begin, dur // 2 FROM steps WHERE step % 3 = 1
+  UNION ALL SELECT plane_id, step, false, begin + 1000000 * (step % 2), dur + 5000000 * (step % 2) FROM steps),
+longest AS (SELECT plane_id, step, device, arg_max(begin, row(dur, -begin)) AS begin, max(dur) AS dur FROM marks GROUP BY ALL),
+times AS (SELECT h.plane_id, h.step, CASE WHEN d.begin IS NULL OR h.begin <= d.begin AND d.begin + d.dur <= h.begin + h.dur THEN h.begin ELSE d.begin END AS begin,
+  CASE WHEN d.begin IS NULL OR h.begin <= d.begin AND d.begin + d.dur <= h.begin + h.dur THEN h.dur ELSE d.dur END AS dur
+  FROM (FROM longest WHERE NOT device) h LEFT JOIN (FROM longest WHERE device) d ON d.plane_id = h.plane_id AND d.step = h.step),
+cut AS (SELECT t.plane_id, t.step, {_KIND} AS kind, greatest(s.begin, t.begin) AS b, least(s.begin + s.dur, t.begin + t.dur) AS e FROM spans s JOIN times t ON t.plane_id = s.plane_id
+  AND s.begin < t.begin + t.dur AND t.begin < s.begin + s.dur WHERE s.name <> 'error'),
+moments AS (SELECT plane_id, step, t, lead(t) OVER (PARTITION BY plane_id, step ORDER BY t) AS u FROM (SELECT plane_id, step, b AS t FROM cut WHERE b < e UNION SELECT plane_id, step, e FROM cut WHERE b < e)),
+top AS (SELECT m.plane_id, m.step, u - t AS len, max(kind) AS kind FROM moments m JOIN cut c ON c.plane_id = m.plane_id AND c.step = m.step AND b <= t AND u <= e GROUP BY ALL, t, u),
+known AS (SELECT plane_id, step, kind, CAST(sum(len) AS BIGINT) AS time FROM top GROUP BY ALL),
+good AS (SELECT plane_id, step, CAST(sum(time) AS BIGINT) AS covered FROM known GROUP BY ALL HAVING bool_or(kind IN (1, 4)))"""
+
+
+@query(
+    "a13_step_kinds",
+    """SELECT plane_id, step, CAST(kind AS INTEGER) AS kind, time FROM known JOIN good USING (plane_id, step) UNION ALL SELECT plane_id, step, 0, dur - covered FROM times JOIN good USING (plane_id, step) WHERE dur > covered""",
+    _CLIPPED.replace("GROUP BY ALL, t, u", "GROUP BY m.plane_id, m.step, t, u"),
+)
+def step_kinds(t):
+    """Spans cut at the times of steps, by the longest markers of device and host."""
+    s = t.steps.withColumns({"odd": F.col("step") % 2, "third": F.col("step") % 3})
+    some = lambda df, device, begin, dur: df.select("plane_id", "step", F.lit(device).alias("device"), begin.alias("begin"), dur.alias("dur"))
+    begin, dur = F.col("begin"), F.col("dur")
+    marks = some(s.where("third <> 0"), True, begin, dur).unionByName(some(s.where("third = 1"), True, begin, F.expr("dur DIV 2")))
+    marks = marks.unionByName(some(s, False, begin + 1_000_000 * F.col("odd"), dur + 5_000_000 * F.col("odd")))
+    times = mt.step_times(marks, ["plane_id"])
+    kind = F.when(F.col("name") == "signup", 4).when(F.col("name") == "purchase", 3).when(F.col("name") == "view", 2).when(F.col("name") == "click", 1)
+    cut = mt.clip_to_steps(t.spans.select("plane_id", "begin", "dur", kind.alias("kind")).where("kind is not null"), times, ["plane_id"], DAY)
+    return mt.step_kinds(cut, times, ["plane_id"], 4, [1, 4])
+
+
 @query("t6_op_profile_view", "SELECT program_id, category, self_time FROM profile WHERE level = 2 ORDER BY self_time DESC, program_id, category LIMIT 25", _PROFILE)
 def op_profile_view(t):
     return mt.op_profile_view(mt.op_profile(metrics(t)), 2, 25).select("program_id", "category", "self_time")
@@ -715,3 +770,30 @@ def profile_summary(t):
 def capped_scan(t):
     df, more = mt.capped_scan(t.spans, 5000)
     return df.agg(F.count("*").alias("n"), F.lit(more).alias("truncated"))
+
+
+_FLOWS = """f AS (SELECT *, CASE WHEN seq % 2 = 0 THEN correlation_id END AS flow, CASE name WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'end' ELSE 'mid' END AS entry, name = 'view' AS unbound,
+  CASE WHEN seq % 4 = 0 THEN 'tf' END AS cat, CASE WHEN seq % 5 = 0 THEN seq % 100 END AS g FROM spans)"""
+
+
+@query(
+    "s8_trace_rows",
+    """SELECT 'M' AS ph, plane_id AS pid, NULL AS tid, 'process_name' AS name, plane AS arg_name, NULL AS arg_sort_index, NULL AS arg_uid, NULL AS arg_group_id, NULL AS ts, NULL AS dur, NULL AS bind_id, NULL AS cat, NULL AS flow_in, NULL AS flow_out, NULL AS id FROM f GROUP BY plane_id, plane
+  UNION ALL SELECT 'M', plane_id, NULL, 'process_sort_index', NULL, plane_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f GROUP BY plane_id
+  UNION ALL SELECT 'M', plane_id, line_id, 'thread_name', line, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f GROUP BY plane_id, line_id, line
+  UNION ALL SELECT 'M', plane_id, line_id, 'thread_sort_index', NULL, line_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f GROUP BY plane_id, line_id
+  UNION ALL SELECT 'X', plane_id, line_id, name, NULL, NULL, seq, g, begin / 2.0, greatest(dur, 1) / 2.0, flow, CASE WHEN flow IS NOT NULL THEN cat END, CASE WHEN flow IS NOT NULL AND entry <> 'start' THEN true END, CASE WHEN flow IS NOT NULL AND entry <> 'end' THEN true END, NULL FROM f WHERE NOT unbound
+  UNION ALL SELECT CASE WHEN entry = 'end' THEN 'e' ELSE 'b' END, plane_id, NULL, name, NULL, NULL, seq, g, begin / 2.0, NULL, NULL, coalesce(cat, ''), NULL, NULL, flow FROM f WHERE unbound AND flow IS NOT NULL
+  UNION ALL SELECT 'e', plane_id, NULL, name, NULL, NULL, NULL, g, (begin + dur) / 2.0, NULL, NULL, coalesce(cat, ''), NULL, NULL, flow FROM f WHERE unbound AND flow IS NOT NULL AND entry = 'mid'""",
+    _FLOWS,
+)
+def trace_rows(t):
+    """All row kinds and fields of a trace: names of tracks, spans with flows, asynchronous pairs."""
+    from spanforge.sources.sinks import trace_rows
+
+    seq = F.col("seq")
+    entry = F.when(F.col("name") == "signup", "start").when(F.col("name") == "purchase", "end").otherwise("mid")
+    spans = t.spans.withColumns({
+        "flow": F.when(seq % 2 == 0, F.col("correlation_id")), "flow_entry": entry, "unbound": F.col("name") == "view", "category": F.when(seq % 4 == 0, "tf"), "group_id": F.when(seq % 5 == 0, seq % 100),
+    })
+    return trace_rows(spans, 2.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,3 +130,19 @@ def union_hosts(parts: Sequence[DataFrame], core: str = "core") -> DataFrame:
         part = part.withColumn(core, F.lit(1000 * k).cast("bigint") + F.col(core))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+def adjacent(edges: DataFrame, through: Callable[[Column], Column]) -> DataFrame:
+    """edges(src, dst) between the ops that are not passed through (a condition on an op's name, such as that of get-tuple-element
+    ops), one for every way whose inner ops all are. Chains are followed by pointer jumping: each round doubles the length of what every op knows above
+    it, so rounds grow with the logarithm of the longest chain."""
+    passed = lambda name: through(F.col(name))
+    pairs = edges.where(passed("dst")).select(F.col("dst").alias("op"), F.col("src").alias("above"))
+    pairs = checkpointed(pairs.withColumn("_open", passed("above")))
+    while not pairs.where("_open").isEmpty():
+        jump = pairs.where("_open").select("op", F.col("above").alias("_mid")).join(pairs.select(F.col("op").alias("_mid"), "above", "_open"), "_mid").drop("_mid")
+        pairs = checkpointed(pairs.where("not _open").unionByName(jump))
+    ends = edges.where(~passed("dst"))
+    direct = ends.where(~passed("src")).select("src", "dst")
+    return direct.unionByName(ends.where(passed("src")).join(pairs.select(F.col("op").alias("src"), "above"), "src").select(F.col("above").alias("src"), "dst"))
+

@@ -140,6 +140,39 @@ def step_breakdown(events: DataFrame, steps: DataFrame, by: Sequence[str], categ
     return parts.unionByName(idle)
 
 
+def step_times(markers: DataFrame, by: Sequence[str]) -> DataFrame:
+    """markers(by..., step, device, begin, dur) -> (by..., step, begin, dur): the longest device marker of a step, or the longest host marker where
+    there is no device marker or the host's encloses it."""
+    longest = lambda side: F.max_by(F.struct("begin", "dur"), F.when(side, F.struct("dur", (-F.col("begin")).alias("b"))))
+    per = markers.groupBy(*by, "step").agg(longest(F.col("device")).alias("d"), longest(~F.col("device")).alias("h"))
+    end = lambda x: F.col(f"{x}.begin") + F.col(f"{x}.dur")
+    encloses = (F.col("h.begin") <= F.col("d.begin")) & (end("d") <= end("h"))
+    chosen = F.when(F.col("d").isNull() | encloses, F.col("h")).otherwise(F.col("d"))
+    return per.select(*by, "step", chosen.alias("t")).select(*by, "step", "t.*")
+
+
+def clip_to_steps(spans: DataFrame, steps: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+    """Spans cut at the bounds of steps(by..., step, begin, dur), one row for each step they cross."""
+    from spanforge.operators.intervals import overlap_join
+
+    begin, end = F.greatest("begin", "r_begin"), F.least(F.col("begin") + F.col("dur"), F.col("r_begin") + F.col("r_dur"))
+    pairs = overlap_join(spans, steps.select(*by, "step", "begin", "dur"), by, width).withColumn("step", F.col("r_step"))
+    out = pairs.withColumns({"begin": begin, "dur": end - begin}).where("dur > 0")
+    return out.drop("r_step", "r_begin", "r_dur")
+
+
+def step_kinds(clipped: DataFrame, steps: DataFrame, by: Sequence[str], kinds: int, needed: Sequence[int], unknown: int = 0) -> DataFrame:
+    """A13 by event kind: clipped(by..., step, kind 1..kinds, begin, dur) -> (by..., step, kind, time): the time in which a kind is the highest active one;
+    the rest of the step is unknown. Steps without time of any of the needed kinds (compute) are left out."""
+    from spanforge.operators.intervals import priority_timeline
+
+    keys = [*by, "step"]
+    known = priority_timeline(clipped, keys, F.col("kind"), kinds).where("kind > 0 and time > 0")
+    whole = known.groupBy(*keys).agg(F.sum("time").alias("_known"), F.bool_or(F.col("kind").isin(*needed)).alias("_good")).where("_good")
+    rest = steps.select(*keys, "dur").join(whole, keys).select(*keys, F.lit(unknown).alias("kind"), (F.col("dur") - F.col("_known")).alias("time")).where("time > 0")
+    return known.join(whole.select(*keys), keys, "left_semi").unionByName(rest)
+
+
 def program_totals(metrics: DataFrame, include_infeed: bool = True) -> DataFrame:
     """Sums over ops without containers."""
     return drop_containers(metrics, include_infeed).agg(
@@ -255,9 +288,35 @@ def top_per_group(df: DataFrame, group: Sequence[str], value: str, k: int, tie:
     return df.withColumn("_r", r).where(F.col("_r") <= k).drop("_r")
 
 
-def first_events(spans: DataFrame, n: int) -> DataFrame:
-    """T5: the first n events in time."""
-    return spans.orderBy("begin", "seq").limit(n)
+def first_events(spans: DataFrame, n: int, order: Sequence[str] = ("begin", "seq")) -> DataFrame:
+    """T5: the first n events in time, those of one time in the order of the file. The n-th value is found by counts of ranges that get
+    narrower (see ``range_cut``): all rows below it stay, of those at it as many as are left by the next column. Nothing is sorted. Columns of order are whole
+    numbers, the last one without repetition."""
+    cut = range_cut(spans, order[0], n)
+    if cut is None:
+        return spans
+    value, below = cut
+    out, at = spans.where(F.col(order[0]) < value), spans.where(F.col(order[0]) == value)
+    return out.unionByName(first_events(at, n - below, order[1:]) if len(order) > 1 else at.limit(n - below))
+
+
+def range_cut(df: DataFrame, column: str, n: int, parts: int = 1024) -> tuple[int, int] | None:
+    """(the n-th least value of a whole-number column, how many rows are below it), None if there are not more than n rows. Each round counts the
+    rows of at most parts ranges and goes on within the one that holds the n-th, six or seven rounds for any values."""
+    low, high, count = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    if count <= n:
+        return None
+    below = 0
+    while low < high:
+        width = (high - low) // parts + 1
+        at = F.col(column) - low
+        part = at - F.pmod(at, F.lit(width))
+        for start, rows in sorted(df.where(F.col(column).between(low, high)).groupBy(part.alias("start")).count().collect()):
+            if below + rows >= n:
+                low, high = low + start, min(high, low + start + width - 1)
+                break
+            below += rows
+    return low, below
 
 
 def op_profile_view(profile: DataFrame, level: int, top_n: int) -> DataFrame:

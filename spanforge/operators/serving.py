@@ -98,3 +98,41 @@ def step_summary(steps: DataFrame) -> DataFrame:
     stats = steps.agg(F.count("*").alias("steps"), F.avg("dur").alias("avg"), F.min("dur").alias("min"), F.max("dur").alias("max"), F.coalesce(F.stddev_samp("dur"), F.lit(0.0)).alias("sd"))
     n = steps.groupBy("bottleneck").agg(F.count("*").alias("_c"), F.min("step").alias("_o"))
     return stats.join(n.orderBy(F.col("_c").desc(), "_o").limit(1).select("bottleneck"))
+
+
+def tensor_patterns(tensors: DataFrame, owner: Sequence[str]) -> DataFrame:
+    """tensors(owner..., name, shape, dims, kind, layout, dur) -> (owner..., pattern, time): the transfers of a request or batch as one
+    text, each as name, shape (else its kind in small letters with its dimensions) and layout, sorted and joined, and their time. An
+    owner with a tensor whose shape or layout is unknown has no pattern."""
+    shape = F.coalesce("shape", F.concat(F.coalesce(F.lower("kind"), F.lit("")), "dims"), F.lit(""))
+    whole = (shape != "") & F.col("layout").isNotNull()
+    part = F.concat_ws(" ", "name", shape, "layout")
+    per = tensors.groupBy(*owner).agg(F.bool_and(whole).alias("_whole"), F.array_sort(F.collect_list(part)).alias("_parts"), F.sum("dur").alias("time"))
+    return per.where("_whole").select(*owner, F.array_join("_parts", "<br>").alias("pattern"), "time")
+
+
+def pattern_table(details: DataFrame, order: Sequence[str], by: Sequence[str] = ("model",), percents: Sequence[float] = PERCENTS) -> DataFrame:
+    """details(by..., pattern, time, order...) -> (by..., pattern_id, pattern, count, percentiles of the time): patterns are numbered over all
+    models, the most frequent first, then by text."""
+    out = pattern_percentiles(details, "time", order, [*by, "pattern"], percents)
+    known = out.groupBy("pattern").agg(F.sum("count").alias("_n")).withColumn("_less", -F.col("_n"))
+    numbered = ranked(known, ["_less", "pattern"]).select("pattern", F.col("rank").alias("pattern_id"))
+    return out.join(numbered, "pattern").select(*by, "pattern_id", "pattern", *(c for c in out.columns if c not in (*by, "pattern")))
+
+
+def serving_by_batch_size(requests: DataFrame, batches: DataFrame, links: DataFrame, request_parts: Sequence[str], batch_parts: Sequence[str]) -> DataFrame:
+    """A27 per padded batch size: requests(request_id, model, begin, end_ts, parts...), batches(batch_id, model, size, padding, begin, end_ts, parts...),
+    links(request_id, batch_id) -> per model and size: how often a request was in such a batch and its mean latency and parts, the
+    batches with their mean latency, parts and efficiency, and both's share of the model's throughput. Means are whole numbers (div)."""
+    whole = lambda name, x: F.call_function("div", F.sum(x), F.count("*")).alias(name)
+    d = F.col("end_ts") - F.col("begin")
+    rate = lambda df: df.groupBy("model").agg(F.count("*").alias("_all"), safe_divide(F.count("*") * 1e6, F.max("end_ts") - F.min("begin")).alias("_rate"))
+    sized = requests.join(links, "request_id").join(batches.select("batch_id", "model", "size"), ["batch_id", "model"])
+    r = sized.groupBy("model", "size").agg(F.count("*").alias("requests"), whole("latency", d), *(whole(x, F.col(x)) for x in request_parts))
+    b = batches.groupBy("model", "size").agg(
+        F.count("*").alias("batches"), whole("batch_latency", d), *(whole(f"batch_{x}", F.col(x)) for x in batch_parts), safe_divide(F.sum(F.col("size") - F.col("padding")), F.sum("size")).alias("efficiency"),
+    )
+    out = b.join(r, ["model", "size"], "left").na.fill(0, ["requests"])
+    share = lambda n: safe_divide(F.col(n) * F.col("_rate"), F.col("_all"))
+    out = out.join(rate(requests), "model", "left").withColumn("requests_per_second", F.coalesce(share("requests"), F.lit(0.0))).drop("_all", "_rate")
+    return out.join(rate(batches), "model").withColumn("batches_per_second", share("batches")).drop("_all", "_rate")

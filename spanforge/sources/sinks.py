@@ -18,9 +18,51 @@ def chrome_events(spans: DataFrame, ticks_per_us: float = 1.0) -> DataFrame:
     return meta.unionByName(body)
 
 
+def trace_rows(spans: DataFrame, ticks_per_us: float = 1.0) -> DataFrame:
+    """S8 with all row kinds, as columns: spans(plane_id, plane, line_id, line, begin, dur, name, seq[, flow, flow_entry (start, mid, end), category, unbound,
+    group_id]) -> one row per row of the file.
+
+    M: name and place of each process and thread. X: a span of its track, with the flow it is bound to and whether that comes in or goes out. b
+    and e: an unbound (asynchronous) span of a flow begins or ends at a point, under the flow's id, so that spans of one track may overlap; one in the middle of a
+    flow does both, at its begin and at its end."""
+    have = lambda name, kind: F.col(name) if name in spans.columns else F.lit(None).cast(kind).alias(name)
+    us = lambda x: x / ticks_per_us
+    pid, tid, end = F.col("plane_id"), F.col("line_id"), F.col("begin") + F.col("dur")
+    rows = spans.select("plane_id", "plane", "line_id", "line", "begin", "dur", "name", "seq", have("flow", "bigint"), have("flow_entry", "string"), have("category", "string"), have("unbound", "boolean"), have("group_id", "bigint"))
+    rows = rows.withColumn("unbound", F.coalesce("unbound", F.lit(False)))
+    meta = lambda df, tid, name, label, order: df.select(F.lit("M").alias("ph"), pid.alias("pid"), tid.cast("bigint").alias("tid"), F.lit(name).alias("name"), label.cast("string").alias("arg_name"), order.cast("bigint").alias("arg_sort_index"))
+    processes, threads, null = rows.select("plane_id", "plane").distinct(), rows.select("plane_id", "line_id", "line").distinct(), F.lit(None)
+    parts = [
+        meta(processes, null, "process_name", F.col("plane"), null), meta(processes, null, "process_sort_index", null, pid),
+        meta(threads, tid, "thread_name", F.col("line"), null), meta(threads, tid, "thread_sort_index", null, tid),
+    ]
+    named = [pid.alias("pid"), "name", F.col("seq").alias("arg_uid"), F.col("group_id").alias("arg_group_id")]
+    flowing = F.col("flow").isNotNull()
+    flag = lambda *entries: F.when(flowing & F.col("flow_entry").isin(*entries), True)
+    parts.append(rows.where("not unbound").select(
+        F.lit("X").alias("ph"), *named, tid.alias("tid"), us(F.col("begin")).alias("ts"), us(F.greatest("dur", F.lit(1))).alias("dur"), F.col("flow").alias("bind_id"),
+        F.when(flowing, F.nullif("category", F.lit(""))).alias("cat"), flag("mid", "end").alias("flow_in"), flag("start", "mid").alias("flow_out"),
+    ))
+    loose = rows.where("unbound and flow is not null")
+    opens = F.col("flow_entry").isin("start", "mid")
+    point = lambda df, ph, ts: df.select(ph.alias("ph"), *named, us(ts).alias("ts"), F.col("flow").alias("id"), F.coalesce("category", F.lit("")).alias("cat"))
+    parts.append(point(loose, F.when(opens, "b").otherwise("e"), F.col("begin")))
+    parts.append(point(loose.where("flow_entry = 'mid'"), F.lit("e"), end).drop("arg_uid"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def trace_lines(rows: DataFrame) -> DataFrame:
+    """Rows of trace_rows as JSON, arguments nested, absent fields left out."""
+    args = F.struct(*(F.col(c).alias(c.removeprefix("arg_")) for c in rows.columns if c.startswith("arg_")))
+    return rows.select(F.to_json(F.struct(*(c for c in rows.columns if not c.startswith("arg_")), args.alias("args"))).alias("value"))
+
+
 def to_chrome_trace(spans: DataFrame, path: str, ticks_per_us: float = 1.0) -> None:
-    """Writes the events as JSON lines, one file per task."""
-    chrome_events(spans, ticks_per_us).write.mode("overwrite").text(path)
+    """Writes the events of all kinds as JSON lines, one file per task."""
+    trace_lines(trace_rows(spans, ticks_per_us)).write.mode("overwrite").text(path)
 
 
 def delta_series(spans: DataFrame, by: Sequence[str]) -> DataFrame:

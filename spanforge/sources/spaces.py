@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.operators.filters import stat
+from spanforge.operators.ranks import ranked
 from spanforge.sources.traces import _PATH, MAX_BYTES, _fields, _text
 
 #: The value of a stat: one of the four is set.
@@ -248,6 +249,29 @@ def launches(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return correlated.where(host), correlated.where(~host)
 
 
+#: Stats whose long texts are frames, texts above which they are, and where they are cut (fixed values).
+FRAME_STATS, FRAME_LENGTH, TEXT_LIMIT = ("long_name", "hlo_text"), 16, 10_000
+
+
+def _frame_texts(spans: DataFrame, longer: int) -> DataFrame:
+    text = lambda name: stat(name)["text"]
+    cut = lambda x: F.when(F.length(x) > TEXT_LIMIT, F.concat(F.substring(x, 1, TEXT_LIMIT), F.lit("...<truncated>"))).otherwise(x)
+    long = F.filter(F.array(*(cut(text(name)) for name in FRAME_STATS)), lambda x: F.length(x) > longer)
+    return spans.withColumn("_frame", F.get(long, F.lit(0)))
+
+
+def frame_table(spans: DataFrame, longer: int = FRAME_LENGTH) -> DataFrame:
+    """(frame, fingerprint, text): the long texts of spans with stats, each once, in the order of their fingerprints from 1."""
+    texts = _frame_texts(spans, longer).where("_frame is not null").select(F.xxhash64("_frame").alias("fingerprint"), F.col("_frame").alias("text")).distinct()
+    return ranked(texts, ["fingerprint", "text"]).select((F.col("rank") + 1).alias("frame"), "fingerprint", "text")
+
+
+def with_frame(spans: DataFrame, frames: DataFrame, longer: int = FRAME_LENGTH) -> DataFrame:
+    """Spans with the number of the frame recorded for them (null if none): its text is that of frame_table."""
+    out = _frame_texts(spans, longer).withColumn("fingerprint", F.xxhash64("_frame"))
+    return out.join(frames.select("fingerprint", F.col("text").alias("_frame"), "frame"), ["fingerprint", "_frame"], "left").drop("fingerprint", "_frame")
+
+
 # --- the way back -----------------------------------------------------------------------------
 
 
