@@ -65,3 +65,38 @@ def by_batch_size(t):
     )
     out = sv.serving_by_batch_size(t.requests.join(orders, "request_id"), batches, t.request_batch, ["device_time", "delay"], ["device_time"])
     return out.withColumns({x: F.round(x, 8) for x in ("efficiency", "requests_per_second", "batches_per_second")})
+
+
+#: Users as requests of the batch of their last digit; purchases process batches, views schedule, clicks read.
+_BUILT = """ev AS (SELECT CASE WHEN name = 'purchase' THEN 100000 + correlation_id % 10 ELSE correlation_id END AS g, correlation_id AS u, name, begin, begin + dur AS e, seq FROM spans),
+bt AS (SELECT g, arg_max(begin, seq) AS b, arg_max(e, seq) AS e FROM ev WHERE name = 'purchase' GROUP BY g),
+base AS (SELECT g, min(begin) AS b, max(e) AS e, arg_max(seq % 10, seq) FILTER (name = 'view') AS size FROM ev WHERE name <> 'purchase' GROUP BY g HAVING bool_or(name = 'signup')),
+rq AS (SELECT r.g AS request_id, 'm' || (r.g % 3) AS model, r.b AS begin, greatest(r.e, coalesce(bt.e, r.e)) AS end_ts, coalesce(bt.b - r.b, 0) AS delay, coalesce(size, 0) AS size FROM base r LEFT JOIN bt ON bt.g = 100000 + r.g % 10),
+ba AS (SELECT bt.g AS batch_id, bt.b AS begin, bt.e AS end_ts, coalesce(bt.b - (SELECT min(begin) FROM rq WHERE 100000 + request_id % 10 = bt.g), 0) AS delay, (SELECT count(DISTINCT u) FROM ev WHERE 100000 + u % 10 = bt.g) AS requests,
+  (SELECT arg_min(model, request_id) FROM rq WHERE request_id = (SELECT min(u) FROM ev WHERE 100000 + u % 10 = bt.g)) AS model FROM bt),
+clicks AS (SELECT g, begin, e, max(e) OVER (PARTITION BY g ORDER BY begin, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM ev WHERE name = 'click'),
+reading AS (SELECT g, CAST(sum(greatest(e - greatest(begin, coalesce(until, begin)), 0)) AS BIGINT) AS read FROM clicks GROUP BY g)"""
+
+
+def built(t):
+    from spanforge.operators.inference import build_requests
+
+    name, user = F.col("name"), F.col("correlation_id")
+    none = {c: F.lit(None).cast("bigint") for c in ("root", "padding", "padded_size", "consumer")}
+    kind = F.when(name == "signup", "SessionRun").when(name == "purchase", "ProcessBatch").when(name == "view", "ScheduleWithSplit").when(name == "click", "ReadHbm").otherwise(name)
+    events = t.spans.select(
+        F.when(name == "purchase", 100000 + user % 10).otherwise(user).alias("group_id"), kind.alias("name"), "begin", "dur", "seq", F.when(name == "signup", F.concat(F.lit("m"), (user % 3).cast("string"))).alias("model"),
+        F.when(name == "view", F.col("seq") % 10).alias("task_size"), *(v.alias(k) for k, v in none.items()),
+    )
+    relations = t.spans.select(user.alias("parent_group"), (100000 + user % 10).alias("child_group")).distinct()
+    return build_requests(events, relations, t.spans.where("false").select(user.alias("group_id"), "begin", "dur", F.lit(False).alias("half")))
+
+
+@query("r15_requests", "SELECT request_id, model, begin, end_ts, delay, rq.size, coalesce(read, 0) AS read FROM rq LEFT JOIN reading ON g = request_id WHERE end_ts > begin", _BUILT)
+def built_requests(t):
+    return built(t)[0].select("request_id", "model", "begin", "end_ts", "delay", "size", "read")
+
+
+@query("r15_batches", "SELECT batch_id, model, begin, end_ts, delay, requests FROM ba", _BUILT)
+def built_batches(t):
+    return built(t)[1].select("batch_id", "model", "begin", "end_ts", "delay", "requests")

@@ -696,6 +696,15 @@ def list_events(t):
     return mt.list_events(t.spans, 50, 200).select("seq", "name")
 
 
+@query(
+    "t2_list_summary",
+    """SELECT CAST(least(greatest(n - 40, 0), 100) AS BIGINT) AS returned, n AS total_matched, n > least(greatest(n - 40, 0), 100) + 40 AS truncated FROM
+  (SELECT count(*) AS n FROM spans WHERE regexp_matches(plane, 'TPU:[0-3]$') AND regexp_matches(name, 'click|view') AND begin >= 86400000000 AND begin + dur <= 1728000000000)""",
+)
+def list_summary(t):
+    return mt.list_summary(mt.matched_events(t.spans, "TPU:[0-3]$", "click|view", DAY, 20 * DAY), 100, 40)
+
+
 @query("t3_op_stats_table", "SELECT symbol_id, name, flops FROM metrics ORDER BY flops DESC, name, symbol_id LIMIT 20", METRICS)
 def op_stats_table(t):
     return mt.op_stats_table(metrics(t), "flops").select("symbol_id", "name", "flops")

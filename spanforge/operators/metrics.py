@@ -277,6 +277,21 @@ def list_events(spans: DataFrame, max_events: int = 100, offset: int = 0) -> Dat
     return spans.orderBy("seq").offset(offset).limit(max_events)
 
 
+def matched_events(spans: DataFrame, plane_re: str = "", event_re: str = "", start: int | None = None, end: int | None = None) -> DataFrame:
+    """The events whose plane and name match and that lie within start and end."""
+    found = spans.where(F.col("plane").rlike(plane_re) & F.col("name").rlike(event_re))
+    found = found if start is None else found.where(F.col("begin") >= start)
+    return found if end is None else found.where(F.col("begin") + F.col("dur") <= end)
+
+
+def list_summary(matched: DataFrame, max_events: int = 100, offset: int = 0) -> DataFrame:
+    """(returned, total_matched, truncated) of a page of list_events; max_events 0 is no limit."""
+    left = F.greatest(F.col("total_matched") - offset, F.lit(0))
+    total = matched.agg(F.count("*").alias("total_matched"))
+    out = total.select((F.least(left, F.lit(max_events)) if max_events > 0 else left).cast("bigint").alias("returned"), "total_matched")
+    return out.withColumn("truncated", F.col("total_matched") > F.col("returned") + offset)
+
+
 def op_stats_table(metrics: DataFrame, sort_by: str = "self_time", limit: int = 20) -> DataFrame:
     """T3."""
     return metrics.orderBy(F.col(sort_by).desc(), "name", "symbol_id").limit(limit)

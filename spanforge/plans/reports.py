@@ -214,7 +214,8 @@ def memory_modules(alloc_events: DataFrame, modules: DataFrame) -> DataFrame:
 def memory_blocks(buffer_events: DataFrame) -> DataFrame:
     """(program_id, buffer_id, size, begin_seq, end_seq, indefinite): every allocation up to the
     next free of its buffer; one that is never freed is indefinite."""
-    w = W.partitionBy("program_id", "buffer_id").orderBy("seq").rowsBetween(1, W.unboundedFollowing)
+    # the running minimum of what comes later, seen from the end
+    w = W.partitionBy("program_id", "buffer_id").orderBy(F.col("seq").desc()).rowsBetween(W.unboundedPreceding, -1)
     freed = F.min(F.when(F.col("kind") == "free", F.col("seq"))).over(w)
     out = buffer_events.withColumn("end_seq", freed).where("kind = 'alloc'")
     return out.select("program_id", "buffer_id", "size", F.col("seq").alias("begin_seq"), "end_seq", F.col("end_seq").isNull().alias("indefinite"))
