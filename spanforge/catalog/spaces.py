@@ -163,3 +163,27 @@ def event_frames(t):
     frames = checkpointed(sp.frame_table(spans))
     found = sp.with_frame(spans, frames).select((-sp.stat_int("delta")).alias("seq"), "frame")
     return found.join(frames.select("frame", "text"), "frame", "left").select("seq", "text")
+
+
+@query(
+    "s6_tools_of_files",
+    """SELECT DISTINCT session, host, t.tool FROM filed, (VALUES ('trace_viewer@'), ('overview_page'), ('input_pipeline_analyzer'), ('framework_op_stats'), ('memory_profile'), ('op_profile'), ('hlo_stats'), ('roofline_model')) t(tool)
+  UNION SELECT session, host, t.tool FROM filed, (VALUES ('perf_counters'), ('utilization_viewer'), ('kernel_utilization')) t(tool) WHERE name = 'error' AND seq % 200 = 3 AND plane LIKE '/device:TPU:%'
+  UNION SELECT session, host, 'megascale_stats' FROM filed WHERE name = 'signup' AND seq % 100 = 7
+  UNION SELECT session, host, t.tool FROM filed, (VALUES ('memory_viewer'), ('graph_viewer')) t(tool) WHERE name = 'signup' AND seq % 100 = 8""",
+    FILED,
+)
+def tools_of_files(t):
+    """Some devices' errors carry counters, some of the hosts' sign-ups are transfers or programs."""
+    spans, meta = filed(t)
+    seq, host = F.col("seq"), F.col("name") == "signup"
+    counter = F.when((F.col("name") == "error") & (seq % 200 == 3), F.create_map(F.lit("counter_value"), _value("int", seq)))
+    spans = spans.withColumn("stats", F.map_concat("stats", F.coalesce(counter, F.create_map().cast(f"map<string, {sp.VALUE}>"))))
+    program, transfer = host & (seq % 100 == 8), host & (seq % 100 == 7)
+    spans = spans.withColumns({
+        "plane": F.when(program, "/host:metadata").otherwise(F.col("plane")), "plane_id": F.when(program, 500).otherwise(F.col("plane_id")),
+        "name": F.when(program, "module").when(transfer, F.concat(F.lit("MegaScale:"), "name")).otherwise(F.col("name")),
+    })
+    proto = t.spark.range(1).select(F.lit("module").alias("name"), _stats(**{"Hlo Proto": ("raw", F.lit("x"))}).alias("stats"))
+    found = sp.tables(checkpointed(sp.decode_tables(sp.encode_spaces(spans, meta.unionByName(proto), origin_ns=ORIGIN_US * 1000))))
+    return sp.tools_of(found).select("session", "host", "tool")

@@ -242,7 +242,8 @@ def align_hosts(steps: DataFrame) -> DataFrame:
     extent = steps.groupBy("host").agg((F.max(_end()) - F.min("begin")).alias("extent"))
     chief = extent.orderBy("extent", "host").limit(1).select(F.col("host").alias("chief"))
     c = steps.join(F.broadcast(chief), F.col("host") == F.col("chief"), "left_semi").select("idx", "begin", "dur")
-    width = steps.agg(F.max("dur")).first()[0] or 1  # each step lies in two bins at most
+    # nearly every step lies in two bins at most; longer ones go into the wide bins
+    width = steps.agg(F.percentile_approx("dur", 0.99)).first()[0] or 1
     pairs = overlap_join(steps, c, [], max(1, width))
     overlap = F.least(_end(), F.col("r_begin") + F.col("r_dur")) - F.greatest("begin", "r_begin")
     sums = pairs.withColumn("overlap", overlap).where("overlap > 0").groupBy("host", (F.col("r_idx") - F.col("idx")).alias("offset")).agg(F.sum("overlap").alias("overlap"))

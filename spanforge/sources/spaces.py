@@ -249,6 +249,33 @@ def launches(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return correlated.where(host), correlated.where(~host)
 
 
+#: Tools that every trace has, and those that depend on what it holds, in order (fixed values).
+BASE_TOOLS = ("trace_viewer@", "overview_page", "input_pipeline_analyzer", "framework_op_stats", "memory_profile", "op_profile", "hlo_stats", "roofline_model")
+FOUND_TOOLS = (("kernel_stats",), ("memory_viewer", "graph_viewer"), ("megascale_stats",), ("perf_counters", "utilization_viewer", "kernel_utilization"))
+
+
+def tools_of(found: dict[str, DataFrame]) -> DataFrame:
+    """S6 of decoded files: (session, host, tool, place): those of every trace; kernels of GPU planes; programs that the metadata plane carries;
+    transfers between slices among the names of the host plane; counters, if an event of a device plane has a counter's value."""
+    keys = ["session", "host"]
+    planes, meta, spans = found["planes"], found["event_meta"], found["spans"]
+    named = meta.join(planes.select(*keys, "plane_id", "plane"), [*keys, "plane_id"])
+    flag = lambda df, condition, k: df.where(condition).select(*keys, F.lit(k).alias("k")).distinct()
+    has = lambda stat_name: F.map_contains_key(F.coalesce("stats", F.create_map().cast(f"map<string, {VALUE}>")), F.lit(stat_name))
+    parts = [
+        flag(planes, F.col("plane").startswith("/device:GPU:"), 0), flag(named, (F.col("plane") == "/host:metadata") & has("Hlo Proto"), 1),
+        flag(named, (F.col("plane") == "/host:CPU") & F.col("name").startswith("MegaScale:"), 2), flag(spans, F.col("plane").startswith("/device:TPU:") & has("counter_value"), 3),
+    ]
+    there = planes.select(*keys, F.lit(-1).alias("k")).distinct()
+    for part in parts:
+        there = there.unionByName(part)
+    tools = F.when(F.col("k") == -1, F.array(*map(F.lit, BASE_TOOLS)))
+    for k, names in enumerate(FOUND_TOOLS):
+        tools = tools.when(F.col("k") == k, F.array(*map(F.lit, names)))
+    out = there.select(*keys, "k", F.posexplode(tools).alias("at", "tool"))
+    return out.select(*keys, "tool", (100 * (F.col("k") + 1) + F.col("at")).alias("place"))
+
+
 #: Stats whose long texts are frames, texts above which they are, and where they are cut (fixed values).
 FRAME_STATS, FRAME_LENGTH, TEXT_LIMIT = ("long_name", "hlo_text"), 16, 10_000
 
