@@ -189,8 +189,8 @@ def merge_runs(spans: DataFrame, by: Sequence[str], keys: Sequence[str]) -> Data
 
 def merge_runs_gap(spans: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """W3 for ungrouped spans: a span also joins the previous one only if the gap is at most
-    twice the duration merged so far. That duration depends on the merging itself, so each run of
-    spans with one key is folded in order by a grouped-map function."""
+    twice the duration merged so far. That duration depends on the merging itself, so whole runs of
+    spans with one key are folded in order by a grouped-map function."""
     import pandas as pd
 
     schema = spans.select(*by, key, "begin", "dur", F.lit(0).cast("bigint").alias("events"), "seq").schema
@@ -210,8 +210,10 @@ def merge_runs_gap(spans: DataFrame, by: Sequence[str], key: str) -> DataFrame:
         return pd.DataFrame(rows, columns=names)
 
     w = W.partitionBy(*by).orderBy("begin", F.col("dur").desc(), "seq")
-    changed = F.when(F.col(key).eqNullSafe(F.lag(key).over(w)) & F.lag("seq").over(w).isNotNull(), 0).otherwise(1)
-    runs = spans.withColumn("_new", changed).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    goes_on = F.col(key).eqNullSafe(F.lag(key).over(w)) & F.lag("seq").over(w).isNotNull()
+    # runs of a track share a group until it has some thousand spans; a run is never cut
+    runs = spans.withColumn("_at", F.when(~goes_on, F.row_number().over(w)))
+    runs = runs.withColumn("_run", F.floor(F.last("_at", True).over(w.rowsBetween(W.unboundedPreceding, 0)) / 10_000)).drop("_at")
     return runs.groupBy(*by, "_run").applyInPandas(fold, schema)
 
 

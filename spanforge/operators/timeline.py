@@ -35,12 +35,9 @@ def visible(begins, durs, resolution: int) -> list[bool]:
 def timeline_levels(spans: DataFrame, by: Sequence[str], tick_ps: int = 1) -> DataFrame:
     """Adds level, the coarsest zoom level at which the span is drawn. What is drawn at a
     level depends on what was drawn before, but not across a gap of the coarsest resolution after
-    all that came before: there tracks are cut, and each stretch runs through a grouped map."""
+    all that came before: there tracks are cut, and some thousand events at least run through a grouped map."""
     levels = [max(1, r // tick_ps) for r in LEVELS]
-    w = W.partitionBy(*by).orderBy("begin", F.col("dur").desc(), "seq")
-    ended = F.max(F.col("begin") + F.col("dur")).over(w.rowsBetween(W.unboundedPreceding, -1))
-    cut = spans.withColumn("_cut", F.when(F.col("begin") - ended >= levels[0], 1).otherwise(0))
-    cut = cut.withColumn("_stretch", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_cut")
+    cut = _stretches(spans, by, levels[0])
     schema = spans.withColumn("level", F.lit(0)).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,11 +117,13 @@ def track_levels(rows, resolutions: Sequence[int]) -> list[int]:
     return [len(resolutions) if x is None else x for x in out]
 
 
-def _stretches(spans: DataFrame, by: Sequence[str], gap: int) -> DataFrame:
+def _stretches(spans: DataFrame, by: Sequence[str], gap: int, rows: int = 10_000) -> DataFrame:
+    """spans with _stretch: a track is cut where nothing has lasted for gap, but not into parts of less than about rows."""
     w = W.partitionBy(*by).orderBy("begin", F.col("dur").desc(), "seq")
     ended = F.max(F.col("begin") + F.col("dur")).over(w.rowsBetween(W.unboundedPreceding, -1))
-    cut = spans.withColumn("_cut", F.when(F.col("begin") - ended >= gap, 1).otherwise(0))
-    return cut.withColumn("_stretch", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_cut")
+    cut = spans.withColumn("_at", F.when(F.col("begin") - ended >= gap, F.row_number().over(w)))
+    first = F.coalesce(F.last("_at", True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    return cut.withColumn("_stretch", F.floor(first / rows)).drop("_at")
 
 
 def timeline_levels_with_flows(spans: DataFrame, by: Sequence[str], tick_ps: int = 1) -> DataFrame:
