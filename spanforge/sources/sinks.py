@@ -61,7 +61,12 @@ def trace_lines(rows: DataFrame) -> DataFrame:
 
 
 def to_chrome_trace(spans: DataFrame, path: str, ticks_per_us: float = 1.0) -> None:
-    """Writes the events of all kinds as JSON lines, one file per task."""
+    """Writes the events as JSON lines, one file per task."""
+    chrome_events(spans, ticks_per_us).write.mode("overwrite").text(path)
+
+
+def to_trace_lines(spans: DataFrame, path: str, ticks_per_us: float = 1.0) -> None:
+    """Writes the rows of all kinds as JSON lines, one file per task."""
     trace_lines(trace_rows(spans, ticks_per_us)).write.mode("overwrite").text(path)
 
 
