@@ -10,7 +10,7 @@ from spanforge.operators import metrics as mt
 from spanforge.plans import reports as rp
 from spanforge.plans import steps as sp
 
-from .registry import query
+from .registry import fitting, query
 from .reports import _DUTY, _FRAMEWORK, PEAKS, off, rounded
 from .runtime import _BUFFERS, _FORMULAS, _PEAK, _SLACK, _UTIL, buffers, formulas
 from .tables import _BREAKDOWN, METRICS, breakdown, metrics
@@ -317,7 +317,7 @@ best AS (SELECT s.request_id, s.t, s.u, coalesce(max(e.phase), 0) AS kind FROM s
 )
 def request_phases(t):
     events = t.spark.sql(_EVENTS.format(us="unix_micros(CAST(l_shipdate AS TIMESTAMP))", src="{li}"), li=t.table("lineitem"))
-    return rp.request_phases(events, t.requests, 4).withColumns({"mean": F.round("mean", 2), "percent": F.round("percent", 6)})
+    return fitting(rp.request_phases(events, t.requests, 4), "time").withColumns({"mean": F.round("mean", 2), "percent": F.round("percent", 6)})
 
 
 _NAMED = "CASE symbol_id % 6 WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'signup' WHEN 3 THEN 'purchase' ELSE 'none' END"
