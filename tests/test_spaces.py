@@ -108,3 +108,41 @@ def test_links_by_name_and_by_stat(spark):
     assert got == [(1, 2), (4, 3), (5, 6)]
     other = df.withColumn("host", F.when(F.col("seq") == 2, "other").otherwise(F.col("host")))
     assert sorted(tuple(r) for r in jn.connect_flows(sp.flow_links(other, F.col("seq"))).collect()) == [(4, 3), (5, 6)]
+
+
+def test_files_in_pieces(spark):
+    """Rows of a file come in several batches, are kept packed and come back in order, with the texts that repeat across batches."""
+    spans = spark.range(5_000).select(
+        F.lit("s").alias("session"), F.concat(F.lit("h"), (F.col("id") % 2).cast("string")).alias("host"), F.lit(7).cast("bigint").alias("plane_id"), F.lit("p").alias("plane"), F.lit(1).cast("bigint").alias("line_id"),
+        F.lit("l").alias("line"), F.col("id").alias("seq"), F.lit("n").alias("name"), (F.col("id") * 1000).alias("begin"), F.lit(5).cast("bigint").alias("dur"),
+        F.expr("map('own', named_struct('int', NULL, 'real', NULL, 'text', concat('text ', id % 4000), 'raw', NULL))").cast(f"map<string, {sp.VALUE}>").alias("stats"),
+    )
+    files = sp.encode_spaces(spans)
+    assert [bytes(f.content).count(b"text 999") for f in files.orderBy("host").collect()] == [0, 1]  # of 999 and 4999, once
+    back = sp.tables(sp.decode_tables(files))["spans"].select("host", "seq", "begin", F.col("stats")["own"]["text"].alias("own"))
+    assert sorted(tuple(r) for r in back.collect()) == sorted((f"h{i % 2}", i // 2, i * 1000, f"text {i % 4000}") for i in range(5_000))
+
+
+def test_rows_kept_packed():
+    """What is kept of a file until its end is smaller than its batches."""
+    rows = sp._Rows("s", "h")
+    for k in range(4_000):
+        rows.add("span", 1, "plane", 2, "line", k, 3, "name", None, k, 1, 1, [("note", (None, None, "a text that many spans have", None))])
+    batches = list(rows.all())
+    assert [b.num_rows for b in batches] == [2_000, 2_000] and sum(len(b) for b in rows.batches) * 4 < sum(b.nbytes for b in batches)
+
+
+def test_spans_without_frame_are_spread(spark):
+    """Most spans have no frame; a join on that null key would send them to one task."""
+    value = f"map<string, {sp.VALUE}>"
+    spans = spark.range(1_000).select(F.lit("s").alias("session"), F.lit("h").alias("host"), F.col("id").alias("seq"), F.lit(None).cast(value).alias("stats"), F.lit(None).cast(value).alias("meta_stats"))
+    frames = spark.createDataFrame([(1, 5, "a text")], "frame bigint, fingerprint bigint, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = sp.with_frame(spans, frames).groupBy(F.spark_partition_id().alias("p"), "frame").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.frame for r in got} == {None} and sum(r["count"] for r in got) == 1_000 and max(r["count"] for r in got) < 400
