@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from spanforge.operators.ranks import ranked
 from spanforge.functions import columns as c
 from spanforge.operators.filters import drop_containers
+from spanforge.plans.work import checkpointed
 
 
 def aggregate_events(spans: DataFrame, plane_re: str = "", event_re: str = "", cut: Column | None = None) -> DataFrame:
@@ -242,13 +243,20 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def rank_cumulative(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Rank by value, share of the total and running share. For op tables, not for spans:
-    one ordered pass over aggregated rows."""
-    order = W.orderBy(F.col(value).desc(), name)
-    total = F.sum(value).over(W.partitionBy())
-    out = df.withColumn("rank", F.row_number().over(order)).withColumn("fraction", c.safe_divide(F.col(value), total))
-    run = F.sum(value).over(order.rowsBetween(W.unboundedPreceding, 0))
-    return out.withColumn("cumulative", c.safe_divide(run, total))
+    """Rank by value, share of the total and running share. Rows are range-partitioned in that order; each range
+    counts and sums its own rows and starts where the ones before it end."""
+    order = [F.col(value).desc(), F.col(name)]
+    parts = checkpointed(df.repartitionByRange(*order).withColumn("_range_no", F.spark_partition_id()))
+    ranges = parts.groupBy("_range_no").agg(F.count("*").alias("_size"), F.sum(value).alias("_sum"))
+    before = W.orderBy("_range_no").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    start = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
+    ranges = ranges.select("_range_no", start("_size").alias("_before"), start("_sum").alias("_ahead"), F.sum("_sum").over(W.partitionBy()).alias("_total"))
+    own = W.partitionBy("_range_no").orderBy(*order)
+    run = F.coalesce(F.sum(value).over(own.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    out = parts.withColumns({"_own": F.row_number().over(own), "_run": run}).join(F.broadcast(ranges), "_range_no")
+    out = out.withColumn("rank", (F.col("_own") + F.col("_before")).cast("int")).withColumn("fraction", c.safe_divide(F.col(value), F.col("_total")))
+    out = out.withColumn("cumulative", c.safe_divide(F.col("_run") + F.col("_ahead"), F.col("_total")))
+    return out.drop("_range_no", "_own", "_run", "_before", "_ahead", "_total")
 
 
 def roofline(df: DataFrame, peak_gflops: float, peak_gibps: float) -> DataFrame:

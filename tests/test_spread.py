@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.operators import collectives as cl
+from spanforge.operators import metrics as mt
 
 
 @pytest.fixture
@@ -33,3 +34,14 @@ def test_hide_tiny_spreads_a_device(plain):
         last = (tiny, cell)
     assert [r["name"] for r in out.orderBy("ts").collect()] == expected
     assert most(out) < 2000
+
+
+def test_rank_cumulative_spreads(plain):
+    df = plain.range(4000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 1009).alias("v"))
+    out = mt.rank_cumulative(df, "v", "k")
+    assert most(out) < 2000
+    rows, run = sorted(((r.v, r.k) for r in df.collect()), key=lambda x: (-x[0], x[1])), 0
+    total, found = sum(v for v, _ in rows), {r["rank"]: r for r in out.collect()}
+    for place, (v, k) in enumerate(rows, 1):
+        run += v
+        assert (found[place].k, found[place].fraction, found[place].cumulative) == (k, v / total, run / total)
