@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.operators import collectives as cl
+from spanforge.operators import joins as jn
 from spanforge.operators import metrics as mt
 
 
@@ -45,3 +46,12 @@ def test_rank_cumulative_spreads(plain):
     for place, (v, k) in enumerate(rows, 1):
         run += v
         assert (found[place].k, found[place].fraction, found[place].cumulative) == (k, v / total, run / total)
+
+
+def test_fan_out_groups_spreads(spark, monkeypatch):
+    monkeypatch.setattr(jn, "ROWS", 500)
+    df = spark.range(4000).select(F.col("id").alias("request_id"), (F.col("id") % 40).alias("group_id"))
+    out = jn.fan_out_groups(df, spark.range(40).select(F.col("id").alias("child_group"), F.expr("id DIV 10").alias("parent_group")))
+    assert most(out) < 1000
+    assert {tuple(r) for r in out.collect()} == {(k, g) for k in range(4000) for g in (k % 40, k % 40 // 10)}
+    assert out.count() == len({(k, g) for k in range(4000) for g in (k % 40, k % 40 // 10)})
