@@ -212,38 +212,42 @@ def pair_slices(docs: DataFrame, first: str, second: str, limit: int) -> DataFra
     """SLICES of docs(doc_id, text binary): per document its counts and hash and how many different pairs it has
     (size), those as places among the slice's keys, with how often each is linked; per key, in how many documents."""
 
+    def row(known: Stretches, name: int, part: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for text in raw(part.column("text")):
+            try:
+                found.append(STRETCH.findall(" " + text.decode()) if text else [])
+            except UnicodeDecodeError:
+                found.append([])
+        known.learn(found)
+        length = np.array([len(x) for x in found])
+        numbers = [list(map(known.number.__getitem__, x)) for x in found]
+        code = np.fromiter(chain.from_iterable(numbers), np.int64, int(length.sum()))
+        of = np.repeat(np.arange(len(found)), length)
+        bad = np.bincount(of, np.frombuffer(known.bad, np.int64)[code], len(found)) > 0
+        columns = {}
+        for c in COUNTS:
+            n = np.bincount(of, np.frombuffer(getattr(known, c), np.int64)[code], len(found)).astype(np.int64)
+            columns[c] = np.where(bad, 0, n)
+        sha = ["" if b or not x else hashlib.sha256(b";".join(map(known.text.__getitem__, x))).hexdigest() for x, b in zip(numbers, bad)]
+        del found, numbers  # the arrays that follow take as much again
+        n = np.frombuffer(known.n_links, np.int64)
+        begin = (np.cumsum(n) - n)[code]
+        n = np.where(bad[of], 0, n[code])
+        at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        keys, place = np.unique(_mixed(np.frombuffer(known.pairs, np.int64)[at]), return_inverse=True)
+        both, times = np.unique(np.repeat(of, n) * max(1, len(keys)) + place, return_counts=True)
+        of, place = both // max(1, len(keys)), both % max(1, len(keys))
+        one = lambda values: lists(values, np.array([0, len(values)]))
+        columns = {"slice": pa.array([name]), "doc_id": one(part.column("doc_id"))} | {c: one(v) for c, v in columns.items()}
+        columns |= {"sha": one(pa.array(sha, pa.string())), "size": one(pa.array(np.bincount(of, minlength=part.num_rows), pa.int32()))}
+        columns |= {"place": one(pa.array(place, pa.int32())), "times": one(pa.array(times, pa.int32()))}
+        return pa.RecordBatch.from_pydict(columns | {"keys": one(keys.view(np.int64)), "n": one(np.bincount(place, minlength=len(keys)))})
+
     def run(batches):
         known, name = Stretches(first, second), TaskContext.get().partitionId() << 32
         for part in chunks(batches, limit=limit):
-            found = []
-            for text in raw(part.column("text")):
-                try:
-                    found.append(STRETCH.findall(" " + text.decode()) if text else [])
-                except UnicodeDecodeError:
-                    found.append([])
-            known.learn(found)
-            length = np.array([len(x) for x in found])
-            numbers = [list(map(known.number.__getitem__, x)) for x in found]
-            code = np.fromiter(chain.from_iterable(numbers), np.int64, int(length.sum()))
-            of = np.repeat(np.arange(len(found)), length)
-            bad = np.bincount(of, np.frombuffer(known.bad, np.int64)[code], len(found)) > 0
-            columns = {}
-            for c in COUNTS:
-                n = np.bincount(of, np.frombuffer(getattr(known, c), np.int64)[code], len(found)).astype(np.int64)
-                columns[c] = np.where(bad, 0, n)
-            sha = ["" if b or not x else hashlib.sha256(b";".join(map(known.text.__getitem__, x))).hexdigest() for x, b in zip(numbers, bad)]
-            n = np.frombuffer(known.n_links, np.int64)
-            begin = (np.cumsum(n) - n)[code]
-            n = np.where(bad[of], 0, n[code])
-            at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
-            keys, place = np.unique(_mixed(np.frombuffer(known.pairs, np.int64)[at]), return_inverse=True)
-            both, times = np.unique(np.repeat(of, n) * max(1, len(keys)) + place, return_counts=True)
-            of, place = both // max(1, len(keys)), both % max(1, len(keys))
-            one = lambda values: lists(values, np.array([0, len(values)]))
-            columns = {"slice": pa.array([name]), "doc_id": one(part.column("doc_id"))} | {c: one(v) for c, v in columns.items()}
-            columns |= {"sha": one(pa.array(sha, pa.string())), "size": one(pa.array(np.bincount(of, minlength=len(found)), pa.int32()))}
-            columns |= {"place": one(pa.array(place, pa.int32())), "times": one(pa.array(times, pa.int32()))}
-            yield pa.RecordBatch.from_pydict(columns | {"keys": one(keys.view(np.int64)), "n": one(np.bincount(place, minlength=len(keys)))})
+            yield row(known, name, part)  # a function of its own, so that nothing of one slice stays while the next is made
             name += 1
 
     return docs.mapInArrow(run, SLICES)
